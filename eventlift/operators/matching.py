@@ -5,7 +5,8 @@ block may hold a third of both. Instead the candidates of a block are cut into t
 of at most ``tile_rows`` distinct feature vectors, along quantiles of one feature after
 the other. A treatment vector is compared with its home tile, which bounds its nearest
 distance, and then only with those tiles whose bounding box lies within that bound.
-The result equals the full comparison, ties included.
+The result equals the full comparison, ties included, and the work per treatment vector
+is a few tiles however large the block is.
 
 A block that fits into one tile is never cut, so small inputs run as one plain join.
 """
@@ -36,9 +37,9 @@ Stage = Callable[[DataFrame, str], DataFrame]
 
 
 class _Space:
-    """Feature vectors as doubles in whole units (cents, orders, days).
+    """Feature vectors as whole numbers of units (cents, orders, days).
 
-    Whole units make every difference exact, so two candidates at the same distance
+    Whole numbers make every difference exact, so two candidates at the same distance
     are a true tie; the unit is divided out again before scaling.
     """
 
@@ -46,33 +47,36 @@ class _Space:
         self.features = features
         self.names = [f"x{i}" for i in range(len(features))]
         self.types = [schema[f].dataType for f in features]
-        self.units = [
-            10.0**t.scale if isinstance(t, T.DecimalType) else 1.0 for t in self.types
-        ]
+        self.units = [10**t.scale if isinstance(t, T.DecimalType) else 1 for t in self.types]
+        if not all(isinstance(t, (T.DecimalType, T.IntegralType)) for t in self.types):
+            raise TypeError("features must be decimals or whole numbers")
         self.scales = [scales[f] for f in features]
 
     def coordinates(self) -> list[Column]:
         return [
-            (F.col(f) * F.lit(int(u)) if u > 1 else F.col(f)).cast("double").alias(n)
+            (F.col(f) * F.lit(u) if u > 1 else F.col(f)).cast("bigint").alias(n)
             for f, u, n in zip(self.features, self.units, self.names)
         ]
 
-    def original(self, vector: Callable[[str], Column]) -> list[Column]:
+    def original(self) -> list[Column]:
         return [
-            (vector(n) / u).cast(t).alias(f)
+            (F.col(n).cast("decimal(20,0)") / F.lit(u) if u > 1 else F.col(n)).cast(t).alias(f)
             for f, n, u, t in zip(self.features, self.names, self.units, self.types)
         ]
 
     def length(self, gaps: list[Column]) -> Column:
-        scaled = [g / F.lit(u) / F.lit(s) for g, u, s in zip(gaps, self.units, self.scales)]
+        exact = [g.cast("double") for g in gaps]
+        plain = [g / F.lit(float(u)) if u > 1 else g for g, u in zip(exact, self.units)]
+        scaled = [g / F.lit(s) for g, s in zip(plain, self.scales)]
         return F.sqrt(reduce(add, [z * z for z in scaled]))
 
-    def distance(self, vector: Callable[[str], Column]) -> Column:
-        return self.length([F.col(n) - vector(n) for n in self.names])
+    def distance(self) -> Column:
+        """From the row's own vector to that of the point joined to it."""
+        return self.length([F.col(n) - F.col(f"p_{n}") for n in self.names])
 
     def distance_to_box(self) -> Column:
         """Never more than the distance to a point of the box, rounding included."""
-        zero = F.lit(0.0)
+        zero = F.lit(0)
         return self.length(
             [
                 F.greatest(F.col(f"lo_{n}") - F.col(n), F.col(n) - F.col(f"hi_{n}"), zero)
@@ -136,26 +140,18 @@ def _descend(rows: DataFrame, cuts: DataFrame, dim: str, block: list[str]) -> Da
     )
 
 
-def _nearest(
-    queries: DataFrame, points: DataFrame, space: _Space, block: list[str]
+def _compared(
+    visits: DataFrame, points: DataFrame, space: _Space, block: list[str]
 ) -> DataFrame:
-    """Best point of the row's tile as ``best``; a tile is an array of bounded length.
+    """Each row with every point of its tile, at most ``tile_rows`` of them.
 
-    The array is reduced inside the row, so no pair of rows is ever written or
-    shuffled, and a tile that a third of the treatment asks for can be split by AQE.
+    The joined rows feed the aggregation in the same stage and are never shuffled. A
+    tile that a third of the treatment asks for is split by AQE's skew join.
     """
-    packed = points.groupBy(*block, "tile").agg(
-        F.collect_list(F.struct("control_user_id", *space.names)).alias("points")
-    )
-    ranked = F.transform(
-        "points",
-        lambda p: F.struct(
-            space.distance(lambda n: p[n]).alias("distance"),
-            p["control_user_id"].alias("control_user_id"),
-            *[p[n].alias(n) for n in space.names],
-        ),
+    other = points.select(
+        *block, "tile", "control_user_id", *[F.col(n).alias(f"p_{n}") for n in space.names]
     )
-    return queries.join(packed, [*block, "tile"]).withColumn("best", F.array_min(ranked)).drop("points")
+    return visits.join(other, [*block, "tile"]).withColumn("distance", space.distance())
 
 
 def _nearest_vectors(
@@ -166,18 +162,20 @@ def _nearest_vectors(
     tile_rows: int,
     stage: Stage,
 ) -> DataFrame:
-    """For every distinct treatment vector the nearest point of its block."""
+    """For every distinct treatment vector the nearest point of its block as ``best``.
+
+    First the nearest distance in the home tile, a hash aggregation of plain numbers;
+    then, over all tiles within that distance, the few points that reach it.
+    """
     root = {"parent": F.lit(""), "tile": F.lit("")}
     points, queries = points.withColumns(root), queries.withColumns(root)
-
-    def biggest(tiles: DataFrame) -> int:
-        return tiles.agg(F.max("n")).first()[0] or 0
+    vector = [*block, *space.names]
 
     levels = []
     boxes = points.groupBy(*block, "tile").agg(F.count("*").alias("n"))
-    rounds = itertools.cycle(space.cut_order())
-    while biggest(boxes) > tile_rows:
-        dim = next(rounds)
+    dims = itertools.cycle(space.cut_order())
+    while (boxes.agg(F.max("n")).first()[0] or 0) > tile_rows:
+        dim = next(dims)
         if not levels:
             points, queries = stage(points, "points"), stage(queries, "queries")
         cuts = stage(_quantile_cuts(points, boxes, tile_rows, dim, block), "cuts")
@@ -186,32 +184,30 @@ def _nearest_vectors(
         boxes = stage(_boxes(points, space, block), "boxes")
         levels.append(boxes)
 
-    home = _nearest(queries, points, space, block)
-    if not levels:
-        return home.drop("parent", "tile")
-
-    home = stage(home.drop("parent"), "home")
-    walk = home.select(
-        *block,
-        *space.names,
-        F.col("tile").alias("home"),
-        F.col("best.distance").alias("bound"),
-        F.lit("").alias("tile"),
+    visits = (
+        _compared(queries, points, space, block)
+        .groupBy(*vector, "tile")
+        .agg(F.min("distance").alias("bound"))
     )
-    for boxes in levels:
-        children = boxes.drop("n").withColumnRenamed("tile", "child")
-        walk = (
-            walk.withColumnRenamed("tile", "parent")
-            .join(children, [*block, "parent"])
-            .where(space.distance_to_box() <= F.col("bound"))
-            .select(*block, *space.names, "home", "bound", F.col("child").alias("tile"))
-        )
-    others = walk.where("tile != home").drop("home", "bound")
+    if levels:
+        visits = stage(visits, "bounds").withColumn("tile", F.lit(""))
+        for boxes in levels:
+            children = boxes.drop("n").withColumnRenamed("tile", "child")
+            visits = (
+                visits.withColumnRenamed("tile", "parent")
+                .join(children, [*block, "parent"])
+                .where(space.distance_to_box() <= F.col("bound"))
+                .select(*vector, "bound", F.col("child").alias("tile"))
+            )
     return (
-        home.drop("tile")
-        .unionByName(_nearest(others, points, space, block).drop("tile"))
-        .groupBy(*block, *space.names)
-        .agg(F.min("best").alias("best"))
+        _compared(visits, points, space, block)
+        .where("distance <= bound")
+        .groupBy(*vector)
+        .agg(
+            F.min(
+                F.struct("distance", "control_user_id", *[F.col(f"p_{n}").alias(n) for n in space.names])
+            ).alias("best")
+        )
     )
 
 
@@ -301,7 +297,7 @@ def match_nearest(
         F.col("control_user_id").alias("user_id"),
         "treatment_user_id",
         *block,
-        *space.original(F.col),
+        *space.original(),
         F.col("distance").alias("match_distance"),
         F.lit("control").alias("group_type"),
     ).select(
