@@ -110,14 +110,17 @@ def activation_lift(by_type: DataFrame) -> DataFrame:
         part, whole = of(group, "activated"), of(group, "total_users")
         return F.try_divide(part.cast("double") * 100, whole.cast("double"))
 
-    measures = [
-        F.round(rate("Treatment"), 1).alias("treatment_rate_pct"),
-        F.round(rate("Control"), 1).alias("control_rate_pct"),
-        F.round(rate("Treatment") - rate("Control"), 1).alias("lift_pp"),
-    ]
-    overall = by_type.agg(*measures)
-    return overall.select(F.lit("overall").alias("user_type"), *overall.columns).unionByName(
-        by_type.groupBy("user_type").agg(*measures)
+    overall = F.grouping("user_type") == 1
+    return (
+        by_type.rollup("user_type")
+        .agg(
+            F.when(overall, "overall").otherwise(F.col("user_type")).alias("_type"),
+            F.round(rate("Treatment"), 1).alias("treatment_rate_pct"),
+            F.round(rate("Control"), 1).alias("control_rate_pct"),
+            F.round(rate("Treatment") - rate("Control"), 1).alias("lift_pp"),
+        )
+        .drop("user_type")
+        .withColumnRenamed("_type", "user_type")
     )
 
 

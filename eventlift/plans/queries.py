@@ -15,14 +15,15 @@ from eventlift.functions.rates import as_doubles
 from eventlift.operators import identity
 from eventlift.plans.study import EventStudy
 from eventlift.sources import ingest
-from eventlift.sources.fixtures import EVENT, guest_export, load, study_tables
+from eventlift.sources.fixtures import EVENT, FixtureTables, guest_export, load
+from eventlift.sources.session import tune
 from eventlift.sources.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _study(spark: SparkSession, sf_dir: str) -> EventStudy:
-    return EventStudy(study_tables(spark, sf_dir), EVENT, Workspace(spark))
+    return EventStudy(FixtureTables(tune(spark), sf_dir), EVENT, Workspace(spark))
 
 
 def _of_study(build: Callable[[EventStudy], DataFrame]) -> Query:
@@ -35,7 +36,7 @@ def _of_export(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _link(strategy: str, dedupe: str | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = study_tables(spark, sf_dir)
+        t = FixtureTables(tune(spark), sf_dir)
         return identity.link_identity(t.guestlist, t.users, strategy, dedupe=dedupe)
 
     return run
@@ -43,7 +44,7 @@ def _link(strategy: str, dedupe: str | None = None) -> Query:
 
 def _match_rate(*strategies: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = study_tables(spark, sf_dir)
+        t = FixtureTables(tune(spark), sf_dir)
         return identity.match_report(t.guestlist, t.users, strategies)
 
     return run

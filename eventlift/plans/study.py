@@ -16,7 +16,10 @@ from eventlift.sources.workspace import Workspace
 
 @dataclass(frozen=True)
 class StudyTables:
-    """The source tables; see the README for their columns."""
+    """The source tables; see the README for their columns.
+
+    Any object with these attributes will do.
+    """
 
     guestlist: DataFrame
     users: DataFrame
@@ -116,11 +119,14 @@ class EventStudy:
 
     @cached_property
     def control_metrics(self) -> DataFrame:
-        """Value and orders of every matched control, once per treatment user it serves."""
+        """Value and orders of every matched control, once per treatment user it serves.
+
+        Only the comparison reads it, so it is not written; ``Workspace.create_or_replace``
+        makes a table of it.
+        """
         controls = self.control_group.select("user_id", "treatment_user_id", "match_distance")
         orders = self._orders_of(controls.select("user_id").distinct())
-        table = metrics.window_metrics(controls, orders, self.spec.periods)
-        return self.workspace.create_or_replace(table, "control_gtv_analysis")
+        return metrics.window_metrics(controls, orders, self.spec.periods)
 
     def comparison(self) -> DataFrame:
         return metrics.compare_groups(self.metrics, self.control_metrics, self.spec)
@@ -167,8 +173,7 @@ class EventStudy:
         return activation.activation_summary(self.metrics, self.inactive_control(days), days)
 
     def activation_lift(self, days: int) -> DataFrame:
-        by_type = self.workspace.stage(self.activation_by_type(days), f"activation_{days}d")
-        return activation.activation_lift(by_type)
+        return activation.activation_lift(self.activation_by_type(days))
 
     # Membership
 

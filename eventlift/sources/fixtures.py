@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlift.functions.periods import EventSpec
-from eventlift.plans.study import StudyTables
 
 EVENT = EventSpec(date(1995, 9, 4))
 
@@ -44,56 +44,85 @@ def guest_export(customer: DataFrame) -> DataFrame:
     )
 
 
-def study_tables(spark: SparkSession, sf_dir: str) -> StudyTables:
-    customer, nation, orders, lineitem = (
-        load(spark, sf_dir, t) for t in ("customer", "nation", "orders", "lineitem")
-    )
-    users = customer.selectExpr(
-        "c_custkey AS id",
-        "concat('u', c_custkey - IF(c_custkey % 50 = 1, 1, 0), '@example.com') AS email",
-        "c_mktsegment AS first_name",
-        "concat('L', c_custkey % 997) AS last_name",
-    )
-    located = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", "n_regionkey"
-    )
-    deliveries = orders.join(located, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
-        "o_orderkey AS order_delivery_id",
-        "o_custkey AS user_id",
-        "CAST(o_orderdate AS DATE) AS delivered_date_pt",
-        "CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'delivered' END AS delivery_state",
-        "CASE WHEN o_orderkey % 50 = 7 THEN 'N' ELSE 'Y' END AS delivery_finalized_ind",
-        "CASE WHEN o_orderkey % 50 = 9 THEN 'Y' ELSE 'N' END AS deleted_ind",
-        "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Y' ELSE 'N' END AS express",
-        "CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN 4 - n_regionkey"
-        " ELSE n_regionkey END AS zone_id",
-    )
-    values = lineitem.groupBy(F.col("l_orderkey").alias("order_delivery_id")).agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("gtv_amt_usd")
-    )
-    dim_user = located.where("c_custkey % 113 != 0").selectExpr(
-        "c_custkey AS user_id",
-        "CASE WHEN c_custkey % 97 = 0 THEN NULL"
-        " ELSE date_add(DATE '1994-01-01', CAST(c_custkey % 600 AS INT)) END AS activation_date_pt",
-        "n_regionkey AS activation_zone_id",
-    )
-    started = orders.where("o_orderpriority = '5-LOW'").selectExpr(
-        "o_custkey AS user_id",
-        "o_orderkey AS n",
-        "o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT)) AS started",
-    )
-    subscriptions = started.selectExpr(
-        "user_id",
-        "started AS subscription_start_date_time_pt",
-        "CASE WHEN n % 3 = 0 THEN NULL"
-        " ELSE started + make_dt_interval(CAST(30 + n % 200 AS INT)) END"
-        " AS subscription_end_date_time_pt",
-    )
-    return StudyTables(
-        guestlist=_guestlist(customer),
-        users=users,
-        deliveries=deliveries,
-        values=values,
-        dim_user=dim_user,
-        subscriptions=subscriptions,
-    )
+class FixtureTables:
+    """The tables of a study, each derived when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+
+    @cached_property
+    def _customer(self) -> DataFrame:
+        return load(self.spark, self.sf_dir, "customer")
+
+    @cached_property
+    def _orders(self) -> DataFrame:
+        return load(self.spark, self.sf_dir, "orders")
+
+    @cached_property
+    def _located(self) -> DataFrame:
+        """Customers with their region."""
+        nation = load(self.spark, self.sf_dir, "nation")
+        return self._customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            "c_custkey", "n_regionkey"
+        )
+
+    @cached_property
+    def guestlist(self) -> DataFrame:
+        return _guestlist(self._customer)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._customer.selectExpr(
+            "c_custkey AS id",
+            "concat('u', c_custkey - IF(c_custkey % 50 = 1, 1, 0), '@example.com') AS email",
+            "c_mktsegment AS first_name",
+            "concat('L', c_custkey % 997) AS last_name",
+        )
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        located = self._orders.join(self._located, F.col("o_custkey") == F.col("c_custkey"))
+        return located.selectExpr(
+            "o_orderkey AS order_delivery_id",
+            "o_custkey AS user_id",
+            "CAST(o_orderdate AS DATE) AS delivered_date_pt",
+            "CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'delivered' END AS delivery_state",
+            "CASE WHEN o_orderkey % 50 = 7 THEN 'N' ELSE 'Y' END AS delivery_finalized_ind",
+            "CASE WHEN o_orderkey % 50 = 9 THEN 'Y' ELSE 'N' END AS deleted_ind",
+            "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Y' ELSE 'N' END AS express",
+            "CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN 4 - n_regionkey"
+            " ELSE n_regionkey END AS zone_id",
+        )
+
+    @cached_property
+    def values(self) -> DataFrame:
+        lineitem = load(self.spark, self.sf_dir, "lineitem")
+        price = F.col("l_extendedprice").cast("decimal(18,2)")
+        return lineitem.groupBy(F.col("l_orderkey").alias("order_delivery_id")).agg(
+            F.sum(price).cast("decimal(18,2)").alias("gtv_amt_usd")
+        )
+
+    @cached_property
+    def dim_user(self) -> DataFrame:
+        return self._located.where("c_custkey % 113 != 0").selectExpr(
+            "c_custkey AS user_id",
+            "CASE WHEN c_custkey % 97 = 0 THEN NULL"
+            " ELSE date_add(DATE '1994-01-01', CAST(c_custkey % 600 AS INT)) END AS activation_date_pt",
+            "n_regionkey AS activation_zone_id",
+        )
+
+    @cached_property
+    def subscriptions(self) -> DataFrame:
+        started = self._orders.where("o_orderpriority = '5-LOW'").selectExpr(
+            "o_custkey AS user_id",
+            "o_orderkey AS n",
+            "o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT)) AS started",
+        )
+        return started.selectExpr(
+            "user_id",
+            "started AS subscription_start_date_time_pt",
+            "CASE WHEN n % 3 = 0 THEN NULL"
+            " ELSE started + make_dt_interval(CAST(30 + n % 200 AS INT)) END"
+            " AS subscription_end_date_time_pt",
+        )

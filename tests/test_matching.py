@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventlift.operators.features import feature_columns
 from eventlift.operators.matching import match_nearest
 from eventlift.plans.study import EventStudy
-from eventlift.sources.fixtures import EVENT, study_tables
+from eventlift.sources.fixtures import EVENT, FixtureTables
 
 SCHEMA = (
     "user_id bigint, zone_id int, is_express int, gtv_28d_pre decimal(28,2), gtv_91d_pre decimal(28,2),"
@@ -131,7 +131,7 @@ def test_no_candidate_no_row(spark, workspace, spec):
 
 
 def test_cut_blocks_on_the_fixtures(spark, workspace):
-    tables = study_tables(spark, f"{DATA}/sf0.01")
+    tables = FixtureTables(spark, f"{DATA}/sf0.01")
     study = EventStudy(tables, EVENT, workspace)
     whole = study.control_group.drop("group_type")
     cut = match_nearest(
