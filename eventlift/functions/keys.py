@@ -35,3 +35,15 @@ def left_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         *[c for c in right.columns if c not in on],
     )
     return keyed.join(wanted, "_key", "left").drop("_key")
+
+
+def only_for(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose key occurs in ``wanted``, to be applied before a left join.
+
+    A left join cannot broadcast its left side, so a few guests would have every account
+    shuffled. If the wanted keys are small enough for Spark to broadcast, this drops the
+    other rows as they are scanned, below an aggregation too (the optimizer pushes a semi
+    join there exactly if it can be broadcast). Otherwise it shares the shuffle of the
+    join that follows.
+    """
+    return rows.join(wanted.select(*on).distinct(), on, "left_semi")

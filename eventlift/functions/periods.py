@@ -6,9 +6,6 @@ import calendar
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 @dataclass(frozen=True)
 class Period:
@@ -18,9 +15,9 @@ class Period:
     start: date
     end: date
 
-    def contains(self, column: str | Column) -> Column:
-        c = F.col(column) if isinstance(column, str) else column
-        return c.between(F.lit(self.start), F.lit(self.end))
+    def contains(self, column: str) -> str:
+        """The SQL condition that a date column lies in the period."""
+        return f"{column} BETWEEN DATE '{self.start}' AND DATE '{self.end}'"
 
 
 def add_months(day: date, months: int) -> date:

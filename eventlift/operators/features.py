@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from eventlift.functions.keys import only_for
 from eventlift.functions.periods import EventSpec
 from eventlift.operators.metrics import period_totals
 
@@ -28,12 +28,12 @@ def _zone_features(orders: DataFrame, spec: EventSpec) -> DataFrame:
         before,
         ["user_id", "zone_id"],
         spec.pre_periods,
-        {"is_express": F.col("express") == "Y"},
+        {"is_express": "express = 'Y'"},
     )
 
 
-def _account_age(spec: EventSpec):
-    return F.datediff(F.lit(spec.event_date), F.col("activation_date_pt")).alias("account_age_days")
+def _account_age(spec: EventSpec) -> str:
+    return f"datediff(DATE '{spec.event_date}', activation_date_pt) AS account_age_days"
 
 
 def treatment_features(
@@ -42,29 +42,28 @@ def treatment_features(
     """One row per attendee and zone ordered from; one row if there were no orders."""
     features = _zone_features(orders, spec)
     dims = dim_user.select("user_id", "activation_date_pt", "activation_zone_id")
+    dims = only_for(dims, users, ["user_id"])
     joined = users.select("user_id").join(dims, "user_id", "left").join(features, "user_id", "left")
-    return joined.select(
+    measures = ["is_express", *_metric_order(spec)]
+    return joined.fillna(0, measures).selectExpr(
         "user_id",
         "activation_date_pt",
         _account_age(spec),
-        F.coalesce("zone_id", "activation_zone_id").alias("zone_id"),
-        *[
-            F.coalesce(F.col(c), F.lit(0).cast(features.schema[c].dataType)).alias(c)
-            for c in ["is_express", *_metric_order(spec)]
-        ],
-        F.lit("treatment").alias("group_type"),
+        "coalesce(zone_id, activation_zone_id) AS zone_id",
+        *measures,
+        "'treatment' AS group_type",
     )
 
 
 def candidate_pool(orders: DataFrame, dim_user: DataFrame, spec: EventSpec) -> DataFrame:
     """The same features for the given orders' users, where value was positive."""
-    features = _zone_features(orders, spec).where(F.col(f"gtv_{spec.before.name}") > 0)
+    features = _zone_features(orders, spec).where(f"gtv_{spec.before.name} > 0")
     dims = dim_user.select("user_id", "activation_date_pt", "activation_zone_id")
-    return features.join(dims, "user_id", "left").select(
+    return features.join(dims, "user_id", "left").selectExpr(
         "user_id",
         "activation_date_pt",
         _account_age(spec),
-        F.coalesce("zone_id", "activation_zone_id").alias("zone_id"),
+        "coalesce(zone_id, activation_zone_id) AS zone_id",
         "is_express",
         *_metric_order(spec),
     )
@@ -76,6 +75,6 @@ def scale_name(feature: str) -> str:
 
 def feature_scales(treatment: DataFrame, spec: EventSpec) -> DataFrame:
     """Sample standard deviation of every feature over the treatment rows."""
-    return treatment.agg(
-        *[F.stddev_samp(F.col(c).cast("double")).alias(scale_name(c)) for c in feature_columns(spec)]
+    return treatment.selectExpr(
+        *[f"stddev_samp(CAST({c} AS DOUBLE)) AS {scale_name(c)}" for c in feature_columns(spec)]
     )

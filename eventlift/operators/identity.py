@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlift.functions.keys import fold, left_lookup
+from eventlift.functions.keys import fold, left_lookup, only_for
 from eventlift.functions.rates import percent
 
 EMAIL = ("email",)
@@ -70,14 +70,14 @@ def link_identity(
     kept = guests.where(status_is(status)) if status else guests
     linked = kept.withColumn("_user", F.lit(None).cast(users.schema["id"].dataType))
     for keys in plan.steps:
+        on = [f"_{k}" for k in keys]
+        folded = {f"_{k}": fold(k, blank_as_null) for k in keys}
+        accounts = _accounts(users, keys, blank_as_null, one_per_key)
+        accounts = only_for(accounts, kept.select(*[c.alias(n) for n, c in folded.items()]), on)
         # A guest who already has an account gets NULL keys: no match, no hot key.
         open_guest = F.col("_user").isNull()
-        named = linked.withColumns(
-            {f"_{k}": F.when(open_guest, fold(k, blank_as_null)) for k in keys}
-        )
-        found = left_lookup(
-            named, _accounts(users, keys, blank_as_null, one_per_key), [f"_{k}" for k in keys]
-        )
+        named = linked.withColumns({n: F.when(open_guest, c) for n, c in folded.items()})
+        found = left_lookup(named, accounts, on)
         linked = found.select(*guests.columns, F.coalesce("_user", "_id").alias("_user"))
     return linked.select(F.col("_user").alias("user_id"), *guests.columns)
 
@@ -108,11 +108,12 @@ def match_report(
     chosen = [STRATEGIES[s] for s in strategies]
     key_sets = list(dict.fromkeys(keys for s in chosen for keys in s.steps))
     columns = list(dict.fromkeys(k for keys in key_sets for k in keys))
-    counted = (
+    keyed = (
         guests.select(*[fold(k, blank_as_null).alias(f"_{k}") for k in columns])
         .groupBy(*[f"_{k}" for k in columns])
         .agg(F.count("*").alias("_guests"))
     )
+    counted = keyed
     for keys in key_sets:
         tag = "_".join(keys)
         on = [f"_{k}" for k in keys]
@@ -121,7 +122,7 @@ def match_report(
             .groupBy(*on)
             .agg(F.count("*").alias(f"rows_{tag}"), F.count("_id").alias(f"ids_{tag}"))
         )
-        counted = left_lookup(counted, per_key, on)
+        counted = left_lookup(counted, only_for(per_key, keyed, on), on)
 
     sums, rows = [], []
     for i, plan in enumerate(chosen):

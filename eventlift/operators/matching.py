@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
-from functools import reduce
-from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,35 +52,29 @@ class _Space:
 
     def coordinates(self) -> list[Column]:
         return [
-            (F.col(f) * F.lit(u) if u > 1 else F.col(f)).cast("bigint").alias(n)
+            F.expr(f"CAST({f} * {u} AS BIGINT) AS {n}")
             for f, u, n in zip(self.features, self.units, self.names)
         ]
 
     def original(self) -> list[Column]:
         return [
-            (F.col(n).cast("decimal(20,0)") / F.lit(u) if u > 1 else F.col(n)).cast(t).alias(f)
+            F.expr(f"CAST(CAST({n} AS DECIMAL(20,0)) / {u} AS {t.simpleString()}) AS {f}")
             for f, n, u, t in zip(self.features, self.names, self.units, self.types)
         ]
 
-    def length(self, gaps: list[Column]) -> Column:
-        exact = [g.cast("double") for g in gaps]
-        plain = [g / F.lit(float(u)) if u > 1 else g for g, u in zip(exact, self.units)]
-        scaled = [g / F.lit(s) for g, s in zip(plain, self.scales)]
-        return F.sqrt(reduce(add, [z * z for z in scaled]))
+    def length(self, gaps: list[str]) -> Column:
+        exact = [f"CAST({g} AS DOUBLE)" for g in gaps]
+        plain = [f"{g} / {float(u)}D" if u > 1 else g for g, u in zip(exact, self.units)]
+        scaled = [f"({g} / {s!r}D)" for g, s in zip(plain, self.scales)]
+        return F.expr(f"sqrt({' + '.join(f'{z} * {z}' for z in scaled)})")
 
     def distance(self) -> Column:
         """From the row's own vector to that of the point joined to it."""
-        return self.length([F.col(n) - F.col(f"p_{n}") for n in self.names])
+        return self.length([f"({n} - p_{n})" for n in self.names])
 
     def distance_to_box(self) -> Column:
         """Never more than the distance to a point of the box, rounding included."""
-        zero = F.lit(0)
-        return self.length(
-            [
-                F.greatest(F.col(f"lo_{n}") - F.col(n), F.col(n) - F.col(f"hi_{n}"), zero)
-                for n in self.names
-            ]
-        )
+        return self.length([f"greatest(lo_{n} - {n}, {n} - hi_{n}, 0L)" for n in self.names])
 
     def cut_order(self) -> list[str]:
         """Features with the most distinct values first, so that few rounds are needed."""
@@ -90,8 +82,8 @@ class _Space:
         ranked = sorted(zip(fine, range(len(fine))), reverse=True)
         return [self.names[-1], *[self.names[i] for _, i in ranked if i < len(fine) - 1]]
 
-    def complete(self) -> Column:
-        return reduce(and_, [F.col(f).isNotNull() for f in self.features])
+    def complete(self) -> str:
+        return " AND ".join(f"{f} IS NOT NULL" for f in self.features)
 
 
 def _boxes(points: DataFrame, space: _Space, block: list[str]) -> DataFrame:
@@ -148,8 +140,8 @@ def _compared(
     The joined rows feed the aggregation in the same stage and are never shuffled. A
     tile that a third of the treatment asks for is split by AQE's skew join.
     """
-    other = points.select(
-        *block, "tile", "control_user_id", *[F.col(n).alias(f"p_{n}") for n in space.names]
+    other = points.selectExpr(
+        *block, "tile", "control_user_id", *[f"{n} AS p_{n}" for n in space.names]
     )
     return visits.join(other, [*block, "tile"]).withColumn("distance", space.distance())
 
@@ -204,9 +196,11 @@ def _nearest_vectors(
         .where("distance <= bound")
         .groupBy(*vector)
         .agg(
-            F.min(
-                F.struct("distance", "control_user_id", *[F.col(f"p_{n}").alias(n) for n in space.names])
-            ).alias("best")
+            F.expr(
+                "min(named_struct('distance', distance, 'control_user_id', control_user_id, "
+                + ", ".join(f"'{n}', p_{n}" for n in space.names)
+                + ")) AS best"
+            )
         )
     )
 
@@ -231,13 +225,13 @@ def match_nearest(
     the steps of cutting large blocks.
     """
     if active_only:
-        treatment = treatment.where(F.col(f"gtv_{spec.before.name}") > 0)
+        treatment = treatment.where(f"gtv_{spec.before.name} > 0")
     features = feature_columns(spec)
     stds = feature_scales(treatment, spec).first()
     scales = {f: stds[scale_name(f)] for f in features}
     space = _Space(candidates.schema, features, scales)
 
-    in_block = reduce(and_, [F.col(b).isNotNull() for b in block])
+    in_block = " AND ".join(f"{b} IS NOT NULL" for b in block)
     candidates = candidates.where(in_block)
     people = treatment.select(
         F.col("user_id").alias("treatment_user_id"), *block, *space.coordinates()
@@ -247,7 +241,7 @@ def match_nearest(
     lowest = candidates.groupBy(*block).agg(F.min("user_id").alias("user_id"))
     fallback = (
         candidates.join(lowest, [*block, "user_id"], "left_semi")
-        .select(*block, F.struct("user_id", *space.coordinates()).alias("c"))
+        .select(*block, F.struct(F.col("user_id").alias("control_user_id"), *space.coordinates()).alias("c"))
         .groupBy(*block)
         .agg(F.min("c").alias("fallback"))
     )
@@ -262,33 +256,26 @@ def match_nearest(
             .agg(F.min("user_id").alias("control_user_id"))
         )
         queries = (
-            treatment.where(in_block & space.complete())
+            treatment.where(f"{in_block} AND {space.complete()}")
             .select(*block, *space.coordinates())
             .distinct()
         )
         nearest = _nearest_vectors(queries, points, space, block, tile_rows, stage)
         joined = on_block.join(nearest, [*block, *space.names], "left")
-        distance = F.col("best.distance")
+        distance, source = "best.distance", "coalesce(best.{0}, fallback.{0})"
     else:
         joined = on_block
-        distance = F.lit(None).cast("double")
-
-    def chosen(name: str, spare: str) -> Column:
-        if not measurable:
-            return F.col(f"fallback.{spare}").alias(name)
-        return F.when(distance.isNull(), F.col(f"fallback.{spare}")).otherwise(
-            F.col(f"best.{name}")
-        ).alias(name)
-
-    ranked = joined.select(
+        distance, source = "CAST(NULL AS DOUBLE)", "fallback.{0}"
+
+    fields = {
+        "unmeasured": f"{distance} IS NULL",
+        "distance": distance,
+        **{c: source.format(c) for c in ["control_user_id", *space.names]},
+    }
+    order = ["unmeasured", "distance", "control_user_id", *block, *space.names]
+    ranked = joined.selectExpr(
         "treatment_user_id",
-        F.struct(
-            distance.isNull().alias("unmeasured"),
-            distance.alias("distance"),
-            chosen("control_user_id", "user_id"),
-            *block,
-            *[chosen(n, n) for n in space.names],
-        ).alias("m"),
+        f"named_struct({', '.join(f"'{c}', {fields.get(c, c)}" for c in order)}) AS m",
     )
     best = ranked.groupBy("treatment_user_id").agg(F.min("m").alias("m"))
     row = best.select("treatment_user_id", "m.*")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlift.functions.keys import only_for
 from eventlift.functions.rates import percent
 
 START = "subscription_start_date_time_pt"
@@ -16,10 +15,10 @@ END = "subscription_end_date_time_pt"
 MEMBER, NON_MEMBER = "Member", "Non-member"
 
 
-def active_at(day: date) -> Column:
-    """The interval holds at midnight of ``day``; both ends count, no end is open."""
-    at = F.lit(day)
-    return (F.col(START) <= at) & ((F.col(END) >= at) | F.col(END).isNull())
+def active_at(day: date) -> str:
+    """SQL: the interval holds at midnight of ``day``; both ends count, no end is open."""
+    at = f"DATE '{day}'"
+    return f"({START} <= {at} AND ({END} >= {at} OR {END} IS NULL))"
 
 
 def status_at(users: DataFrame, intervals: DataFrame, dates: dict[str, date]) -> DataFrame:
@@ -28,20 +27,18 @@ def status_at(users: DataFrame, intervals: DataFrame, dates: dict[str, date]) ->
     Intervals are reduced to one row per user before the join: only those that hold at
     some date are read on, and a user with very many costs one row per task.
     """
+    names = [f"member_{n}" for n in dates]
+    active = dict(zip(names, map(active_at, dates.values())))
     held = (
-        intervals.where(reduce(or_, [active_at(d) for d in dates.values()]))
+        intervals.where(" OR ".join(active.values()))
         .groupBy("user_id")
-        .agg(
-            *[F.max(F.when(active_at(d), 1).otherwise(0)).alias(f"member_{n}") for n, d in dates.items()]
-        )
+        .agg(*[F.expr(f"max(CASE WHEN {a} THEN 1 ELSE 0 END) AS {n}") for n, a in active.items()])
     )
     return (
         users.select("user_id")
-        .join(held, "user_id", "left")
-        .select(
-            "user_id",
-            *[F.coalesce(F.col(f"member_{n}"), F.lit(0)).alias(f"member_{n}") for n in dates],
-        )
+        .join(only_for(held, users, ["user_id"]), "user_id", "left")
+        .fillna(0, names)
+        .select("user_id", *names)
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from eventlift.functions.periods import EventSpec, Period
 from eventlift.functions.rates import money, percent_change
 
 
+def _exprs(texts: Iterable[str]) -> list[Column]:
+    return [F.expr(t) for t in texts]
+
+
 def metric_columns(periods: list[Period]) -> list[str]:
     return [f"gtv_{p.name}" for p in periods] + [f"orders_{p.name}" for p in periods]
 
@@ -17,7 +23,7 @@ def period_totals(
     orders: DataFrame,
     keys: list[str],
     periods: list[Period],
-    flags: dict[str, Column] | None = None,
+    flags: dict[str, str] | None = None,
 ) -> DataFrame:
     """Per key: value sum and number of distinct orders in each period, any-flags.
 
@@ -25,30 +31,23 @@ def period_totals(
     distinct counts into plain sums (no row multiplication per distinct count) and
     reuses the partitioning by order id of the value join. Both steps combine on the
     map side, so a key with a third of all orders costs one row per task.
+
+    ``flags`` maps a column name to a condition that any order of the key may meet.
     """
     flags = flags or {}
+    names = [p.name for p in periods]
+    inside = {p.name: p.contains("delivered_date_pt") for p in periods}
     per_order = orders.groupBy(*keys, "order_delivery_id").agg(
-        *[
-            F.sum(F.when(p.contains("delivered_date_pt"), F.col("gtv_amt_usd"))).alias(
-                f"gtv_{p.name}"
-            )
-            for p in periods
-        ],
-        *[
-            F.max(F.when(p.contains("delivered_date_pt"), 1).otherwise(0)).alias(
-                f"orders_{p.name}"
-            )
-            for p in periods
-        ],
-        *[F.max(F.when(on, 1).otherwise(0)).alias(name) for name, on in flags.items()],
+        *_exprs(f"sum(CASE WHEN {inside[n]} THEN gtv_amt_usd END) AS gtv_{n}" for n in names),
+        *_exprs(f"max(CASE WHEN {inside[n]} THEN 1 ELSE 0 END) AS orders_{n}" for n in names),
+        *_exprs(f"max(CASE WHEN {on} THEN 1 ELSE 0 END) AS {flag}" for flag, on in flags.items()),
     )
     return per_order.groupBy(*keys).agg(
-        *[F.max(name).alias(name) for name in flags],
-        *[
-            F.coalesce(F.sum(f"gtv_{p.name}"), F.lit(0)).cast("decimal(28,2)").alias(f"gtv_{p.name}")
-            for p in periods
-        ],
-        *[F.sum(f"orders_{p.name}").alias(f"orders_{p.name}") for p in periods],
+        *_exprs(f"max({flag}) AS {flag}" for flag in flags),
+        *_exprs(
+            f"CAST(coalesce(sum(gtv_{n}), 0) AS DECIMAL(28,2)) AS gtv_{n}" for n in names
+        ),
+        *_exprs(f"sum(orders_{n}) AS orders_{n}" for n in names),
     )
 
 
@@ -57,18 +56,15 @@ def window_metrics(
 ) -> DataFrame:
     """Every entity row with its user's metrics, zero where there were no orders."""
     totals = period_totals(orders, ["user_id"], periods)
-    joined = entities.join(totals, "user_id", "left")
     names = metric_columns(periods)
-    return joined.select(
-        *entities.columns,
-        *[F.coalesce(F.col(c), F.lit(0).cast(totals.schema[c].dataType)).alias(c) for c in names],
-    )
+    joined = entities.join(totals, "user_id", "left")
+    return joined.fillna(0, names).select(*entities.columns, *names)
 
 
 def guest_users(linked: DataFrame) -> DataFrame:
     """Distinct identities with an account; one account under two names is two rows."""
     return (
-        linked.where(F.col("user_id").isNotNull())
+        linked.where("user_id IS NOT NULL")
         .select("user_id", "first_name", "last_name", "email")
         .distinct()
     )

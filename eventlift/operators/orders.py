@@ -4,21 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from eventlift.functions.periods import Period
 
 ORDER_COLUMNS = ["user_id", "order_delivery_id", "delivered_date_pt", "zone_id", "express"]
 
 
-def is_valid() -> Column:
-    """Delivered, finalised and not deleted."""
-    return (
-        (F.col("delivery_state") == "delivered")
-        & (F.col("delivery_finalized_ind") == "Y")
-        & (F.col("deleted_ind") == "N")
-    )
+# Delivered, finalised and not deleted.
+IS_VALID = "delivery_state = 'delivered' AND delivery_finalized_ind = 'Y' AND deleted_ind = 'N'"
 
 
 def valid_orders(
@@ -38,10 +32,10 @@ def valid_orders(
     ``exclude`` keeps all other users' orders; as with NOT IN, an order without a user
     is not kept.
     """
-    orders = deliveries.where(is_valid() & period.contains("delivered_date_pt"))
+    orders = deliveries.where(f"{IS_VALID} AND {period.contains('delivered_date_pt')}")
     orders = orders.select(*ORDER_COLUMNS)
     if exclude is not None:
-        orders = orders.where(F.col("user_id").isNotNull()).join(
+        orders = orders.where("user_id IS NOT NULL").join(
             exclude.select("user_id"), "user_id", "left_anti"
         )
     if users is not None:
@@ -58,8 +52,8 @@ def users_with_order_before(
     deliveries: DataFrame, period: Period, users: DataFrame | None = None
 ) -> DataFrame:
     """Users with any valid order before ``period``, valued or not, one row each."""
-    earlier = F.col("delivered_date_pt") < F.lit(period.start)
-    orders = deliveries.where(is_valid() & earlier & F.col("user_id").isNotNull())
+    earlier = f"delivered_date_pt < DATE '{period.start}'"
+    orders = deliveries.where(f"{IS_VALID} AND {earlier} AND user_id IS NOT NULL")
     if users is not None:
         orders = orders.join(users.select("user_id"), "user_id", "left_semi")
     return orders.select("user_id").distinct()
