@@ -14,18 +14,20 @@ def read_file(
     path: str,
     format: str = "csv",
     schema: StructType | str | None = None,
+    **options: str | bool,
 ) -> DataFrame:
     """Read a rectangular file with a header.
 
     Without a schema CSV types are inferred, which costs one more pass over the file;
-    give a schema for large inputs. Spaces inside values are kept.
+    give a schema for large inputs. Spaces around values are kept. Further options go
+    to the reader, such as ``multiLine=True`` for line breaks inside quotes.
     """
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if format == "csv":
-        reader = reader.options(header=True, inferSchema=schema is None, escape='"')
-    return reader.format(format).load(path)
+        options = {"header": True, "inferSchema": schema is None, "escape": '"', **options}
+    return reader.options(**options).format(format).load(path)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -96,7 +98,9 @@ def ingest(
     format: str = "csv",
     schema: StructType | str | None = None,
     mode: str = "overwrite",
+    **options: str | bool,
 ) -> DataFrame:
     """Load a guest file into a table with clean headers and return that table."""
-    write_table(clean_headers(read_file(spark, path, format, schema)), target, mode)
+    raw = read_file(spark, path, format, schema, **options)
+    write_table(clean_headers(raw), target, mode)
     return read_table(spark, target)

@@ -52,3 +52,10 @@ class Workspace:
         table = self.stage(df, name)
         table.createOrReplaceTempView(name)
         return table
+
+    def drop(self) -> None:
+        """Delete the tables of this run. DataFrames that read them stop working."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        conf = self.spark._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).delete(path, True)

@@ -35,7 +35,7 @@ def test_file_to_table(spark, workspace, format):
     assert [r.guest_id for r in ingest.sample(table, 2, ["guest_id"]).collect()] == [1, 2]
 
 
-def test_catalog_table(spark, workspace, monkeypatch):
+def test_catalog_table(spark):
     spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("a_view")
     assert ingest.read_table(spark, "a_view").count() == 1
 
@@ -66,3 +66,20 @@ def test_steps_are_views(spark, workspace):
     table = workspace.create_or_replace(spark.range(4), "four_rows")
     workspace.create_or_replace(spark.range(5), "four_rows")
     assert table.count() == 4 and spark.table("four_rows").count() == 5
+
+
+def test_line_break_inside_quotes(spark, tmp_path):
+    path = tmp_path / "guests.csv"
+    path.write_text('Guest ID,Note\n1,"two\nlines"\n2,plain\n')
+    table = ingest.ingest(spark, str(path), str(tmp_path / "table"), multiLine=True)
+    assert sorted(tuple(r) for r in table.collect()) == [(1, "two\nlines"), (2, "plain")]
+
+
+def test_drop_deletes_only_this_run(spark):
+    kept, dropped = Workspace(spark), Workspace(spark)
+    table = kept.stage(spark.range(2), "t")
+    dropped.stage(spark.range(2), "t")
+    dropped.drop()
+    assert table.count() == 2
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        spark.read.parquet(f"{dropped.root}/000-t").count()

@@ -6,12 +6,10 @@ import pytest
 from conftest import DATA, plan_of
 
 from eventlift.operators import identity, membership, metrics
+from eventlift.operators.matching import match_nearest
 from eventlift.operators.orders import valid_orders
-from eventlift.plans.queries import QUERIES
 from eventlift.sources.fixtures import EVENT, FixtureTables
-from eventlift.sources.workspace import Workspace
 
-SMALL = f"{DATA}/sf0.001"
 
 
 def physical(df) -> str:
@@ -20,7 +18,7 @@ def physical(df) -> str:
 
 @pytest.fixture()
 def tables(spark):
-    return FixtureTables(spark, SMALL)
+    return FixtureTables(spark, f"{DATA}/sf0.001")
 
 
 @pytest.fixture()
@@ -75,16 +73,34 @@ def test_accounts_are_dropped_in_the_scan(tables):
     assert "LeftSemi, BuildRight" in plan
 
 
-def test_no_query_plans_a_cross_join(spark, monkeypatch):
-    plans = []
-    stage = Workspace.stage
-
-    def recorded(self, df, name):
-        plans.append(plan_of(df))
-        return stage(self, df, name)
-
-    monkeypatch.setattr(Workspace, "stage", recorded)
-    for query in QUERIES.values():
-        plans.append(plan_of(query(spark, SMALL)))
-    for plan in plans:
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+def test_hot_tile_is_split(spark, workspace, spec, no_broadcast):
+    """One block with nearly all of the treatment is shared out among tasks."""
+    options = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+
+    def people(rows, first):
+        return spark.range(first, first + rows, 1, 8).selectExpr(
+            "id AS user_id",
+            "IF(id % 10 = 0, CAST(id % 7 AS INT), 1) AS zone_id",
+            "0 AS is_express",
+            "CAST(id % 97 AS DECIMAL(28,2)) AS gtv_28d_pre",
+            "CAST(id % 1009 AS DECIMAL(28,2)) AS gtv_91d_pre",
+            "id % 3 AS orders_28d_pre",
+            "id % 11 AS orders_91d_pre",
+            "CAST(id % 501 AS INT) AS account_age_days",
+        )
+
+    try:
+        treatment = workspace.stage(people(20_000, 0), "t")
+        candidates = workspace.stage(people(300, 50_000), "c")
+        matched = match_nearest(treatment, candidates, spec, workspace.stage)
+        assert len(matched.collect()) == 20_000
+        assert "SortMergeJoin(skew=true)" in physical(matched)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
