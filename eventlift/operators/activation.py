@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventlift.functions.periods import EventSpec, Period
 from eventlift.functions.rates import money, percent
 from eventlift.operators.metrics import CONTROL_LABEL, TREATMENT_LABEL
-from eventlift.operators.orders import users_with_order_before, valid_orders
+from eventlift.operators.orders import not_of_users, users_with_order_before
 
 HASH_DIGITS = 4
 
@@ -129,13 +129,14 @@ def stratified_inactive_control(
     linked_users: DataFrame,
     typed_treatment: DataFrame,
     deliveries: DataFrame,
-    values: DataFrame,
+    orders: DataFrame,
     before: Period,
     stage: Callable[[DataFrame, str], DataFrame],
 ) -> DataFrame:
     """As many inactive non-attendees of each type as there are inactive attendees.
 
-    The pool is every account without a guest and without value in ``before``. Within
+    The pool is every account without a guest and without value in ``before``, judged
+    by the valid ``orders`` with their values; history comes from ``deliveries``. Within
     a type the users with the lowest MD5 of their id are taken, so the choice is random
     with respect to behaviour and the same on every run.
 
@@ -144,7 +145,7 @@ def stratified_inactive_control(
     bucket table has at most 16**HASH_DIGITS rows per type.
     """
     spent = (
-        valid_orders(deliveries, values, before, exclude=linked_users)
+        not_of_users(orders.where(before.contains("delivered_date_pt")), linked_users)
         .groupBy("user_id")
         .agg(F.sum("gtv_amt_usd").alias("value"))
         .where("value != 0")

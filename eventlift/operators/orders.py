@@ -15,12 +15,22 @@ ORDER_COLUMNS = ["user_id", "order_delivery_id", "delivered_date_pt", "zone_id",
 IS_VALID = "delivery_state = 'delivered' AND delivery_finalized_ind = 'Y' AND deleted_ind = 'N'"
 
 
+def of_users(orders: DataFrame, users: DataFrame) -> DataFrame:
+    """Orders of the given users, who should come as one row each."""
+    return orders.join(users.select("user_id"), "user_id", "left_semi")
+
+
+def not_of_users(orders: DataFrame, users: DataFrame) -> DataFrame:
+    """Orders of everybody else. As with NOT IN, an order without a user is not kept."""
+    known = orders.where("user_id IS NOT NULL")
+    return known.join(users.select("user_id"), "user_id", "left_anti")
+
+
 def valid_orders(
     deliveries: DataFrame,
     values: DataFrame,
     period: Period,
     users: DataFrame | None = None,
-    exclude: DataFrame | None = None,
     stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Valid orders delivered in ``period`` that have a value row.
@@ -29,17 +39,11 @@ def valid_orders(
     (``stage``): if they are few, Spark sees so and streams the value table past a
     broadcast of them, below any aggregation inside it, instead of shuffling it whole;
     if they are many, everything is shuffled on the order id once.
-    ``exclude`` keeps all other users' orders; as with NOT IN, an order without a user
-    is not kept.
     """
     orders = deliveries.where(f"{IS_VALID} AND {period.contains('delivered_date_pt')}")
     orders = orders.select(*ORDER_COLUMNS)
-    if exclude is not None:
-        orders = orders.where("user_id IS NOT NULL").join(
-            exclude.select("user_id"), "user_id", "left_anti"
-        )
     if users is not None:
-        orders = orders.join(users.select("user_id"), "user_id", "left_semi")
+        orders = of_users(orders, users)
         if stage is not None:
             orders = stage(orders, "orders_of_users")
         values = values.join(
@@ -55,5 +59,5 @@ def users_with_order_before(
     earlier = f"delivered_date_pt < DATE '{period.start}'"
     orders = deliveries.where(f"{IS_VALID} AND {earlier} AND user_id IS NOT NULL")
     if users is not None:
-        orders = orders.join(users.select("user_id"), "user_id", "left_semi")
+        orders = of_users(orders, users)
     return orders.select("user_id").distinct()

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from eventlift.functions.periods import EventSpec
 from eventlift.operators import activation, features, identity, matching, membership, metrics
-from eventlift.operators.orders import users_with_order_before, valid_orders
+from eventlift.operators.orders import (
+    not_of_users,
+    of_users,
+    users_with_order_before,
+    valid_orders,
+)
 from eventlift.sources.workspace import Workspace
 
 
@@ -64,24 +69,34 @@ class EventStudy:
 
     # Spend before and after
 
-    def _orders_of(self, users: DataFrame) -> DataFrame:
+    @cached_property
+    def span_orders(self) -> DataFrame:
+        """Everybody's valid, valued orders around the event.
+
+        Candidates, controls and inactive people all come from it, so that the large
+        value table is read once for them, not once each.
+        """
         t = self.tables
-        return valid_orders(
-            t.deliveries, t.values, self.spec.span, users=users, stage=self.workspace.stage
-        )
+        orders = valid_orders(t.deliveries, t.values, self.spec.span)
+        return self.workspace.stage(orders, "span_orders")
 
     @cached_property
     def attendee_orders(self) -> DataFrame:
-        return self.workspace.stage(self._orders_of(self.attendees), "attendee_orders")
-
-    def _metrics(self, orders: DataFrame) -> DataFrame:
-        entities = metrics.guest_users(self.linked)
-        return metrics.window_metrics(entities, orders, self.spec.periods)
+        """The attendees' share, from ``span_orders`` if a wider step has built it."""
+        t = self.tables
+        if "span_orders" in self.__dict__:
+            orders = of_users(self.span_orders, self.attendees)
+        else:
+            orders = valid_orders(
+                t.deliveries, t.values, self.spec.span, self.attendees, self.workspace.stage
+            )
+        return self.workspace.stage(orders, "attendee_orders")
 
     @cached_property
     def metrics(self) -> DataFrame:
         """Value and orders per attendee identity and period."""
-        table = self._metrics(self.attendee_orders)
+        people = metrics.guest_users(self.linked)
+        table = metrics.window_metrics(people, self.attendee_orders, self.spec.periods)
         return self.workspace.create_or_replace(table, "gtv_analysis")
 
     def summary(self) -> DataFrame:
@@ -98,9 +113,8 @@ class EventStudy:
 
     @cached_property
     def candidate_pool(self) -> DataFrame:
-        t = self.tables
-        orders = valid_orders(t.deliveries, t.values, self.spec.before, exclude=self.attendees)
-        table = features.candidate_pool(orders, t.dim_user, self.spec)
+        orders = not_of_users(self.span_orders, self.attendees)
+        table = features.candidate_pool(orders, self.tables.dim_user, self.spec)
         return self.workspace.create_or_replace(table, "candidate_pool")
 
     def feature_scales(self) -> DataFrame:
@@ -108,9 +122,10 @@ class EventStudy:
 
     @cached_property
     def control_group(self) -> DataFrame:
+        candidates = self.candidate_pool
         table = matching.match_nearest(
             self.treatment_features,
-            self.candidate_pool,
+            candidates,
             self.spec,
             self.workspace.stage,
             tile_rows=self.tile_rows,
@@ -125,11 +140,12 @@ class EventStudy:
         makes a table of it.
         """
         controls = self.control_group.select("user_id", "treatment_user_id", "match_distance")
-        orders = self._orders_of(controls.select("user_id").distinct())
+        orders = of_users(self.span_orders, controls.select("user_id").distinct())
         return metrics.window_metrics(controls, orders, self.spec.periods)
 
     def comparison(self) -> DataFrame:
-        return metrics.compare_groups(self.metrics, self.control_metrics, self.spec)
+        control = self.control_metrics
+        return metrics.compare_groups(self.metrics, control, self.spec)
 
     # Activation
 
@@ -141,21 +157,20 @@ class EventStudy:
         return activation.with_user_type(people, history)
 
     def _inactive_control(self, days: int) -> DataFrame:
-        t = self.tables
+        t, orders = self.tables, self.span_orders
         chosen = self.workspace.stage(
             activation.stratified_inactive_control(
                 t.users,
                 self.attendees,
                 self._typed_inactive(days),
                 t.deliveries,
-                t.values,
+                orders,
                 self.spec.pre(days),
                 self.workspace.stage,
             ),
             f"inactive_users_{days}d",
         )
-        orders = self._orders_of(chosen)
-        table = metrics.window_metrics(chosen, orders, self.spec.periods)
+        table = metrics.window_metrics(chosen, of_users(orders, chosen), self.spec.periods)
         return self.workspace.create_or_replace(table, f"control_inactive_{days}d_matched")
 
     def activation_overall(self) -> DataFrame:
@@ -165,12 +180,12 @@ class EventStudy:
         return activation.activation_by_window(self.metrics, self.spec)
 
     def activation_by_type(self, days: int) -> DataFrame:
-        return activation.activation_by_type(
-            self._typed_inactive(days), self.inactive_control(days), days
-        )
+        control = self.inactive_control(days)
+        return activation.activation_by_type(self._typed_inactive(days), control, days)
 
     def activation_summary(self, days: int) -> DataFrame:
-        return activation.activation_summary(self.metrics, self.inactive_control(days), days)
+        control = self.inactive_control(days)
+        return activation.activation_summary(self.metrics, control, days)
 
     def activation_lift(self, days: int) -> DataFrame:
         return activation.activation_lift(self.activation_by_type(days))

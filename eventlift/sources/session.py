@@ -6,11 +6,13 @@ from pyspark.sql import SparkSession
 
 # Hot keys in joins are split at run time. Where that costs the next join of the same
 # stage its partitioning, one more shuffle is still cheaper than one task with a third
-# of the rows, hence the force option.
+# of the rows, hence the force option. A shuffled join whose smaller side turns out to
+# have only small partitions hashes them instead of sorting both sides.
 OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32MB",
 }
 PARTITION_BYTES = 128 << 20
 

@@ -18,6 +18,7 @@ from eventlift.operators.membership import (
     status_penetration,
     status_transitions,
 )
+from eventlift.operators.orders import valid_orders
 from test_orders_and_metrics import DELIVERY, VALUE, order
 
 METRICS = (
@@ -89,14 +90,15 @@ def test_stratified_control(spark, spec, workspace):
             deliveries.append(order(i, 1000 + i, within))
             values.append((1000 + i, Decimal(0 if i % 20 == 0 else 5)))
     users = [(i, f"u{i}", "f", "l") for i in range(1, 401)]
+    deliveries = spark.createDataFrame(deliveries, DELIVERY)
     linked = list(range(1, 41))
     treatment = [(i, "dormant" if i % 3 == 0 else "new") for i in linked]
     chosen = stratified_inactive_control(
         spark.createDataFrame(users, "id bigint, email string, first_name string, last_name string"),
         spark.createDataFrame([(i,) for i in linked], "user_id bigint"),
         spark.createDataFrame(treatment, "user_id bigint, user_type string"),
-        spark.createDataFrame(deliveries, DELIVERY),
-        spark.createDataFrame(values, VALUE),
+        deliveries,
+        valid_orders(deliveries, spark.createDataFrame(values, VALUE), spec.span),
         before,
         workspace.stage,
     )

@@ -7,7 +7,7 @@ from eventlift import EventSpec
 from eventlift.functions.periods import add_months
 from eventlift.operators.features import candidate_pool, feature_scales, treatment_features
 from eventlift.operators.metrics import compare_groups, guest_users, window_metrics, window_summary
-from eventlift.operators.orders import users_with_order_before, valid_orders
+from eventlift.operators.orders import not_of_users, users_with_order_before, valid_orders
 
 DELIVERY = (
     "user_id bigint, order_delivery_id bigint, delivered_date_pt date, zone_id int, express string,"
@@ -75,7 +75,7 @@ def test_valid_orders(spark, tables, spec, workspace):
     found = valid_orders(deliveries, values, spec.span, users=users, stage=workspace.stage)
     numbers = sorted(r.order_delivery_id for r in found.collect())
     assert numbers == [100, 101, 102, 103, 104, 105, 106, 109, 300, 300]
-    others = valid_orders(deliveries, values, spec.before, exclude=users)
+    others = not_of_users(valid_orders(deliveries, values, spec.before), users)
     assert [r.order_delivery_id for r in others.collect()] == [500]
 
 
@@ -137,6 +137,6 @@ def test_candidates_need_value(spark, tables, spec):
     deliveries, values = tables
     dim = spark.createDataFrame([(3, date(2025, 9, 1), 6)], DIM)
     attendees = spark.createDataFrame([(1,)], "user_id bigint")
-    orders = valid_orders(deliveries, values, spec.before, exclude=attendees)
+    orders = not_of_users(valid_orders(deliveries, values, spec.span), attendees)
     rows = candidate_pool(orders, dim, spec).collect()
     assert [(r.user_id, r.zone_id, r.gtv_91d_pre) for r in rows] == [(3, 6, 12)]
