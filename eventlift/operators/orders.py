@@ -45,7 +45,8 @@ def valid_orders(
     if users is not None:
         orders = of_users(orders, users)
         if stage is not None:
-            orders = stage(orders, "orders_of_users")
+            # Few rows survive out of each of very many scan tasks: not one file per task.
+            orders = stage(orders.hint("rebalance", "order_delivery_id"), "orders_of_users")
         values = values.join(
             orders.select("order_delivery_id"), "order_delivery_id", "left_semi"
         )
