@@ -8,54 +8,71 @@ the planner see its true size, so that Spark's own threshold decides on a broadc
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: tempfile.TemporaryDirectory | None = None
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir``, else the session's warehouse.
 
-    Only a local session without that setting gets a temporary folder of its own; on a
-    cluster a folder on one machine would be invisible to the others.
+    A warehouse on a local disk counts only in a local session; on a cluster the other
+    machines would not see it, and the setting has to be made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_disk = ":" not in warehouse or warehouse.startswith("file:")
+    if on_disk and not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.TemporaryDirectory(prefix="eventlift-")
-    return _local_root.name
+    return warehouse
 
 
 class Workspace:
-    """Tables of one run, under a folder of its own in the shared folder."""
+    """Tables of one run, under a folder of its own in the shared folder.
+
+    The folder goes with ``drop()``, at the end of a ``with`` block, or at the latest
+    when the driver's JVM ends. ``views`` is put before the names of views, so that two
+    studies in a session keep theirs apart.
+    """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, views: str = ""):
         self.spark = spark
         self.root = f"{root or shared_folder(spark)}/run-{uuid.uuid4().hex}"
+        self.views = views
         self._numbers = itertools.count()
+        self._file_system().mkdirs(self._path())
+        self._file_system().deleteOnExit(self._path())  # only marks what exists
+
+    def _path(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+
+    def _file_system(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def new_path(self, name: str) -> str:
+        """A path in the folder that no other step uses."""
+        return f"{self.root}/{next(self._numbers):03d}-{name}"
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table that reads it back."""
-        path = f"{self.root}/{next(self._numbers):03d}-{name}"
+        path = self.new_path(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def create_or_replace(self, df: DataFrame, name: str) -> DataFrame:
         """``stage`` plus a temporary view of that name for SQL users."""
         table = self.stage(df, name)
-        table.createOrReplaceTempView(name)
+        table.createOrReplaceTempView(f"{self.views}{name}")
         return table
 
     def drop(self) -> None:
         """Delete the tables of this run. DataFrames that read them stop working."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        conf = self.spark._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        self._file_system().delete(self._path(), True)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
