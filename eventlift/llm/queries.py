@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlift.llm import byte_bpe, token_counts
+from eventlift.llm import byte_bpe, id_codec, packing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_codec.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op4_token_counts)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.drop("score")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
+
+
+OPERATORS = [
+    op1_byte_bpe,
+    op2_id_files,
+    op4_token_counts,
+    op9_quality_rules,
+    op10_best_fit_packing,
+]
+QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
