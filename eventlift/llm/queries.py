@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlift.llm import byte_bpe, id_codec, packing, pii, quality, token_counts
+from eventlift.llm import byte_bpe, hyperminhash, id_codec, packing, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, limit=80)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ OPERATORS = [
     op1_byte_bpe,
     op2_id_files,
     op4_token_counts,
+    op7_near_duplicates,
     op8_pii,
     op9_quality_rules,
     op10_best_fit_packing,
