@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventlift.llm import byte_bpe, hyperminhash, id_codec, packing, pii, quality, token_counts
+from eventlift.llm import byte_bpe, hyperminhash, id_codec, packing, pii, quality, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, limit=80)
 
@@ -53,6 +59,7 @@ OPERATORS = [
     op1_byte_bpe,
     op2_id_files,
     op4_token_counts,
+    op5_suffix_dedup,
     op7_near_duplicates,
     op8_pii,
     op9_quality_rules,
