@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlift.llm import byte_bpe, hyperminhash, id_codec, packing, pii, quality, suffix_dedup, token_counts
+from eventlift.llm import (
+    byte_bpe,
+    hyperminhash,
+    id_codec,
+    packing,
+    pii,
+    pivot_topk,
+    quality,
+    suffix_dedup,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +39,11 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_codec.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_topk.top_k(vectors, vectors["vec_id"] % 20 == 0, k=20, scale=64.0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
@@ -58,6 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = [
     op1_byte_bpe,
     op2_id_files,
+    op3_pivot_topk,
     op4_token_counts,
     op5_suffix_dedup,
     op7_near_duplicates,
