@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlift.llm import (
     byte_bpe,
+    html_labeller,
     hyperminhash,
     id_codec,
     packing,
@@ -53,6 +54,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_labeller.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, limit=80)
 
@@ -62,8 +67,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.drop("score")
+    documents = table(spark, sf_dir, "documents")
+    rules = quality.fit(documents, table(spark, sf_dir, "labels"))
+    return quality.score(documents, rules).drop("score")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +82,7 @@ OPERATORS = [
     op3_pivot_topk,
     op4_token_counts,
     op5_suffix_dedup,
+    op6_html_text,
     op7_near_duplicates,
     op8_pii,
     op9_quality_rules,

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlift import Workspace
-from eventlift.llm.tasks import Batches, arrow_map, batch_of
+from eventlift.llm.tasks import Batches, arrow_map, batch_of, same_rows
 from eventlift.llm.words import BASE, _tables, groups, mixed
 
 LENGTH = 100
@@ -349,6 +349,16 @@ def repeated_runs(texts: DataFrame, length: int, workspace: Workspace, hot: int
     return workspace.stage(found.unionAll(local).unionAll(copies), "runs")
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and ``text`` without nulls, and the row itself."""
+    after = F.xxhash64(docs[text_col]).bitwiseAND(F.lit(AFTER_ALL - 1)) + F.lit(AFTER_ALL)
+    return docs.select(
+        F.coalesce(docs[id_col].cast("long"), after).alias("id"),
+        F.coalesce(docs[text_col], F.lit("")).alias("text"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+    )
+
+
 def remove_repeats(
     docs: DataFrame,
     length: int = LENGTH,
@@ -365,10 +375,7 @@ def remove_repeats(
     the first. Rows without an id come after all others, in the order of their texts' hashes.
     """
     workspace = workspace or Workspace(docs.sparkSession)
-    after = F.xxhash64(docs[text_col]).bitwiseAND(F.lit(AFTER_ALL - 1)) + F.lit(AFTER_ALL)
-    texts = docs.select(
-        F.coalesce(docs[id_col].cast("long"), after).alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")
-    )
+    texts = _numbered(docs, id_col, text_col).select("id", "text")
     runs = repeated_runs(texts, length, workspace, hot)
     per_doc = runs.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
     beside = texts.join(per_doc, "id", "left").select("id", "text", "r.start", "r.stop")
@@ -378,3 +385,41 @@ def remove_repeats(
     cut = arrow_map(beside, task, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     doc_id = F.when(F.col("id") < AFTER_ALL, F.col("id"))
     return cut.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def _cut_rows(batches: Batches, length: int, text_at: int) -> Batches:
+    """Rows with their texts cut; the last two columns, starts and stops of runs, become null."""
+    for batch in batches:
+        starts, stops = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+        texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+        out = []
+        for data, first, last in zip(texts, starts, stops, strict=True):
+            for start, end in reversed(covered(first, last, length)) if first else ():
+                data = data[:start] + data[end:]
+            out.append(data if data is None else data.decode("utf-8", "ignore"))
+        columns = list(batch.columns)
+        columns[text_at] = pa.array(out, batch.schema.field(text_at).type)
+        for k in (2, 1):
+            columns[-k] = pa.nulls(batch.num_rows, batch.schema.field(batch.num_columns - k).type)
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
+def without_repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    workspace: Workspace | None = None,
+) -> DataFrame:
+    """``docs`` with what ``remove_repeats`` removes cut out of the texts.
+
+    Of a character cut in part nothing stays. Null texts stay null.
+    """
+    workspace = workspace or Workspace(docs.sparkSession)
+    numbered = _numbered(docs, id_col, text_col)
+    runs = repeated_runs(numbered.select("id", "text"), length, workspace)
+    per_doc = runs.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
+    beside = numbered.drop("text").join(per_doc, "id", "left")
+    flat = beside.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("r.start").alias("_start"), F.col("r.stop").alias("_stop"))
+    cut = same_rows(flat, partial(_cut_rows, length=length, text_at=docs.columns.index(text_col)))
+    return cut.select(*[f"`{c}`" for c in docs.columns])

@@ -40,6 +40,12 @@ def arrow_map(df: DataFrame, task: Callable[[Batches], Batches], schema: str) ->
     return df.mapInArrow(task, schema)
 
 
+def same_rows(df: DataFrame, task: Callable[[Batches], Batches]) -> DataFrame:
+    """``mapInArrow`` by a task that gives back batches of the columns it got."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task, df.schema)
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, as ``id`` and ``text``; a null text is empty.
 
