@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlift.functions.keys import only_for
 from eventlift.functions.periods import EventSpec, Period
 from eventlift.functions.rates import money, percent
 from eventlift.operators.metrics import CONTROL_LABEL, TREATMENT_LABEL
-from eventlift.operators.orders import not_of_users, users_with_order_before
+from eventlift.operators.orders import not_of_users
 
 HASH_DIGITS = 4
 
@@ -51,10 +52,14 @@ def activation_by_window(metrics: DataFrame, spec: EventSpec) -> DataFrame:
     )
 
 
-def with_user_type(people: DataFrame, history: DataFrame) -> DataFrame:
-    """``dormant`` if the user is in ``history`` (one row per user), else ``new``."""
-    history = history.select(F.col("user_id").alias("_earlier"))
-    joined = people.join(history, people["user_id"] == history["_earlier"], "left")
+def with_user_type(people: DataFrame, first: DataFrame, before: Period) -> DataFrame:
+    """``dormant`` if the user's first order lies before the window, else ``new``.
+
+    ``first`` is ``first_orders`` of a window that starts no earlier.
+    """
+    earlier = first.where(f"first_order_date < DATE '{before.start}'")
+    earlier = only_for(earlier, people, ["user_id"]).select(F.col("user_id").alias("_earlier"))
+    joined = people.join(earlier, people["user_id"] == earlier["_earlier"], "left")
     return joined.withColumn(
         "user_type", F.when(F.col("_earlier").isNotNull(), "dormant").otherwise("new")
     ).drop("_earlier")
@@ -128,15 +133,15 @@ def stratified_inactive_control(
     users: DataFrame,
     linked_users: DataFrame,
     typed_treatment: DataFrame,
-    deliveries: DataFrame,
-    orders: DataFrame,
+    totals: DataFrame,
+    first: DataFrame,
     before: Period,
     stage: Callable[[DataFrame, str], DataFrame],
 ) -> DataFrame:
     """As many inactive non-attendees of each type as there are inactive attendees.
 
-    The pool is every account without a guest and without value in ``before``, judged
-    by the valid ``orders`` with their values; history comes from ``deliveries``. Within
+    The pool is every account without a guest and without value in ``before``, judged by
+    ``totals``, the ``zone_totals`` of valid orders; ``first`` tells new from dormant. Within
     a type the users with the lowest MD5 of their id are taken, so the choice is random
     with respect to behaviour and the same on every run.
 
@@ -145,9 +150,9 @@ def stratified_inactive_control(
     bucket table has at most 16**HASH_DIGITS rows per type.
     """
     spent = (
-        not_of_users(orders.where(before.contains("delivered_date_pt")), linked_users)
+        not_of_users(totals, linked_users)
         .groupBy("user_id")
-        .agg(F.sum("gtv_amt_usd").alias("value"))
+        .agg(F.sum(f"gtv_{before.name}").alias("value"))
         .where("value != 0")
     )
     pool = (
@@ -157,9 +162,8 @@ def stratified_inactive_control(
         .join(linked_users.select("user_id"), "user_id", "left_anti")
         .join(spent.select("user_id"), "user_id", "left_anti")
     )
-    history = users_with_order_before(deliveries, before)
     typed = (
-        stage(with_user_type(pool, history), "inactive_pool")
+        stage(with_user_type(pool, first, before), "inactive_pool")
         .withColumn("digest", F.md5(F.col("user_id").cast("string")))
         .withColumn("bucket", F.substring("digest", 1, HASH_DIGITS))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from eventlift.functions.keys import only_for
 from eventlift.functions.periods import EventSpec
-from eventlift.operators.metrics import period_totals
+from eventlift.operators.metrics import zone_totals
 
 BLOCK = ["zone_id", "is_express"]
 
@@ -21,14 +21,21 @@ def _metric_order(spec: EventSpec) -> list[str]:
     return [c for p in spec.pre_periods for c in (f"orders_{p.name}", f"gtv_{p.name}")]
 
 
-def _zone_features(orders: DataFrame, spec: EventSpec) -> DataFrame:
-    """Per user and zone (no zone is a zone of its own): metrics and express flag."""
+def order_flags(spec: EventSpec) -> dict[str, str]:
+    """What ``zone_totals`` has to note for the features."""
+    return {"is_express": f"express = 'Y' AND {spec.before.contains('delivered_date_pt')}"}
+
+
+def feature_totals(orders: DataFrame, spec: EventSpec) -> DataFrame:
+    """Totals over the days before the event alone."""
     before = orders.where(spec.before.contains("delivered_date_pt"))
-    return period_totals(
-        before,
-        ["user_id", "zone_id"],
-        spec.pre_periods,
-        {"is_express": "express = 'Y'"},
+    return zone_totals(before, spec.pre_periods, order_flags(spec))
+
+
+def _zone_features(totals: DataFrame, spec: EventSpec) -> DataFrame:
+    """Per user and zone ordered from (no zone is a zone of its own) before the event."""
+    return totals.where(f"orders_{spec.before.name} > 0").select(
+        "user_id", "zone_id", "is_express", *_metric_order(spec)
     )
 
 
@@ -37,10 +44,13 @@ def _account_age(spec: EventSpec) -> str:
 
 
 def treatment_features(
-    users: DataFrame, orders: DataFrame, dim_user: DataFrame, spec: EventSpec
+    users: DataFrame, totals: DataFrame, dim_user: DataFrame, spec: EventSpec
 ) -> DataFrame:
-    """One row per attendee and zone ordered from; one row if there were no orders."""
-    features = _zone_features(orders, spec)
+    """One row per attendee and zone ordered from; one row if there were no orders.
+
+    ``totals`` are ``zone_totals`` with the flags of ``order_flags``.
+    """
+    features = only_for(_zone_features(totals, spec), users, ["user_id"])
     dims = dim_user.select("user_id", "activation_date_pt", "activation_zone_id")
     dims = only_for(dims, users, ["user_id"])
     joined = users.select("user_id").join(dims, "user_id", "left").join(features, "user_id", "left")
@@ -55,9 +65,9 @@ def treatment_features(
     )
 
 
-def candidate_pool(orders: DataFrame, dim_user: DataFrame, spec: EventSpec) -> DataFrame:
-    """The same features for the given orders' users, where value was positive."""
-    features = _zone_features(orders, spec).where(f"gtv_{spec.before.name} > 0")
+def candidate_pool(totals: DataFrame, dim_user: DataFrame, spec: EventSpec) -> DataFrame:
+    """The same features for the users of the given totals, where value was positive."""
+    features = _zone_features(totals, spec).where(f"gtv_{spec.before.name} > 0")
     dims = dim_user.select("user_id", "activation_date_pt", "activation_zone_id")
     return features.join(dims, "user_id", "left").selectExpr(
         "user_id",

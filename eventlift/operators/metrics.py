@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlift.functions.keys import only_for
 from eventlift.functions.periods import EventSpec, Period
 from eventlift.functions.rates import money, percent_change
 
@@ -19,48 +20,61 @@ def metric_columns(periods: list[Period]) -> list[str]:
     return [f"gtv_{p.name}" for p in periods] + [f"orders_{p.name}" for p in periods]
 
 
-def period_totals(
-    orders: DataFrame,
-    keys: list[str],
-    periods: list[Period],
-    flags: dict[str, str] | None = None,
+def zone_totals(
+    orders: DataFrame, periods: list[Period], flags: dict[str, str] | None = None
 ) -> DataFrame:
-    """Per key: value sum and number of distinct orders in each period, any-flags.
+    """Per user and zone: value and distinct orders of each period, and any-flags.
 
-    Two steps, order then key. The first makes one row per order, which turns the
-    distinct counts into plain sums (no row multiplication per distinct count) and
-    reuses the partitioning by order id of the value join. Both steps combine on the
-    map side, so a key with a third of all orders costs one row per task.
+    ``own_*`` counts an order that has rows in several zones in one of them only, so that
+    it adds up to the user's distinct orders. Orders come partitioned by their id from the
+    join with their values; the steps per order stay in that stage, and only sums, combined
+    on the map side, are shuffled. A user with a third of all orders costs a row per task.
 
     ``flags`` maps a column name to a condition that any order of the key may meet.
     """
     flags = flags or {}
     names = [p.name for p in periods]
     inside = {p.name: p.contains("delivered_date_pt") for p in periods}
-    per_order = orders.groupBy(*keys, "order_delivery_id").agg(
+    per_order = orders.groupBy("user_id", "zone_id", "order_delivery_id").agg(
         *_exprs(f"sum(CASE WHEN {inside[n]} THEN gtv_amt_usd END) AS gtv_{n}" for n in names),
         *_exprs(f"max(CASE WHEN {inside[n]} THEN 1 ELSE 0 END) AS orders_{n}" for n in names),
         *_exprs(f"max(CASE WHEN {on} THEN 1 ELSE 0 END) AS {flag}" for flag, on in flags.items()),
     )
-    return per_order.groupBy(*keys).agg(
+    so_far = "OVER (PARTITION BY user_id, order_delivery_id ORDER BY zone_id ROWS UNBOUNDED PRECEDING)"
+    counted_once = per_order.selectExpr(
+        "*", *[f"IF(sum(orders_{n}) {so_far} = 1, orders_{n}, 0) AS own_{n}" for n in names]
+    )
+    return counted_once.groupBy("user_id", "zone_id").agg(
         *_exprs(f"max({flag}) AS {flag}" for flag in flags),
-        *_exprs(
-            f"CAST(coalesce(sum(gtv_{n}), 0) AS DECIMAL(28,2)) AS gtv_{n}" for n in names
-        ),
-        *_exprs(f"sum(orders_{n}) AS orders_{n}" for n in names),
+        *_exprs(f"CAST(coalesce(sum(gtv_{n}), 0) AS DECIMAL(28,2)) AS gtv_{n}" for n in names),
+        *_exprs(f"sum({kind}_{n}) AS {kind}_{n}" for kind in ("orders", "own") for n in names),
     )
 
 
-def window_metrics(
-    entities: DataFrame, orders: DataFrame, periods: list[Period]
-) -> DataFrame:
+def user_totals(totals: DataFrame, periods: list[Period]) -> DataFrame:
+    """Per user: value and distinct orders of each period, from ``zone_totals``."""
+    names = [p.name for p in periods]
+    return totals.groupBy("user_id").agg(
+        *_exprs(f"CAST(sum(gtv_{n}) AS DECIMAL(28,2)) AS gtv_{n}" for n in names),
+        *_exprs(f"sum(own_{n}) AS orders_{n}" for n in names),
+    )
+
+
+def metrics_of(entities: DataFrame, totals: DataFrame, periods: list[Period]) -> DataFrame:
     """Every entity row with its user's metrics, zero where there were no orders."""
-    totals = period_totals(orders, ["user_id"], periods)
     names = metric_columns(periods)
-    joined = entities.join(totals, "user_id", "left")
+    wanted = only_for(totals.where("user_id IS NOT NULL"), entities, ["user_id"])
+    joined = entities.join(user_totals(wanted, periods), "user_id", "left")
     return joined.fillna(0, names).select(*entities.columns, *names)
 
 
+def window_metrics(
+    entities: DataFrame, orders: DataFrame, periods: list[Period]
+) -> DataFrame:
+    """``metrics_of`` straight from orders."""
+    return metrics_of(entities, zone_totals(orders, periods), periods)
+
+
 def guest_users(linked: DataFrame) -> DataFrame:
     """Distinct identities with an account; one account under two names is two rows."""
     return (

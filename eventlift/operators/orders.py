@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventlift.functions.periods import Period
 
@@ -53,12 +54,11 @@ def valid_orders(
     return orders.join(values, "order_delivery_id")
 
 
-def users_with_order_before(
-    deliveries: DataFrame, period: Period, users: DataFrame | None = None
-) -> DataFrame:
-    """Users with any valid order before ``period``, valued or not, one row each."""
-    earlier = f"delivered_date_pt < DATE '{period.start}'"
+def first_orders(deliveries: DataFrame, before: Period) -> DataFrame:
+    """``user_id, first_order_date`` of users with a valid order before ``before`` starts.
+
+    Valued or not. One table serves every window that starts no later.
+    """
+    earlier = f"delivered_date_pt < DATE '{before.start}'"
     orders = deliveries.where(f"{IS_VALID} AND {earlier} AND user_id IS NOT NULL")
-    if users is not None:
-        orders = of_users(orders, users)
-    return orders.select("user_id").distinct()
+    return orders.groupBy("user_id").agg(F.min("delivered_date_pt").alias("first_order_date"))

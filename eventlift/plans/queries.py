@@ -22,12 +22,16 @@ from eventlift.sources.workspace import Workspace
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _study(spark: SparkSession, sf_dir: str) -> EventStudy:
-    return EventStudy(FixtureTables(tune(spark), sf_dir), EVENT, Workspace(spark))
+def _study(spark: SparkSession, sf_dir: str, **options: bool | int) -> EventStudy:
+    return EventStudy(FixtureTables(tune(spark), sf_dir), EVENT, Workspace(spark), **options)
 
 
-def _of_study(build: Callable[[EventStudy], DataFrame]) -> Query:
-    return lambda spark, sf_dir: as_doubles(build(_study(spark, sf_dir)))
+def _of_study(build: Callable[[EventStudy], DataFrame], **options: bool | int) -> Query:
+    return lambda spark, sf_dir: as_doubles(build(_study(spark, sf_dir, **options)))
+
+
+def _before(build: Callable[[EventStudy], DataFrame], **options: bool | int) -> Query:
+    return _of_study(build, before_only=True, **options)
 
 
 def _of_export(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -102,10 +106,11 @@ QUERIES: dict[str, Query] = {
         lambda s: ingest.sample(s.metrics, 10, ["user_id", "first_name", "last_name", "email"])
     ),
     "event_window_summary": _of_study(lambda s: s.summary()),
-    "treatment_features": _of_study(lambda s: _with_text_date(s.treatment_features)),
-    "candidate_pool": _of_study(lambda s: _with_text_date(s.candidate_pool)),
-    "feature_scales": _of_study(lambda s: _rounded_scales(s.feature_scales())),
-    "control_group": _of_study(lambda s: _rounded_distance(s.control_group)),
+    "treatment_features": _before(lambda s: _with_text_date(s.treatment_features)),
+    "candidate_pool": _before(lambda s: _with_text_date(s.candidate_pool)),
+    "feature_scales": _before(lambda s: _rounded_scales(s.feature_scales())),
+    "control_group": _before(lambda s: _rounded_distance(s.control_group)),
+    "control_group_tiled": _before(lambda s: _rounded_distance(s.control_group), tile_rows=16),
     "control_window_metrics": _of_study(lambda s: _rounded_distance(s.control_metrics)),
     "treatment_control_comparison": _of_study(lambda s: s.comparison()),
     "activation_overall": _of_study(lambda s: s.activation_overall()),

@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlift.functions.periods import EventSpec
 from eventlift.operators import activation, features, identity, matching, membership, metrics
-from eventlift.operators.orders import (
-    not_of_users,
-    of_users,
-    users_with_order_before,
-    valid_orders,
-)
+from eventlift.operators.orders import first_orders, not_of_users, valid_orders
 from eventlift.sources.workspace import Workspace
 
 
@@ -35,7 +30,12 @@ class StudyTables:
 
 
 class EventStudy:
-    """Steps as properties. A step that several others read is written once per study."""
+    """Steps as properties. A step that several others read is written once per study.
+
+    Orders are valued once, for everybody, and kept as totals per user and zone. A study
+    that only looks at the days before the event (features, candidates, the matched group)
+    says so with ``before_only`` and values no others.
+    """
 
     def __init__(
         self,
@@ -44,12 +44,14 @@ class EventStudy:
         workspace: Workspace,
         status: str = "checked in",
         tile_rows: int = matching.TILE_ROWS,
+        before_only: bool = False,
     ):
         self.tables = tables
         self.spec = spec
         self.workspace = workspace
         self.status = status
         self.tile_rows = tile_rows
+        self.before_only = before_only
         self.inactive_control = cache(self._inactive_control)
 
     # Identity
@@ -65,38 +67,28 @@ class EventStudy:
     def attendees(self) -> DataFrame:
         """Distinct linked accounts."""
         found = self.linked.where(F.col("user_id").isNotNull())
-        return found.select("user_id").distinct()
+        return self.workspace.stage(found.select("user_id").distinct(), "attendees")
 
     # Spend before and after
 
     @cached_property
-    def span_orders(self) -> DataFrame:
-        """Everybody's valid, valued orders around the event.
-
-        Candidates, controls and inactive people all come from it, so that the large
-        value table is read once for them, not once each.
-        """
-        t = self.tables
-        orders = valid_orders(t.deliveries, t.values, self.spec.span)
-        return self.workspace.stage(orders, "span_orders")
-
-    @cached_property
-    def attendee_orders(self) -> DataFrame:
-        """The attendees' share, from ``span_orders`` if a wider step has built it."""
-        t = self.tables
-        if "span_orders" in self.__dict__:
-            orders = of_users(self.span_orders, self.attendees)
-        else:
-            orders = valid_orders(
-                t.deliveries, t.values, self.spec.span, self.attendees, self.workspace.stage
-            )
-        return self.workspace.stage(orders, "attendee_orders")
+    def totals(self) -> DataFrame:
+        """Everybody's value and orders per zone and period, from one pass over the values."""
+        t, spec = self.tables, self.spec
+        period, periods = (spec.before, spec.pre_periods) if self.before_only else (spec.span, spec.periods)
+        orders = valid_orders(t.deliveries, t.values, period)
+        table = metrics.zone_totals(orders, periods, features.order_flags(spec))
+        return self.workspace.stage(table, "totals")
+
+    def _metrics_of(self, entities: DataFrame) -> DataFrame:
+        if self.before_only:
+            raise ValueError("this study has no totals of the days after the event")
+        return metrics.metrics_of(entities, self.totals, self.spec.periods)
 
     @cached_property
     def metrics(self) -> DataFrame:
         """Value and orders per attendee identity and period."""
-        people = metrics.guest_users(self.linked)
-        table = metrics.window_metrics(people, self.attendee_orders, self.spec.periods)
+        table = self._metrics_of(metrics.guest_users(self.linked))
         return self.workspace.create_or_replace(table, "gtv_analysis")
 
     def summary(self) -> DataFrame:
@@ -107,14 +99,14 @@ class EventStudy:
     @cached_property
     def treatment_features(self) -> DataFrame:
         table = features.treatment_features(
-            self.attendees, self.attendee_orders, self.tables.dim_user, self.spec
+            self.attendees, self.totals, self.tables.dim_user, self.spec
         )
         return self.workspace.create_or_replace(table, "treatment_features")
 
     @cached_property
     def candidate_pool(self) -> DataFrame:
-        orders = not_of_users(self.span_orders, self.attendees)
-        table = features.candidate_pool(orders, self.tables.dim_user, self.spec)
+        others = not_of_users(self.totals, self.attendees)
+        table = features.candidate_pool(others, self.tables.dim_user, self.spec)
         return self.workspace.create_or_replace(table, "candidate_pool")
 
     def feature_scales(self) -> DataFrame:
@@ -134,14 +126,9 @@ class EventStudy:
 
     @cached_property
     def control_metrics(self) -> DataFrame:
-        """Value and orders of every matched control, once per treatment user it serves.
-
-        Only the comparison reads it, so it is not written; ``Workspace.create_or_replace``
-        makes a table of it.
-        """
+        """Value and orders of every matched control, once per treatment user it serves."""
         controls = self.control_group.select("user_id", "treatment_user_id", "match_distance")
-        orders = of_users(self.span_orders, controls.select("user_id").distinct())
-        return metrics.window_metrics(controls, orders, self.spec.periods)
+        return self.workspace.create_or_replace(self._metrics_of(controls), "control_metrics")
 
     def comparison(self) -> DataFrame:
         control = self.control_metrics
@@ -149,29 +136,31 @@ class EventStudy:
 
     # Activation
 
+    @cached_property
+    def first_orders(self) -> DataFrame:
+        """Everybody's first valid order, from one pass over the history."""
+        latest = self.spec.pre(min(self.spec.lengths))
+        return self.workspace.stage(first_orders(self.tables.deliveries, latest), "first_orders")
+
     def _typed_inactive(self, days: int) -> DataFrame:
         people = activation.inactive(self.metrics, days)
-        history = users_with_order_before(
-            self.tables.deliveries, self.spec.pre(days), users=people.select("user_id").distinct()
-        )
-        return activation.with_user_type(people, history)
+        return activation.with_user_type(people, self.first_orders, self.spec.pre(days))
 
     def _inactive_control(self, days: int) -> DataFrame:
-        t, orders = self.tables, self.span_orders
         chosen = self.workspace.stage(
             activation.stratified_inactive_control(
-                t.users,
+                self.tables.users,
                 self.attendees,
                 self._typed_inactive(days),
-                t.deliveries,
-                orders,
+                self.totals,
+                self.first_orders,
                 self.spec.pre(days),
                 self.workspace.stage,
             ),
             f"inactive_users_{days}d",
         )
-        table = metrics.window_metrics(chosen, of_users(orders, chosen), self.spec.periods)
-        return self.workspace.create_or_replace(table, f"control_inactive_{days}d_matched")
+        name = f"control_inactive_{days}d_matched"
+        return self.workspace.create_or_replace(self._metrics_of(chosen), name)
 
     def activation_overall(self) -> DataFrame:
         return activation.activation_overall(self.metrics, max(self.spec.lengths))

@@ -13,6 +13,12 @@ OPTIONS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32MB",
+    # The orders of some days are few among all values: a Bloom filter of their ids, of 16 MB
+    # at most, is worth building from far more than the default's 10 MB of them.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "16000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 27),
 }
 PARTITION_BYTES = 128 << 20
 

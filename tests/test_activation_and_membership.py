@@ -18,7 +18,8 @@ from eventlift.operators.membership import (
     status_penetration,
     status_transitions,
 )
-from eventlift.operators.orders import valid_orders
+from eventlift.operators.metrics import zone_totals
+from eventlift.operators.orders import first_orders, valid_orders
 from test_orders_and_metrics import DELIVERY, VALUE, order
 
 METRICS = (
@@ -97,8 +98,10 @@ def test_stratified_control(spark, spec, workspace):
         spark.createDataFrame(users, "id bigint, email string, first_name string, last_name string"),
         spark.createDataFrame([(i,) for i in linked], "user_id bigint"),
         spark.createDataFrame(treatment, "user_id bigint, user_type string"),
-        deliveries,
-        valid_orders(deliveries, spark.createDataFrame(values, VALUE), spec.span),
+        zone_totals(
+            valid_orders(deliveries, spark.createDataFrame(values, VALUE), spec.span), spec.periods
+        ),
+        first_orders(deliveries, before),
         before,
         workspace.stage,
     )

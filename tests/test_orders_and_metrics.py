@@ -2,12 +2,26 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventlift import EventSpec
 from eventlift.functions.periods import add_months
-from eventlift.operators.features import candidate_pool, feature_scales, treatment_features
-from eventlift.operators.metrics import compare_groups, guest_users, window_metrics, window_summary
-from eventlift.operators.orders import not_of_users, users_with_order_before, valid_orders
+from eventlift.operators.features import (
+    candidate_pool,
+    feature_scales,
+    feature_totals,
+    treatment_features,
+)
+from eventlift.operators.activation import with_user_type
+from eventlift.operators.metrics import (
+    compare_groups,
+    guest_users,
+    user_totals,
+    window_metrics,
+    window_summary,
+    zone_totals,
+)
+from eventlift.operators.orders import first_orders, not_of_users, valid_orders
 
 DELIVERY = (
     "user_id bigint, order_delivery_id bigint, delivered_date_pt date, zone_id int, express string,"
@@ -81,10 +95,29 @@ def test_valid_orders(spark, tables, spec, workspace):
 
 def test_history_needs_no_value(tables, spec):
     deliveries, _ = tables
-    before = users_with_order_before(deliveries, spec.pre(28))
-    assert [r.user_id for r in before.collect()] == [1]
-    later = users_with_order_before(deliveries, EventSpec(date(2026, 9, 4)).pre(28))
+    before = first_orders(deliveries, spec.pre(28))
+    assert [tuple(r) for r in before.collect()] == [(1, date(2025, 6, 4))]
+    later = first_orders(deliveries, EventSpec(date(2026, 9, 4)).pre(28))
     assert sorted(r.user_id for r in later.collect()) == [1, 2, 3, 4]
+    people = deliveries.select("user_id").where("user_id IS NOT NULL").distinct()
+    first = deliveries.groupBy("user_id").agg(F.min("delivered_date_pt").alias("first_order_date"))
+    typed = with_user_type(people, first, spec.pre(91))
+    assert {r.user_id: r.user_type for r in typed.collect()} == {1: "dormant", 2: "new", 3: "new", 4: "new"}
+
+
+def test_an_order_in_two_zones_counts_once_for_its_user(spark, spec):
+    rows = [(1, 100, date(2025, 9, 1), z, "N", Decimal(v)) for z, v in ((1, 3), (2, 4), (None, 5), (1, 1))]
+    rows.append((1, 100, date(2025, 9, 10), 0, "Y", Decimal(2)))
+    rows.append((1, 101, date(2025, 9, 10), 2, "N", None))
+    schema = (
+        "user_id bigint, order_delivery_id bigint, delivered_date_pt date, zone_id int, express string,"
+        " gtv_amt_usd decimal(18,2)"
+    )
+    totals = zone_totals(spark.createDataFrame(rows, schema), spec.periods)
+    found = {r.zone_id: (r.gtv_28d_pre, r.orders_28d_pre, r.orders_28d_post) for r in totals.collect()}
+    assert found == {1: (4, 1, 0), 2: (4, 1, 1), None: (5, 1, 0), 0: (0, 0, 1)}
+    user = user_totals(totals, spec.periods).first()
+    assert (user.gtv_28d_pre, user.orders_28d_pre, user.gtv_91d_post, user.orders_91d_post) == (13, 1, 2, 2)
 
 
 def test_window_metrics(spark, tables, spec):
@@ -120,7 +153,7 @@ def test_features(spark, tables, spec):
         [(1, date(2025, 9, 1), 5), (3, None, 6), (7, date(2025, 1, 1), 8)], DIM
     )
     users = spark.createDataFrame([(1,), (3,), (7,), (8,)], "user_id bigint")
-    orders = valid_orders(deliveries, values, spec.span, users=users)
+    orders = feature_totals(valid_orders(deliveries, values, spec.span, users=users), spec)
     rows = {
         (r.user_id, r.zone_id): r for r in treatment_features(users, orders, dim, spec).collect()
     }
@@ -138,5 +171,5 @@ def test_candidates_need_value(spark, tables, spec):
     dim = spark.createDataFrame([(3, date(2025, 9, 1), 6)], DIM)
     attendees = spark.createDataFrame([(1,)], "user_id bigint")
     orders = not_of_users(valid_orders(deliveries, values, spec.span), attendees)
-    rows = candidate_pool(orders, dim, spec).collect()
+    rows = candidate_pool(feature_totals(orders, spec), dim, spec).collect()
     assert [(r.user_id, r.zone_id, r.gtv_91d_pre) for r in rows] == [(3, 6, 12)]

@@ -9,7 +9,9 @@ from eventlift.operators import identity, membership, metrics
 from eventlift.operators.matching import match_nearest
 from eventlift.operators.orders import valid_orders
 from eventlift.sources.fixtures import EVENT, FixtureTables
+from eventlift.plans.study import EventStudy
 from eventlift.sources.session import tune
+from eventlift.sources.workspace import Workspace
 
 
 
@@ -59,15 +61,66 @@ def test_few_orders_are_broadcast_below_the_value_aggregation(tables, attendees,
 
 def test_many_orders_are_shuffled_on_the_order_id_once(tables, attendees, no_broadcast):
     orders = valid_orders(tables.deliveries, tables.values, EVENT.span)
-    per_user = metrics.period_totals(orders, ["user_id"], EVENT.periods)
-    plan = physical(per_user)
+    plan = physical(metrics.zone_totals(orders, EVENT.periods))
     assert "Expand" not in plan
     # Customer to nation, orders to customer: two each. Then orders and lines on the order
-    # id, and the totals on the user. The step per order adds none.
+    # id, and the totals on user and zone. The steps per order add none.
     assert len(re.findall(r"Exchange hashpartitioning\(", plan)) == 7
     assert len(re.findall(r"hashpartitioning\((?:order_delivery_id|l_orderkey)", plan)) == 2
 
 
+def test_values_are_filtered_before_they_are_summed(spark, tables, workspace, no_broadcast):
+    deliveries = workspace.stage(tables.deliveries, "deliveries")
+    options = {"applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1TB"}
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in options.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        plan = physical(valid_orders(deliveries, tables.values, EVENT.before))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    filters = [i for i, line in enumerate(plan.splitlines()) if "might_contain" in line]
+    aggregation = next(i for i, line in enumerate(plan.splitlines()) if "partial_sum" in line)
+    assert filters and filters[0] > aggregation
+
+
+def scans(plans: list[str], column: str) -> int:
+    return sum(len(re.findall(rf"FileScan parquet \[[^\]]*\b{column}", p.split("== Physical Plan ==")[1])) for p in plans)
+
+
+@pytest.fixture()
+def written(monkeypatch):
+    plans, stage = [], Workspace.stage
+
+    def recorded(self, df, name):
+        plans.append(plan_of(df))
+        return stage(self, df, name)
+
+    monkeypatch.setattr(Workspace, "stage", recorded)
+    return plans
+
+
+def test_a_study_reads_values_once_and_orders_twice(spark, tables, workspace, written):
+    study = EventStudy(tables, EVENT, workspace)
+    study.summary().collect()
+    study.comparison().collect()
+    assert scans(written, "l_extendedprice") == 1
+    for days in EVENT.lengths:
+        study.activation_lift(days).collect()
+    assert scans(written, "l_extendedprice") == 1 and scans(written, "o_orderkey") == 2
+
+
+def test_candidates_value_the_days_before_alone(spark, tables, workspace, written):
+    study = EventStudy(tables, EVENT, workspace, before_only=True)
+    assert study.candidate_pool.count() > 0
+    (totals,) = [p for p in written if "l_extendedprice" in p]
+    assert "1995-09-03" in totals and "1995-12" not in totals
+    with pytest.raises(ValueError, match="after the event"):
+        study.metrics  # noqa: B018
+
+
 def test_memberships_are_reduced_before_the_join(tables, attendees):
     status = membership.status_at(attendees, tables.subscriptions, EVENT.status_dates)
     plan = physical(status)
