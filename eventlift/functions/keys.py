@@ -11,29 +11,41 @@ from pyspark.sql import functions as F
 NULL_KEY_SPREAD = 1024
 
 
-def fold(column: str | Column, blank_as_null: bool = False) -> Column:
+def column(name: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fold(key: str | Column, blank_as_null: bool = False) -> Column:
     """Case-fold and strip ASCII spaces, the form in which identities are compared."""
-    folded = F.lower(F.trim(F.col(column) if isinstance(column, str) else column))
+    folded = F.lower(F.trim(column(key) if isinstance(key, str) else key))
     return F.nullif(folded, F.lit("")) if blank_as_null else folded
 
 
-def left_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def left_lookup(
+    left: DataFrame, right: DataFrame, on: list[str], only_wanted: bool = False
+) -> DataFrame:
     """Left equi-join on ``on``; the key columns of ``right`` are not kept.
 
     A NULL key never matches, yet a plain join sends all of them to one task. Here
     each NULL-keyed row gets one of many spread numbers inside a struct key, so those
     rows are shuffled evenly; rows with a full key carry 0 and match as usual.
     Hot non-NULL keys are left to AQE, which may split the left side of a left join.
+
+    ``only_wanted`` first reduces ``right`` to the keys of ``left``, as ``only_for`` does, by the
+    same key, so that ``right`` is shuffled once for both.
     """
     missing = reduce(or_, [F.col(c).isNull() for c in on])
     spread = F.when(
-        missing, F.pmod(F.xxhash64(*left.columns), F.lit(NULL_KEY_SPREAD)) + 1
+        missing, F.pmod(F.xxhash64(*map(column, left.columns)), F.lit(NULL_KEY_SPREAD)) + 1
     ).otherwise(F.lit(0).cast("bigint"))
     keyed = left.withColumn("_key", F.struct(*on, spread.alias("spread")))
     wanted = right.dropna(subset=on).select(
         F.struct(*on, F.lit(0).cast("bigint").alias("spread")).alias("_key"),
         *[c for c in right.columns if c not in on],
     )
+    if only_wanted:
+        wanted = wanted.join(keyed.where(~missing).select("_key"), "_key", "left_semi")
     return keyed.join(wanted, "_key", "left").drop("_key")
 
 

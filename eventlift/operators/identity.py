@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlift.functions.keys import fold, left_lookup, only_for
+from eventlift.functions.keys import column, fold, left_lookup, only_for
 from eventlift.functions.rates import percent
 
 EMAIL = ("email",)
@@ -65,21 +66,24 @@ def link_identity(
     """
     if dedupe not in (None, "min_id"):
         raise ValueError(f"unknown dedupe {dedupe!r}")
+    if "user_id" in map(str.lower, guests.columns):
+        raise ValueError("the guest list has a column user_id, which is the name of the result")
     plan = STRATEGIES[strategy]
     one_per_key = plan.one_account_per_key or dedupe == "min_id"
     kept = guests.where(status_is(status)) if status else guests
+    columns = [column(c) for c in guests.columns]
     linked = kept.withColumn("_user", F.lit(None).cast(users.schema["id"].dataType))
     for keys in plan.steps:
         on = [f"_{k}" for k in keys]
         folded = {f"_{k}": fold(k, blank_as_null) for k in keys}
         accounts = _accounts(users, keys, blank_as_null, one_per_key)
-        accounts = only_for(accounts, kept.select(*[c.alias(n) for n, c in folded.items()]), on)
-        # A guest who already has an account gets NULL keys: no match, no hot key.
+        # A guest who already has an account gets NULL keys: no match, no hot key, and no
+        # account is looked up for them.
         open_guest = F.col("_user").isNull()
         named = linked.withColumns({n: F.when(open_guest, c) for n, c in folded.items()})
-        found = left_lookup(named, accounts, on)
-        linked = found.select(*guests.columns, F.coalesce("_user", "_id").alias("_user"))
-    return linked.select(F.col("_user").alias("user_id"), *guests.columns)
+        found = left_lookup(named, accounts, on, only_wanted=True)
+        linked = found.select(*columns, F.coalesce("_user", "_id").alias("_user"))
+    return linked.select(F.col("_user").alias("user_id"), *columns)
 
 
 def match_stats(linked: DataFrame) -> DataFrame:
@@ -98,12 +102,14 @@ def match_report(
     users: DataFrame,
     strategies: tuple[str, ...] = tuple(STRATEGIES),
     blank_as_null: bool = False,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """One labelled row per strategy, counted without building the joined rows.
 
     Guests and accounts are first counted per key, so a key that a third of both
     sides share meets as one row with one row; the size of the fan-out is then the
-    product of the two counts.
+    product of the two counts. With ``stage`` the counted guests are written, so that the
+    guest list is read once, not once for each key set.
     """
     chosen = [STRATEGIES[s] for s in strategies]
     key_sets = list(dict.fromkeys(keys for s in chosen for keys in s.steps))
@@ -113,7 +119,7 @@ def match_report(
         .groupBy(*[f"_{k}" for k in columns])
         .agg(F.count("*").alias("_guests"))
     )
-    counted = keyed
+    counted = keyed = stage(keyed, "guest_keys") if stage else keyed
     for keys in key_sets:
         tag = "_".join(keys)
         on = [f"_{k}" for k in keys]

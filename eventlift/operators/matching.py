@@ -4,9 +4,9 @@ Comparing every treatment row with every candidate of its block does not scale:
 block may hold a third of both. Instead the candidates of a block are cut into tiles
 of at most ``tile_rows`` distinct feature vectors, along quantiles of one feature after
 the other. A treatment vector is compared with its home tile, which bounds its nearest
-distance, and then only with those tiles whose bounding box lies within that bound.
-The result equals the full comparison, ties included, and the work per treatment vector
-is a few tiles however large the block is.
+distance; then with the nearest of those tiles whose bounding box lies within that bound,
+which tightens it; and at last with the tiles still within it. The result equals the full
+comparison, ties included. A tile that many vectors ask for is split by a hash of theirs.
 
 A block that fits into one tile is never cut, so small inputs run as one plain join.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlift.functions.keys import left_lookup
 from eventlift.functions.periods import EventSpec
 from eventlift.operators.features import (
     BLOCK,
@@ -30,6 +31,10 @@ from eventlift.operators.features import (
 
 TILE_ROWS = 1024
 CUTS_PER_ROUND = 32
+#: Vectors that one task compares with a tile.
+TILE_VISITS = 4096
+#: Nearest tiles visited, one after the other, to tighten a bound.
+TIGHTENED = 2
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -98,23 +103,31 @@ def _boxes(points: DataFrame, space: _Space, block: list[str]) -> DataFrame:
 def _quantile_cuts(
     points: DataFrame, boxes: DataFrame, tile_rows: int, dim: str, block: list[str]
 ) -> DataFrame:
-    """Cut values along ``dim`` for each tile that is too big.
+    """Cut values along ``dim`` for each tile that is too big, as many as it needs.
 
     The minimum is a cut of its own, so a tile splits unless ``dim`` is constant in it.
     Quantiles come from mergeable sketches; they place the cuts and decide nothing else.
     """
     shares = [i / CUTS_PER_ROUND for i in range(1, CUTS_PER_ROUND)]
     too_big = boxes.where(F.col("n") > tile_rows).select(*block, "tile")
-    return (
+    parts = F.least(F.ceil(F.count("*") / tile_rows), F.lit(CUTS_PER_ROUND))
+    cut = (
         points.join(too_big, [*block, "tile"], "left_semi")
         .groupBy(*block, "tile")
         .agg(
-            F.array_distinct(
-                F.concat(F.array(F.min(dim)), F.percentile_approx(dim, shares, 1000))
-            ).alias("cuts"),
+            F.min(dim).alias("low"),
+            F.percentile_approx(dim, shares, 1000).alias("quantiles"),
+            parts.alias("parts"),
             F.max(dim).alias("top"),
         )
     )
+    wanted = (
+        "filter(quantiles, (q, i) ->"
+        f" (i + 1) * parts DIV {CUTS_PER_ROUND} > i * parts DIV {CUTS_PER_ROUND})"
+    )
+    return cut.selectExpr(
+        *block, "tile", f"array_distinct(concat(array(low), {wanted})) AS cuts", "top"
+    )
 
 
 def _descend(rows: DataFrame, cuts: DataFrame, dim: str, block: list[str]) -> DataFrame:
@@ -137,13 +150,17 @@ def _compared(
 ) -> DataFrame:
     """Each row with every point of its tile, at most ``tile_rows`` of them.
 
-    The joined rows feed the aggregation in the same stage and are never shuffled. A
-    tile that a third of the treatment asks for is split by AQE's skew join.
+    The joined rows feed the aggregation in the same stage and are never shuffled. What a
+    task compares is bounded by pairs, not bytes: the rows of a tile are dealt out by a hash
+    of their vectors, and its points repeated for each part.
     """
-    other = points.selectExpr(
-        *block, "tile", "control_user_id", *[f"{n} AS p_{n}" for n in space.names]
-    )
-    return visits.join(other, [*block, "tile"]).withColumn("distance", space.distance())
+    tile = [*block, "tile"]
+    parts = visits.groupBy(*tile).agg(F.ceil(F.count("*") / TILE_VISITS).cast("int").alias("parts"))
+    other = points.selectExpr(*tile, "control_user_id", *[f"{n} AS p_{n}" for n in space.names])
+    repeated = other.join(parts, tile).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = visits.join(parts, tile).withColumn("part", F.pmod(F.hash(*space.names), "parts"))
+    joined = dealt.drop("parts").join(repeated.drop("parts"), [*tile, "part"]).drop("part")
+    return joined.withColumn("distance", space.distance())
 
 
 def _nearest_vectors(
@@ -188,9 +205,11 @@ def _nearest_vectors(
             visits = (
                 visits.withColumnRenamed("tile", "parent")
                 .join(children, [*block, "parent"])
-                .where(space.distance_to_box() <= F.col("bound"))
-                .select(*vector, "bound", F.col("child").alias("tile"))
+                .withColumn("gap", space.distance_to_box())
+                .where("gap <= bound")
+                .select(*vector, "bound", "gap", F.col("child").alias("tile"))
             )
+        visits = _tightened(visits, points, space, block, stage)
     return (
         _compared(visits, points, space, block)
         .where("distance <= bound")
@@ -205,6 +224,36 @@ def _nearest_vectors(
     )
 
 
+def _tightened(
+    visits: DataFrame, points: DataFrame, space: _Space, block: list[str], stage: Stage
+) -> DataFrame:
+    """The visits left once each vector has seen its nearest tiles.
+
+    A vector far from the bulk gets a wide bound from its home tile, and most boxes lie
+    within it. One tile, then the next nearest, is compared to bring the bound down before
+    all others are.
+    """
+    vector = [*block, *space.names]
+    visits = stage(visits, "visits")
+    seen = F.lit(False)
+    for _ in range(TIGHTENED):
+        nearest = F.min(F.when(~seen, F.struct("gap", "tile")))
+        chosen = visits.groupBy(*vector).agg(nearest.alias("n")).where("n IS NOT NULL")
+        chosen = chosen.select(*vector, F.col("n.tile").alias("tile"), F.col("n.gap").alias("last"))
+        reached = _compared(chosen, points, space, block).groupBy(*vector)
+        reached = reached.agg(F.min("distance").alias("reached"), F.first(F.struct("last", "tile")).alias("done"))
+        visits = (
+            visits.drop("done")
+            .join(reached, vector, "left")
+            .withColumn("bound", F.least("bound", "reached"))
+            .where("gap <= bound")
+            .select(*vector, "bound", "gap", "tile", "done")
+        )
+        visits = stage(visits, "visits")
+        seen = F.coalesce(F.struct("gap", "tile") <= F.struct(F.col("done.last"), F.col("done.tile")), F.lit(True))
+    return visits.drop("gap", "done")
+
+
 def match_nearest(
     treatment: DataFrame,
     candidates: DataFrame,
@@ -261,7 +310,8 @@ def match_nearest(
             .distinct()
         )
         nearest = _nearest_vectors(queries, points, space, block, tile_rows, stage)
-        joined = on_block.join(nearest, [*block, *space.names], "left")
+        # People with a missing feature have a NULL in their key, which is no one's partner.
+        joined = left_lookup(on_block, nearest, [*block, *space.names])
         distance, source = "best.distance", "coalesce(best.{0}, fallback.{0})"
     else:
         joined = on_block

@@ -49,7 +49,7 @@ def _link(strategy: str, dedupe: str | None = None) -> Query:
 def _match_rate(*strategies: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = FixtureTables(tune(spark), sf_dir)
-        return identity.match_report(t.guestlist, t.users, strategies)
+        return identity.match_report(t.guestlist, t.users, strategies, stage=Workspace(spark).stage)
 
     return run
 

@@ -17,10 +17,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _guestlist(customer: DataFrame) -> DataFrame:
+def _guests(customer: DataFrame, which: str, guest_id: str) -> DataFrame:
     keyed = customer.selectExpr("c_custkey AS k", "c_custkey DIV 5 AS g", "c_mktsegment AS seg")
-    main = keyed.where("k % 5 = 0").selectExpr(
-        "g AS guest_id",
+    main = keyed.where(which).selectExpr(
+        f"{guest_id} AS guest_id",
         "CASE WHEN g % 7 = 3 THEN NULL WHEN g % 7 = 5 THEN concat('g', k, '@nomatch.example')"
         " ELSE concat(' U', k, '@Example.COM ') END AS email",
         "concat(' ', lower(seg)) AS first_name",
@@ -37,9 +37,13 @@ def _guestlist(customer: DataFrame) -> DataFrame:
     return main.unionByName(aliases)
 
 
+def _guestlist(customer: DataFrame) -> DataFrame:
+    return _guests(customer, "k % 5 = 0", "g")
+
+
 def guest_export(customer: DataFrame) -> DataFrame:
-    """The guest list with the headers of a raw export."""
-    return _guestlist(customer).toDF(
+    """A raw export with every customer as a guest, under the headers of such a file."""
+    return _guests(customer, "TRUE", "k").toDF(
         "Guest-ID", " Email ", "First Name", "Last Name", "STATUS"
     )
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from eventlift.functions.keys import column
+
 
 def read_file(
     spark: SparkSession,
@@ -44,12 +48,13 @@ def write_table(df: DataFrame, target: str, mode: str = "overwrite") -> None:
 
 
 def clean_header(name: str) -> str:
-    return name.strip().replace(" ", "_").replace("-", "_").lower()
+    """Lower case; every run of characters other than letters, digits and ``_`` is one ``_``."""
+    return re.sub(r"\W+", "_", name.lower().strip()).strip("_")
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
     """Rename every column to its clean form; two columns may not end up alike."""
-    names = [clean_header(c) for c in df.columns]
+    names = [clean_header(c) or f"column_{i}" for i, c in enumerate(df.columns, start=1)]
     clashes = sorted(n for n, k in Counter(names).items() if k > 1)
     if clashes:
         raise ValueError(f"columns alike after cleaning: {clashes}")
@@ -88,7 +93,8 @@ def header_report(df: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, n: int, order_by: list[str], columns: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows by a key order, so that every run shows the same ones."""
-    return df.orderBy(*order_by).limit(n).select(*(columns or df.columns))
+    first = df.orderBy(*map(column, order_by)).limit(n)
+    return first.select(*map(column, columns or df.columns))
 
 
 def ingest(
@@ -104,3 +110,35 @@ def ingest(
     raw = read_file(spark, path, format, schema, **options)
     write_table(clean_headers(raw), target, mode)
     return read_table(spark, target)
+
+
+class Ingested(NamedTuple):
+    """A loaded table, the profile of the file, and the first rows of the table."""
+
+    table: DataFrame
+    profile: DataFrame
+    sample: DataFrame
+
+
+def ingest_verified(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    order_by: list[str],
+    format: str = "csv",
+    schema: StructType | str | None = None,
+    sample_rows: int = 5,
+    **options: str | bool,
+) -> Ingested:
+    """``ingest`` plus profile and sample; raises if the table lacks rows of the file.
+
+    Rows are counted while they are written, so the file is read once for it.
+    """
+    raw = read_file(spark, path, format, schema, **options)
+    counted = Observation("ingest")
+    write_table(clean_headers(raw).observe(counted, F.count(F.lit(1)).alias("rows")), target)
+    table = read_table(spark, target)
+    written = table.count()
+    if written != counted.get["rows"]:
+        raise ValueError(f"{target} has {written} rows, the file {counted.get['rows']}")
+    return Ingested(table, profile(raw), sample(table, sample_rows, order_by))

@@ -1,12 +1,42 @@
 import pytest
 
+from eventlift.operators import identity
 from eventlift.sources import ingest
 from eventlift.sources.workspace import Workspace, shared_folder
 
 
 def test_headers():
     assert ingest.clean_header(" First Name ") == "first_name"
-    assert ingest.clean_header("E-Mail (work)") == "e_mail_(work)"
+    assert ingest.clean_header("E-Mail (work)") == "e_mail_work"
+    assert ingest.clean_header("Ticket No.") == "ticket_no" and ingest.clean_header("ÄB_1%/c") == "äb_1_c"
+
+
+def test_empty_headers_are_numbered(spark):
+    assert ingest.clean_headers(spark.createDataFrame([(1, 2)], "`%` int, `a` int")).columns == ["column_1", "a"]
+
+
+def test_dotted_headers_pass_through(spark):
+    guests = spark.createDataFrame([("A@x ", "n", "m", "checked in", 7)], "email string, first_name string, last_name string, status string, `ticket.no.` int")
+    users = spark.createDataFrame([(5, "a@X", "N", "M")], "id bigint, email string, first_name string, last_name string")
+    linked = identity.link_identity(guests, users, "cascade")
+    assert linked.columns[-1] == "ticket.no." and linked.first()[0] == 5
+    assert ingest.sample(linked, 1, ["ticket.no."]).first()[-1] == 7
+    assert identity.match_report(guests, users).count() == 5
+    with pytest.raises(ValueError, match="user_id"):
+        identity.link_identity(guests.withColumnRenamed("status", "User_ID"), users)
+
+
+def test_verified_ingest_into_a_catalog_table(spark, workspace):
+    path = f"{workspace.root}/verified"
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "`Guest No.` int, `Name` string")
+    rows.write.option("header", True).csv(path)
+    done = ingest.ingest_verified(spark, path, "verified_guests", ["guest_no"], schema=rows.schema, sample_rows=1)
+    try:
+        assert sorted(map(tuple, spark.table("verified_guests").collect())) == [(1, "a"), (2, "b")]
+        assert tuple(done.profile.first()) == (2, 2, "Guest No., Name")
+        assert [tuple(r) for r in done.sample.collect()] == [(1, "a")]
+    finally:
+        spark.sql("DROP TABLE verified_guests")
 
 
 def test_headers_may_not_clash(spark):
@@ -62,6 +92,19 @@ def test_workspace_uses_the_shared_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_two_studies_keep_their_views_apart(spark):
+    one, two = Workspace(spark, views="one_"), Workspace(spark, views="two_")
+    one.create_or_replace(spark.range(1), "t")
+    two.create_or_replace(spark.range(2), "t")
+    assert spark.table("one_t").count() == 1 and spark.table("two_t").count() == 2
+
+
+def test_a_run_leaves_nothing_behind(spark, tmp_path):
+    with Workspace(spark, str(tmp_path)) as workspace:
+        assert workspace.stage(spark.range(3), "t").count() == 3
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_steps_are_views(spark, workspace):
     table = workspace.create_or_replace(spark.range(4), "four_rows")
     workspace.create_or_replace(spark.range(5), "four_rows")
