@@ -53,14 +53,14 @@ class _Reader:
 
     def text(self, raw: str) -> None:
         if raw:
-            self.pieces.append(raw)
+            # Piece by piece: a reference does not go on behind a tag.
+            self.pieces.append(html.unescape(raw) if "&" in raw else raw)
             if self.links:
                 self.linked += len(raw)
 
     def end_block(self) -> None:
         if self.pieces:
-            raw = "".join(self.pieces)
-            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+            text = " ".join("".join(self.pieces).split())
             if text:
                 path = tuple(n for _, names in self.open for n in names)
                 self.blocks.append(Block(text, path, min(self.linked, len(text))))
