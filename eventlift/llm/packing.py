@@ -4,13 +4,16 @@ A packing depends on lengths alone, and no length exceeds the capacity. So the p
 from a histogram of at most ``capacity`` numbers, in intervals of the documents in order of
 their length, and applied to the rows without a shuffle:
 
-1. Pieces longer than an eighth of the capacity are large. In descending order they are cut
+1. Pieces longer than a part of the capacity are large. In descending order they are cut
    into groups of equal cardinality, and each is rounded up to the longest of its group.
 2. Over these few sizes, configurations are chosen one after the other: the largest size left,
    completed by the subset of sizes that fills the sequence best, as often as the groups allow.
 3. The actual pieces take the places of the rounded ones, and the true room left is known.
 4. Small pieces, in descending order, go where they leave least room; only if none has room
    is a sequence opened.
+
+A plan takes milliseconds, so a few group counts and bounds of smallness are tried and the plan
+with the fewest sequences is kept.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from eventlift import Workspace
 from eventlift.llm import word_ids
 from eventlift.llm.tasks import Batches, arrow_map, batch_of, texts_of
 
-GROUPS = 128
-SMALL_PART = 8
+#: Group counts, and parts of the capacity up to which a piece is small, that are tried.
+GROUPS = (16, 128, 1024)
+SMALL_PARTS = (3, 4, 8)
 #: The digits that monotonically_increasing_id() leaves for the row within a partition.
 ROW_DIGITS = 33
 
@@ -144,13 +148,30 @@ class _Lengths:
         return int(self.lengths[k]), int(self.ends[k])
 
 
-def plan(
-    histogram: np.ndarray, capacity: int, groups: int = GROUPS, small_part: int = SMALL_PART
-) -> list[Run]:
+def sequences_of(runs: list[Run]) -> int:
+    return max((r.sequence + -(-r.count // r.per) for r in runs), default=0)
+
+
+def plan(histogram: np.ndarray, capacity: int) -> list[Run]:
     """Runs that place every piece; ``histogram[n]`` is the number of pieces of length n.
 
     There are at most a few runs for each length and configuration, whatever the counts.
     """
+    ids = int((histogram * np.arange(len(histogram))).sum())
+    least = max(-(-ids // capacity), int(histogram[capacity // 2 + 1 :].sum()))
+    best: list[Run] | None = None
+    for small_part in SMALL_PARTS:
+        for groups in GROUPS:
+            runs = grouped_plan(histogram, capacity, groups, small_part)
+            if best is None or sequences_of(runs) < sequences_of(best):
+                best = runs
+            if sequences_of(best) <= least:
+                return best
+    return best or []
+
+
+def grouped_plan(histogram: np.ndarray, capacity: int, groups: int, small_part: int) -> list[Run]:
+    """One plan: large pieces in so many groups, small ones up to a part of the capacity."""
     lengths = _Lengths(histogram)
     small = capacity // small_part
     n_large = int(histogram[small + 1 :].sum())
