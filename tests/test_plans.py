@@ -132,6 +132,12 @@ def test_accounts_are_dropped_in_the_scan(tables):
     assert "LeftSemi, BuildRight" in plan
 
 
+def test_accounts_are_shuffled_once_for_each_link(tables, no_broadcast):
+    plan = physical(identity.link_identity(tables.guestlist, tables.users))
+    # Accounts once, for both joins; guests for the lookup; their keys for the reduction.
+    assert len(re.findall(r"Exchange hashpartitioning\(", plan)) == 3
+
+
 def test_hot_tile_is_split(spark, workspace, spec, no_broadcast):
     """One block with nearly all of the treatment is shared out among tasks."""
     options = {
