@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 19
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
