@@ -271,7 +271,8 @@ def near_duplicates(
 
     # Of a representative's text any row will do that has its set.
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    held = texts.join(families, "id").withColumnRenamed("component", "family")
+    # The same plan at every size: a table of families that happens to be small is not sent.
+    held = texts.join(families.hint("shuffle_hash"), "id").withColumnRenamed("component", "family")
     held = workspace.stage(held.dropDuplicates(["id"]).withColumn("bytes", F.octet_length("text").cast("long")), "held")
     sizes = held.groupBy("family").agg(F.sum("bytes").alias("all_bytes"))
     chunks = F.ceil(F.col("all_bytes") / FAMILY_BYTES).cast("int")
@@ -285,7 +286,7 @@ def near_duplicates(
         .join(classes, print_of, "left")
         .join(linked.withColumnRenamed("id", "rep"), "rep", "left")
     )
-    component = F.coalesce("component", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return found.select(
         F.col("id").alias("doc_id"),
         "n_shingles",
