@@ -24,6 +24,8 @@ def test_partitions_follow_the_input():
 
 def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(Session(spark_master="yarn"))
-    assert shared_folder(Session(spark_master="local[4]")) == shared_folder(Session(spark_master="local[4]"))
+        shared_folder(Session(spark_master="yarn", spark_sql_warehouse_dir="file:/home/me/warehouse"))
+    local = Session(spark_master="local[4]", spark_sql_warehouse_dir="file:/home/me/warehouse/")
+    assert shared_folder(local) == "file:/home/me/warehouse"
+    assert shared_folder(Session(spark_master="yarn", spark_sql_warehouse_dir="s3a://b/w")) == "s3a://b/w"
     assert shared_folder(Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///x/")) == "hdfs:///x"
