@@ -41,9 +41,21 @@ def arrow_map(df: DataFrame, task: Callable[[Batches], Batches], schema: str) ->
 
 
 def same_rows(df: DataFrame, task: Callable[[Batches], Batches]) -> DataFrame:
-    """``mapInArrow`` by a task that gives back batches of the columns it got."""
+    """``mapInArrow`` by a task that gives back batches of the columns it got.
+
+    The task sees numbered columns: Spark looks them up by name, which dots would break.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(task, df.schema)
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.mapInArrow(task, numbered.schema).toDF(*df.columns)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"{name}_"
+    return name
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -86,6 +86,18 @@ def test_stretches_over_batch_borders_and_small_chunks(monkeypatch):
         assert {k for k in range(60) if k % 3} <= found
 
 
+def test_rows_keep_their_columns(spark):
+    long = "one two three four five six seven eight nine ten " * 3
+    rows = [(1, long + "é", 9, "a"), (2, "x " + long, 8, None), (3, None, 7, "c"), (None, "short", 6, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int, `r.stop` string")
+    out = S.without_repeats(df)
+    assert out.schema == df.schema
+    found = {r["doc_id"]: r for r in out.collect()}
+    expected = brute({1: rows[0][1], 2: rows[1][1]}, 100)
+    assert {d: found[d]["text"].encode() for d in (1, 2)} == {d: expected[d][3] for d in (1, 2)}
+    assert found[3]["text"] is None and found[None]["text"] == "short" and found[2]["start"] == 8
+
+
 def test_clashing_columns_repeated_rows_and_rows_without_id(spark):
     long = "one two three four five six seven eight nine ten " * 3
     rows = [(1, long, 9), (1, long, 9), (None, long, 1), (None, "short", 2), (2, None, 3)]
