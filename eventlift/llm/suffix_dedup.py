@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlift import Workspace
-from eventlift.llm.tasks import Batches, arrow_map, batch_of, same_rows
+from eventlift.llm.tasks import Batches, arrow_map, batch_of, same_rows, unused
 from eventlift.llm.words import BASE, _tables, groups, mixed
 
 LENGTH = 100
@@ -420,6 +420,9 @@ def without_repeats(
     runs = repeated_runs(numbered.select("id", "text"), length, workspace)
     per_doc = runs.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
     beside = numbered.drop("text").join(per_doc, "id", "left")
-    flat = beside.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("r.start").alias("_start"), F.col("r.stop").alias("_stop"))
+    start, stop = (unused(name, docs.columns) for name in ("start", "stop"))
+    flat = beside.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("r.start").alias(start), F.col("r.stop").alias(stop)
+    )
     cut = same_rows(flat, partial(_cut_rows, length=length, text_at=docs.columns.index(text_col)))
     return cut.select(*[f"`{c}`" for c in docs.columns])
