@@ -35,7 +35,7 @@ FIRST_GRAM = 8
 #: many of them are taken together beyond.
 HOT = 1000
 HOT_STRINGS = 8
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Documents without an id are numbered from here on by their text's hash.
 AFTER_ALL = 1 << 62
 
