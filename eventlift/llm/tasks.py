@@ -17,6 +17,10 @@ ONLY_PYTHON_SPLITS = frozenset("\x1c\x1d\x1e\x1f")
 #: From here on, letters and digits are told apart by the tokenizer library's own tables.
 BEYOND_LATIN = chr(0x250)
 
+#: Bytes of an Arrow batch; Spark alone bounds its rows, and ten thousand texts may be long.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -24,8 +28,11 @@ def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it.
 
     On a cluster whose machines lack that folder, install the package there or pass it with
-    ``--py-files``; the setting then does nothing.
+    ``--py-files``; the setting then does nothing. Where the session does not say how large
+    Arrow batches may be, that is set as well.
     """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", "")
