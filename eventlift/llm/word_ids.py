@@ -7,9 +7,11 @@ each of them, and the answer remembered; it takes its time mostly for each call
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,8 +20,10 @@ import regex
 from eventlift.llm.tasks import BEYOND_LATIN, ONLY_PYTHON_SPLITS, WHITE_SPACE
 
 #: Chunks and pre-tokens a worker remembers at most; each starts anew beyond it.
-MAX_CACHED = 500_000
+MAX_CHUNKS, MAX_PIECES = 300_000, 600_000
 LONGEST_CACHED = 64
+BORDER = 0xFFFFFFFF
+_BEYOND_LATIN = re.compile(f"[{BEYOND_LATIN}-{chr(0x10FFFF)}]").search
 
 
 class WordIds(dict):
@@ -28,44 +32,51 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-        import json
-
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self._library = Tokenizer.from_file(path)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._pretokens = regex.compile(split.replace(r"[^\s", f"[^{WHITE_SPACE}")).findall
+        self._pretokens = regex.compile(split.replace(r"[^\s", f"[^{WHITE_SPACE}") + "| ").findall
         self._chunks = re.compile(f"[^{WHITE_SPACE}]+").findall
-        self._known: dict[str, bytes] = {}
+        self._forget_pieces()
+
+    def _forget_pieces(self) -> None:
+        self._known = {" ": array("I", [BORDER]).tobytes()}
 
     def _asked(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Ask the library about the pre-tokens of new chunks, each once.
 
         A chunk that may hold a special token's string, or letters beyond the Latin blocks,
         where Unicode tables differ between libraries, goes to the library as it is.
         """
-        known, parts, whole, wanted = self._known, {}, [], set()
-        for chunk in chunks:
-            plain = unicodedata.normalize("NFC", chunk)
-            if "<|" in chunk or max(plain) >= BEYOND_LATIN:
-                whole.append(chunk)
-            else:
-                parts[chunk] = pieces = self._pretokens(plain.lower())
-                wanted.update(p for p in pieces if p not in known)
-        if len(known) + len(wanted) > MAX_CACHED:
-            known.clear()
-            wanted = {p for pieces in parts.values() for p in pieces}
-        new = list(wanted)
-        known.update(zip(new, self._asked(new), strict=True))
-        for chunk, pieces in parts.items():
-            self[chunk] = b"".join([known[p] for p in pieces])
-        self.update(zip(whole, self._asked(whole), strict=True))
+        joined = " ".join(chunks)
+        if "<|" in joined or _BEYOND_LATIN(joined):
+            whole = [c for c in chunks if "<|" in c or _BEYOND_LATIN(c)]
+            self.update(zip(whole, self._asked(whole), strict=True))
+            odd = set(whole)
+            chunks = [c for c in chunks if c not in odd]
+            joined = " ".join(chunks)
+        if not chunks:
+            return
+        pieces = self._pretokens(unicodedata.normalize("NFC", joined).lower())
+        new = list(set(pieces) - self._known.keys())
+        if len(self._known) + len(new) > MAX_PIECES:
+            self._forget_pieces()
+            new = list(set(pieces) - self._known.keys())
+        self._known.update(zip(new, self._asked(new), strict=True))
+        packed = b"".join(map(self._known.__getitem__, pieces))
+        borders = np.nonzero(np.frombuffer(packed, "<u4") == BORDER)[0] * 4
+        starts, ends = [0, *(borders + 4).tolist()], [*borders.tolist(), len(packed)]
+        self.update({c: packed[s:e] for c, s, e in zip(chunks, starts, ends, strict=True)})
+        for piece in new:
+            if len(piece) > LONGEST_CACHED:
+                del self._known[piece]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -73,15 +84,14 @@ class WordIds(dict):
             t.split() if ONLY_PYTHON_SPLITS.isdisjoint(t) else self._chunks(t) for t in texts
         ]
         new = set().union(*split) - self.keys()
-        if new and len(self) + len(new) > MAX_CACHED:
+        if new and len(self) + len(new) > MAX_CHUNKS:
             self.clear()
             new = set().union(*split)
-        self._learn(new)
+        if new:
+            self._learn(list(new))
         packed = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
         for long in [c for c in new if len(c) > LONGEST_CACHED]:
             del self[long]
-        for long in [p for p in self._known if len(p) > LONGEST_CACHED] if new else []:
-            del self._known[long]
         return packed
 
 
