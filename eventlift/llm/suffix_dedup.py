@@ -10,7 +10,10 @@ round, until strings of one bucket agree in all 100 bytes. Suffixes alone in the
 drop out at once.
 
 A substring too frequent for that stands for few strings at a time, grouped by all the bytes
-these have in common; and equal stretches met in one task are reduced to the first of them.
+these have in common; and equal stretches met in one task are reduced to the first of them. If
+even those groups are too large, every string of theirs goes alone: equal strings of a batch
+are reduced to the first, the rest meet by a hash of all their bytes and are read in order, so
+that none but the first has to be held.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ FIRST_GRAM = 8
 #: many of them are taken together beyond.
 HOT = 1000
 HOT_STRINGS = 8
+#: Tasks among which the stretches of one group are dealt out while it is looked up how many they are.
+SPREAD = 16
 CHUNK_BYTES = 1 << 20
 #: Documents without an id are numbered from here on by their text's hash.
 AFTER_ALL = 1 << 62
@@ -149,7 +154,7 @@ def _repeated(batches: Batches, most: int, schema: pa.Schema) -> Batches:
 
 
 def _stretches(batches: Batches, length: int, schema: pa.Schema) -> Batches:
-    """Text around repeated representatives: ``key, id, start, bytes``.
+    """Text around repeated representatives: ``key, id, start, bytes``, and whether these are hot.
 
     A stretch equal to one met just before is not sent; if it comes later in the corpus, its
     strings are repeated and leave as ``start, stop`` of a run, with no bytes.
@@ -168,11 +173,11 @@ def _stretches(batches: Batches, length: int, schema: pa.Schema) -> Batches:
             codes = s.text << 32 | s.place
             wanted = np.nonzero(np.isin(codes, np.fromiter(hot_of, np.int64, len(hot_of))))[0]
             columns = (codes, s.text, s.place, s.hash.view(np.int64), s.first, s.last)
-            rows: list[tuple[int, int, bytes, int]] = []
+            rows: list[tuple[int, int, bytes, int, bool]] = []
             for code, text, place, key, first, last in zip(*(c[wanted].tolist() for c in columns), strict=True):
                 data, doc = texts[begin + text], ids[begin + text]
                 if not hot_of[code]:
-                    rows.append((doc, first, data[first : last + length], key))
+                    rows.append((doc, first, data[first : last + length], key, False))
                     continue
                 # Strings go by how far in front of the representative they start, some at a
                 # time; those have all but a few bytes in common.
@@ -180,27 +185,77 @@ def _stretches(batches: Batches, length: int, schema: pa.Schema) -> Batches:
                     latest = place - near * HOT_STRINGS
                     a, b = max(first, latest - HOT_STRINGS + 1), min(last, latest)
                     shared = data[latest : latest + common] + near.to_bytes(2, "little")
-                    rows.append((doc, a, data[a : b + length], _hash_of(shared)))
+                    rows.append((doc, a, data[a : b + length], _hash_of(shared), True))
             yield from _first_of_equal(rows, length, schema)
 
 
-def _first_of_equal(rows: list[tuple[int, int, bytes, int]], length: int, schema: pa.Schema) -> Batches:
+def _first_of_equal(rows: list[tuple[int, int, bytes, int, bool]], length: int, schema: pa.Schema) -> Batches:
     rows.sort(key=lambda r: (r[0], r[1]))
     seen, sent, runs = {}, [], []
-    for doc, start, data, key in rows:
+    for doc, start, data, key, hot in rows:
         mark = (key, data)
         if mark in seen and seen[mark] != (doc, start):
             runs.append((doc, start, start + len(data) - length + 1))
         elif mark not in seen:
             seen[mark] = (doc, start)
-            sent.append((key, doc, start, data))
+            sent.append((key, doc, start, data, hot))
     if sent:
-        key, doc, start, data = zip(*sent, strict=True)
-        yield batch_of(schema, [key, doc, start, [0] * len(sent), data])
+        key, doc, start, data, hot = zip(*sent, strict=True)
+        yield batch_of(schema, [key, doc, start, [0] * len(sent), data, hot])
     if runs:
         doc, start, stop = zip(*runs, strict=True)
         nothing = [None] * len(runs)
-        yield batch_of(schema, [nothing, doc, start, stop, nothing])
+        yield batch_of(schema, [nothing, doc, start, stop, nothing, [False] * len(runs)])
+
+
+# -- strings that go alone ------------------------------------------------------------------
+
+
+def _strings(batches: Batches, length: int, schema: pa.Schema) -> Batches:
+    """The strings of some stretches: two halves of a hash of all their bytes, ``id, start``.
+
+    Of equal strings in a batch only the first is sent; the others leave as ``start, stop`` of
+    a run, without a hash. So a string has at most one row for each batch.
+    """
+    for batch in batches:
+        rows = sorted(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        seen: dict[bytes, tuple[int, int]] = {}
+        runs: list[tuple[int, int, int]] = []
+        for doc, begin, data in rows:
+            for start in range(begin, begin + len(data) - length + 1):
+                string = data[start - begin : start - begin + length]
+                if seen.setdefault(string, (doc, start)) == (doc, start):
+                    continue
+                if runs and runs[-1][0] == doc and runs[-1][2] == start:
+                    runs[-1] = (doc, runs[-1][1], start + 1)
+                else:
+                    runs.append((doc, start, start + 1))
+        if seen:
+            digests = b"".join(hashlib.blake2b(string, digest_size=16).digest() for string in seen)
+            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            doc, start = zip(*seen.values(), strict=True)
+            yield batch_of(schema, [halves[:, 0], halves[:, 1], doc, start, [0] * len(seen)])
+        if runs:
+            doc, start, stop = zip(*runs, strict=True)
+            nothing = [None] * len(runs)
+            yield batch_of(schema, [nothing, nothing, doc, start, stop])
+
+
+def _later(batches: Batches, schema: pa.Schema) -> Batches:
+    """Runs of the strings but the first of each hash, from rows ordered by hash, id and start."""
+    head = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+        if head is not None:
+            rows = np.concatenate([head, rows])
+        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
+        heads = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+        again = rows[(heads[:, 2:] != rows[:, 2:]).any(1)]
+        head = heads[-1:]
+        if len(again):
+            yield batch_of(schema, [again[:, 2], again[:, 3], again[:, 3] + 1])
 
 
 # -- bucket-pointer refinement --------------------------------------------------------------
@@ -258,7 +313,10 @@ def _again(
 
 
 def _compared(batches: Batches, length: int, schema: pa.Schema) -> Batches:
-    """Runs of repeated strings from stretches ordered by key; keys are compared whole."""
+    """Runs of repeated strings from stretches ordered by key; keys are compared whole.
+
+    No key has more stretches than a substring may have places before it is hot.
+    """
 
     def flushed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.concat_batches(held)
@@ -337,16 +395,36 @@ def repeated_runs(texts: DataFrame, length: int, workspace: Workspace, hot: int
     places = again.join(copies.select("id"), "id", "left_anti").groupBy("id")
     places = places.agg(F.collect_list(F.struct("place", "hot")).alias("p"))
     beside = texts.join(places, "id").select("id", "text", "p.place", "p.hot")
-    names = ["key", "id", "start", "stop", "bytes"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["key", "id", "start", "stop", "bytes", "hot"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
     schema = pa.schema(list(zip(names, types, strict=True)))
     task = partial(_stretches, length=length, schema=schema)
-    stretches = workspace.stage(arrow_map(beside, task, "key long, id long, start int, stop int, bytes binary"), "stretches")
-    by_key = stretches.where("key IS NOT NULL").repartition("key").sortWithinPartitions("key")
+    spelled = "key long, id long, start int, stop int, bytes binary, hot boolean"
+    stretches = workspace.stage(arrow_map(beside, task, spelled), "stretches")
     run_schema = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-    found = arrow_map(by_key, partial(_compared, length=length, schema=run_schema), "id long, start int, stop int")
+    spelled = "id long, start int, stop int"
+
+    # Groups of a hot substring that are themselves too large to meet in a task.
+    from_hot = stretches.where("hot AND key IS NOT NULL")
+    large = from_hot.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
+    large = workspace.stage(large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), "large")
+    dealt = from_hot.withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(SPREAD)).cast("int"))
+    alone = dealt.join(large, ["key", "part"], "left_semi").select("id", "start", "bytes")
+    names = ["p", "q", "id", "start", "stop"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    task = partial(_strings, length=length, schema=pa.schema(list(zip(names, types, strict=True))))
+    strings = workspace.stage(arrow_map(alone, task, "p long, q long, id long, start int, stop int"), "strings")
+    by_string = strings.where("p IS NOT NULL").select("p", "q", "id", "start")
+    by_string = by_string.repartition("p", "q").sortWithinPartitions("p", "q", "id", "start")
+    later = arrow_map(by_string, partial(_later, schema=run_schema), spelled)
+
+    rest = dealt.join(large, ["key", "part"], "left_anti").select(*stretches.columns)
+    by_key = stretches.where("NOT hot AND key IS NOT NULL").unionAll(rest)
+    by_key = by_key.drop("hot").repartition("key").sortWithinPartitions("key")
+    found = arrow_map(by_key, partial(_compared, length=length, schema=run_schema), spelled)
     local = stretches.where("key IS NULL").select("id", "start", "stop")
-    return workspace.stage(found.unionAll(local).unionAll(copies), "runs")
+    local = local.unionAll(strings.where("p IS NULL").select("id", "start", "stop"))
+    return workspace.stage(found.unionAll(later).unionAll(local).unionAll(copies), "runs")
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

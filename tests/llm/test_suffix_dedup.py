@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventlift.llm import suffix_dedup as S
@@ -57,6 +58,48 @@ def test_equals_brute_force(spark, hot):
     assert result(S.remove_repeats(df, 100, hot=hot)) == brute(docs, 100)
 
 
+def test_no_group_is_compared_beyond_the_bound(spark, monkeypatch):
+    """A line that every document has between bytes of its own, shorter and longer than a string."""
+    r = random.Random(3)
+    own = lambda: "".join(r.choice("ghijklmn") for _ in range(r.randrange(3, 40)))
+    docs = {}
+    for length, first in ((95, 0), (180, 1000)):
+        line = "".join(r.choice("abcdef") for _ in range(length))
+        docs |= {first + i: own() + line + own() for i in range(300)}
+    sizes, arrow_map = [], S.arrow_map
+
+    def recorded(df, task, schema):
+        if task.func is S._compared:
+            sizes.extend(row["count"] for row in df.groupBy("key").count().collect())
+        return arrow_map(df, task, schema)
+
+    monkeypatch.setattr(S, "arrow_map", recorded)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(6)
+    assert result(S.remove_repeats(df, 100, hot=20)) == brute(docs, 100)
+    assert sizes and max(sizes) <= 20
+
+
+def test_strings_alone_over_batch_borders():
+    text = b"".join(hashlib.sha256(bytes([i])).hexdigest().encode() for i in range(3))
+    types = [pa.int64(), pa.int32(), pa.binary()]
+    given = pa.schema(list(zip(["id", "start", "bytes"], types, strict=True)))
+    sent = pa.schema([(n, pa.int32() if n[0] == "s" else pa.int64()) for n in ("p", "q", "id", "start", "stop")])
+    runs = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    rows = [(k % 12, 5, text[k % 3 : k % 3 + 107]) for k in range(40)]
+    batches = [S.batch_of(given, list(zip(*rows[i : i + 8], strict=True))) for i in range(0, 40, 8)]
+    made = [x for b in S._strings(iter(batches), 100, sent) for x in b.to_pylist()]
+    found = {(x["id"], s) for x in made if x["p"] is None for s in range(x["start"], x["stop"])}
+    left = sorted(((x["p"], x["q"], x["id"], x["start"]) for x in made if x["p"] is not None))
+    pieces = [S.batch_of(pa.schema(list(sent)[:4]), list(zip(*left[i : i + 3], strict=True))) for i in range(0, len(left), 3)]
+    found |= {(x["id"], x["start"]) for b in S._later(iter(pieces), runs) for x in b.to_pylist()}
+    first, expected = {}, set()
+    for doc, begin, data in sorted(rows):
+        for i in range(len(data) - 99):
+            if first.setdefault(data[i : i + 100], (doc, begin + i)) != (doc, begin + i):
+                expected.add((doc, begin + i))
+    assert found == expected
+
+
 def test_refinement_numbers_equal_strings_alike():
     r = random.Random(2)
     data = bytes(r.choice(b"ab") for _ in range(300)) * 2 + b"c" * 150 + bytes(r.randrange(256) for _ in range(300))
