@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from conftest import DATA
 
+import __spark_entry__ as contract
 from eventlift.llm import html_blocks, html_labeller, pivot_topk
 
 
@@ -35,6 +37,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, blocks):
     assert pivot_topk.top_k(df.limit(0), df["vec_id"] % 5 == 0).count() == 0
 
 
+def test_top_k_of_the_whole_table_equals_its_twin(spark, duck):
+    df = contract.queries()["op3_pivot_topk"](spark, f"{DATA}/sf0.01")
+    columns = ["query_id", "rank", "vec_id", "score"]
+    assert df.columns == columns
+    found = duck.execute(contract.oracle_sql()["op3_pivot_topk"])
+    assert [c[0] for c in found.description] == columns
+    expected = sorted(found.fetchall())
+    assert len(expected) == 25 * 20 and sorted(map(tuple, df.collect())) == expected
+
+
 def test_bounds_hold():
     r = np.random.default_rng(1)
     q, x = r.integers(-60, 60, (30, 16)).astype(float), r.integers(-60, 60, (200, 16)).astype(float)
