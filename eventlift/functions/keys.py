@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NULL_KEY_SPREAD = 1024
+#: Rows of the right side under one key up to which they meet the left side in one task.
+KEY_ROWS = 1 << 15
 
 
 def column(name: str) -> Column:
@@ -30,7 +32,8 @@ def left_lookup(
     A NULL key never matches, yet a plain join sends all of them to one task. Here
     each NULL-keyed row gets one of many spread numbers inside a struct key, so those
     rows are shuffled evenly; rows with a full key carry 0 and match as usual.
-    Hot non-NULL keys are left to AQE, which may split the left side of a left join.
+    Hot non-NULL keys are left to AQE, which may split the left side of a left join;
+    ``spread_lookup`` also splits the right.
 
     ``only_wanted`` first reduces ``right`` to the keys of ``left``, as ``only_for`` does, by the
     same key, so that ``right`` is shuffled once for both.
@@ -49,6 +52,36 @@ def left_lookup(
     return keyed.join(wanted, "_key", "left").drop("_key")
 
 
+def spread_lookup(left: DataFrame, right: DataFrame, on: list[str], wanted: DataFrame) -> DataFrame:
+    """``left_lookup`` of wanted rows, those under one key of ``right`` dealt out among tasks.
+
+    ``wanted`` holds the keys of ``left``, others too. The driver asks for the rows of the
+    largest of them. If that is beyond ``KEY_ROWS``, keys beyond it are joined apart: their right
+    rows are dealt out by a hash, their left rows repeated for each part. Such a key has
+    partners, so that an inner join keeps all of its left rows.
+    """
+    counts = right.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows"))
+    counts = only_for(counts, wanted, on)
+    largest = counts.agg(F.max("_rows")).first()[0] or 0
+    if largest <= KEY_ROWS:
+        return left_lookup(left, right, on, only_wanted=True)
+    parts = -(-largest // KEY_ROWS)
+    hot = counts.where(F.col("_rows") > KEY_ROWS).select(*on)
+    in_parts = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    values = [c for c in right.columns if c not in on]
+    dealt = right.withColumn("_part", F.pmod(F.xxhash64(*values), F.lit(parts)).cast("int"))
+    columns = [column(c) for c in left.columns]
+    cold = left_lookup(
+        left.join(hot, on, "left_anti").select(*columns),
+        dealt.join(in_parts, [*on, "_part"], "left_anti").select(*right.columns),
+        on,
+        only_wanted=True,
+    )
+    repeated = left.join(in_parts, on).select(*columns, "_part")
+    met = repeated.join(dealt.join(in_parts, [*on, "_part"], "left_semi"), [*on, "_part"])
+    return cold.unionAll(met.select(*columns, *values))
+
+
 def only_for(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` whose key occurs in ``wanted``, to be applied before a left join.
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlift.functions.keys import column, fold, left_lookup, only_for
+from eventlift.functions.keys import column, fold, left_lookup, only_for, spread_lookup
 from eventlift.functions.rates import percent
 
 EMAIL = ("email",)
@@ -81,7 +81,10 @@ def link_identity(
         # account is looked up for them.
         open_guest = F.col("_user").isNull()
         named = linked.withColumns({n: F.when(open_guest, c) for n, c in folded.items()})
-        found = left_lookup(named, accounts, on, only_wanted=True)
+        if one_per_key:
+            found = left_lookup(named, accounts, on, only_wanted=True)
+        else:
+            found = spread_lookup(named, accounts, on, kept.select(*[c.alias(n) for n, c in folded.items()]))
         linked = found.select(*columns, F.coalesce("_user", "_id").alias("_user"))
     return linked.select(F.col("_user").alias("user_id"), *columns)
 

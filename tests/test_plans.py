@@ -4,6 +4,7 @@ import re
 
 import pytest
 from conftest import DATA, plan_of
+from pyspark.sql import functions as F
 
 from eventlift.operators import identity, membership, metrics
 from eventlift.operators.matching import match_nearest
@@ -138,6 +139,26 @@ def test_accounts_are_shuffled_once_for_each_link(tables, no_broadcast):
     assert len(re.findall(r"Exchange hashpartitioning\(", plan)) == 3
 
 
+@pytest.mark.parametrize("strategy", ["email", "name", "all", "cascade"])
+def test_accounts_of_a_hot_key_are_dealt_out(spark, no_broadcast, strategy):
+    """A third of the accounts under one key, at default thresholds of skew joins."""
+    people = lambda k: [f"{k} AS {c}" for c in ("email", "first_name", "last_name")]
+    users = spark.range(360_000).selectExpr("id", *people("IF(id % 3 = 0, '', concat('k', id))"))
+    guests = [(1, ""), (2, " "), (3, "K4"), (4, "gone"), (5, None), (5, None)]
+    guests = spark.createDataFrame(guests, "guest_id int, k string").selectExpr("guest_id", *people("k"))
+    coalescing = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalescing)
+    spark.conf.set(coalescing, "false")
+    try:
+        linked = identity.link_identity(guests, users, strategy)
+        rows = linked.select("guest_id", "user_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set(coalescing, before)
+    expected = [(g, u) for g in (1, 2) for u in range(0, 360_000, 3)] + [(3, 4), (4, None), (5, None), (5, None)]
+    assert sorted(((r.guest_id, r.user_id or 0) for r in rows)) == sorted((g, u or 0) for g, u in expected)
+    assert len({r.task for r in rows if r.guest_id == 1}) > 1
+
+
 def test_hot_tile_is_split(spark, workspace, spec, no_broadcast):
     """One block with nearly all of the treatment is shared out among tasks."""
     options = {
