@@ -24,4 +24,22 @@ FROM scored
 QUALIFY rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_pivot_topk": TOP_K}
+ARCHIVE = """
+WITH payloads AS (
+  SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+),
+placed AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id
+  FROM payloads
+  WINDOW w AS (PARTITION BY payload ORDER BY page_id NULLS LAST, url NULLS LAST)
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '')
+    AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op3_pivot_topk": TOP_K, "op13_warc": ARCHIVE}

@@ -19,6 +19,7 @@ from eventlift.llm import (
     quality,
     suffix_dedup,
     token_counts,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +77,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 OPERATORS = [
     op1_byte_bpe,
     op2_id_files,
@@ -87,5 +92,6 @@ OPERATORS = [
     op8_pii,
     op9_quality_rules,
     op10_best_fit_packing,
+    op13_warc,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
