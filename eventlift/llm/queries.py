@@ -14,6 +14,7 @@ from eventlift.llm import (
     hyperminhash,
     id_codec,
     packing,
+    periodic_runs,
     pii,
     pivot_topk,
     quality,
@@ -77,6 +78,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
 
+def with_periods(documents: DataFrame) -> DataFrame:
+    """Every tenth document by checksum of its id goes on periodically from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    named = documents.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    placed = named.selectExpr("*", "size(words) AS n", "g % nullif(size(words), 0) AS a")
+    placed = placed.selectExpr("*", "1 + (n - a) DIV (3 + g % 8) AS p")
+    times = "array_repeat(slice(words, CAST(a + 1 AS INT), CAST(p AS INT)), CAST(1 + (n - a) DIV p AS INT))"
+    again = f"slice(concat(slice(words, 1, CAST(a AS INT)), flatten({times})), 1, n)"
+    return placed.selectExpr("doc_id", f"CASE WHEN n > 0 THEN array_join({again}, ' ') ELSE text END AS text")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(with_periods(table(spark, sf_dir, "documents")))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -92,6 +109,7 @@ OPERATORS = [
     op8_pii,
     op9_quality_rules,
     op10_best_fit_packing,
+    op12_periodic_runs,
     op13_warc,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
