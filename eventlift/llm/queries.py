@@ -13,6 +13,7 @@ from eventlift.llm import (
     html_labeller,
     hyperminhash,
     id_codec,
+    lexical_search,
     packing,
     periodic_runs,
     pii,
@@ -78,6 +79,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.toDF("item_id", "rank", "doc_id", "score")
+
+
 def with_periods(documents: DataFrame) -> DataFrame:
     """Every tenth document by checksum of its id goes on periodically from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -109,6 +115,7 @@ OPERATORS = [
     op8_pii,
     op9_quality_rules,
     op10_best_fit_packing,
+    op11_lexical_search,
     op12_periodic_runs,
     op13_warc,
 ]
