@@ -2,21 +2,25 @@
 
 Comparing every treatment row with every candidate of its block does not scale: a
 block may hold a third of both. Instead the candidates of a block are cut into tiles
-of at most ``tile_rows`` distinct feature vectors, along quantiles of one feature after
-the other. A treatment vector is compared with its home tile, which bounds its nearest
-distance; then with the nearest of those tiles whose bounding box lies within that bound,
-which tightens it; and at last with the tiles still within it. The result equals the full
-comparison, ties included. A tile that many vectors ask for is split by a hash of theirs.
+of at most ``tile_rows`` distinct feature vectors. A tile that is too big is cut along the
+feature that is most spread out in it, measured between its tenth and ninetieth percentile
+in the units of the distance, so that tiles become round where the candidates are dense
+and a few outliers do not decide.
+
+A treatment vector is compared with its home tile, which bounds its nearest distance. The tree
+of tiles is then walked down to those whose bounding box lies within the bound, and they are
+visited nearest first, in rounds of growing size, until the next one lies beyond the bound. The
+result equals the full comparison, ties included. A tile that many vectors visit is split by a
+hash of theirs.
 
 A block that fits into one tile is never cut, so small inputs run as one plain join.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +34,13 @@ from eventlift.operators.features import (
 )
 
 TILE_ROWS = 1024
-CUTS_PER_ROUND = 32
+#: Parts of a tile that is cut.
+WAYS = 16
 #: Vectors that one task compares with a tile.
 TILE_VISITS = 4096
-#: Nearest tiles visited, one after the other, to tighten a bound.
-TIGHTENED = 2
+#: Tiles that a vector visits in the first round after its home tile; each round visits as many
+#: times more.
+FIRST_VISITS, MORE_VISITS = 1, 4
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -81,88 +87,114 @@ class _Space:
         """Never more than the distance to a point of the box, rounding included."""
         return self.length([f"greatest(lo_{n} - {n}, {n} - hi_{n}, 0L)" for n in self.names])
 
-    def cut_order(self) -> list[str]:
-        """Features with the most distinct values first, so that few rounds are needed."""
-        fine = [isinstance(t, T.DecimalType) for t in self.types]
-        ranked = sorted(zip(fine, range(len(fine))), reverse=True)
-        return [self.names[-1], *[self.names[i] for _, i in ranked if i < len(fine) - 1]]
+    def spread(self, low: str, high: str) -> str:
+        """How far apart two values of each feature are, as an array in the order of features."""
+        gaps = [
+            f"({high.format(n)} - {low.format(n)}) / {float(u)}D / {s!r}D"
+            for n, u, s in zip(self.names, self.units, self.scales)
+        ]
+        return f"array({', '.join(gaps)})"
 
     def complete(self) -> str:
         return " AND ".join(f"{f} IS NOT NULL" for f in self.features)
 
 
-def _boxes(points: DataFrame, space: _Space, block: list[str]) -> DataFrame:
-    """Every tile with its parent, its number of points and its bounding box."""
+def _tiles(points: DataFrame, space: _Space, block: list[str]) -> DataFrame:
+    """Every tile with its parent, number of points, bounding box and quantiles of each feature.
+
+    Quantiles come from mergeable sketches; they place the cuts and decide nothing else.
+    """
+    shares = [0.1, 0.9, *[i / WAYS for i in range(1, WAYS)]]
     return points.groupBy(*block, "parent", "tile").agg(
         F.count("*").alias("n"),
         *[F.min(n).alias(f"lo_{n}") for n in space.names],
         *[F.max(n).alias(f"hi_{n}") for n in space.names],
+        *[F.percentile_approx(n, shares, 1000).alias(f"q_{n}") for n in space.names],
     )
 
 
-def _quantile_cuts(
-    points: DataFrame, boxes: DataFrame, tile_rows: int, dim: str, block: list[str]
-) -> DataFrame:
-    """Cut values along ``dim`` for each tile that is too big, as many as it needs.
+def _cuts(tiles: DataFrame, tile_rows: int, space: _Space, block: list[str]) -> DataFrame:
+    """For each tile that is too big the feature to cut along (``dim``) and the cut values.
 
-    The minimum is a cut of its own, so a tile splits unless ``dim`` is constant in it.
-    Quantiles come from mergeable sketches; they place the cuts and decide nothing else.
+    A cut leaves points on either side, so a tile splits: its points are distinct, hence some
+    feature varies. Where the quantiles of a feature are all its maximum, the minimum is the cut.
     """
-    shares = [i / CUTS_PER_ROUND for i in range(1, CUTS_PER_ROUND)]
-    too_big = boxes.where(F.col("n") > tile_rows).select(*block, "tile")
-    parts = F.least(F.ceil(F.count("*") / tile_rows), F.lit(CUTS_PER_ROUND))
-    cut = (
-        points.join(too_big, [*block, "tile"], "left_semi")
-        .groupBy(*block, "tile")
-        .agg(
-            F.min(dim).alias("low"),
-            F.percentile_approx(dim, shares, 1000).alias("quantiles"),
-            parts.alias("parts"),
-            F.max(dim).alias("top"),
-        )
-    )
+    pick = lambda kind: f"array({', '.join(kind.format(n) for n in space.names)})[dim]"
+    parts = f"least(CAST(ceil(n / {tile_rows}) AS INT), {WAYS})"
     wanted = (
-        "filter(quantiles, (q, i) ->"
-        f" (i + 1) * parts DIV {CUTS_PER_ROUND} > i * parts DIV {CUTS_PER_ROUND})"
+        f"filter(slice(q, 3, {WAYS - 1}), (c, i) -> c < top AND"
+        f" (i + 1) * {parts} DIV {WAYS} > i * {parts} DIV {WAYS})"
+    )
+    measured = tiles.where(F.col("n") > tile_rows).selectExpr(
+        "*", f"{space.spread('q_{0}[0]', 'q_{0}[1]')} AS inner", f"{space.spread('lo_{0}', 'hi_{0}')} AS whole"
     )
-    return cut.selectExpr(
-        *block, "tile", f"array_distinct(concat(array(low), {wanted})) AS cuts", "top"
+    chosen = measured.selectExpr(
+        "*", "CASE WHEN array_max(inner) > 0 THEN inner ELSE whole END AS spreads"
+    ).selectExpr("*", "CAST(array_position(spreads, array_max(spreads)) AS INT) - 1 AS dim")
+    along = chosen.selectExpr(
+        *block, "tile", "n", "dim", f"{pick('q_{0}')} AS q", f"{pick('lo_{0}')} AS low", f"{pick('hi_{0}')} AS top"
+    )
+    return along.selectExpr(*block, "tile", "dim", "low", f"array_distinct({wanted}) AS cuts").selectExpr(
+        *block, "tile", "dim", "CASE WHEN size(cuts) = 0 THEN array(low) ELSE cuts END AS cuts"
     )
 
 
-def _descend(rows: DataFrame, cuts: DataFrame, dim: str, block: list[str]) -> DataFrame:
-    """Move rows from a cut tile into its parts; rows of other tiles stay."""
-    value = F.least(F.col(dim), F.col("top"))
+def _descend(rows: DataFrame, cuts: DataFrame, space: _Space, block: list[str]) -> DataFrame:
+    """Move rows from a cut tile into its parts; rows of other tiles stay, and are not ``fresh``."""
+    value = F.expr(f"array({', '.join(space.names)})[dim]")
     below = F.size(F.filter("cuts", lambda c: c < value))
     part = F.concat_ws("/", "tile", below.cast("string"))
     return (
-        rows.drop("parent")
+        rows.drop("parent", "fresh")
         .join(cuts, [*block, "tile"], "left")
         .withColumns(
-            {"parent": F.col("tile"), "tile": F.when(F.col("cuts").isNull(), F.col("tile")).otherwise(part)}
+            {
+                "parent": F.col("tile"),
+                "fresh": F.col("cuts").isNotNull(),
+                "tile": F.when(F.col("cuts").isNull(), F.col("tile")).otherwise(part),
+            }
         )
-        .drop("cuts", "top")
+        .drop("cuts", "dim")
     )
 
 
 def _compared(
-    visits: DataFrame, points: DataFrame, space: _Space, block: list[str]
+    visits: DataFrame, points: DataFrame, space: _Space, block: list[str], few: bool = False
 ) -> DataFrame:
     """Each row with every point of its tile, at most ``tile_rows`` of them.
 
     The joined rows feed the aggregation in the same stage and are never shuffled. What a
     task compares is bounded by pairs, not bytes: the rows of a tile are dealt out by a hash
-    of their vectors, and its points repeated for each part.
+    of their vectors, and its points repeated for each part. ``few`` says that all rows together
+    are no more than a task takes.
     """
     tile = [*block, "tile"]
-    parts = visits.groupBy(*tile).agg(F.ceil(F.count("*") / TILE_VISITS).cast("int").alias("parts"))
     other = points.selectExpr(*tile, "control_user_id", *[f"{n} AS p_{n}" for n in space.names])
+    if few:
+        return visits.join(other, tile).withColumn("distance", space.distance())
+    parts = visits.groupBy(*tile).agg(F.ceil(F.count("*") / TILE_VISITS).cast("int").alias("parts"))
     repeated = other.join(parts, tile).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = visits.join(parts, tile).withColumn("part", F.pmod(F.hash(*space.names), "parts"))
     joined = dealt.drop("parts").join(repeated.drop("parts"), [*tile, "part"]).drop("part")
     return joined.withColumn("distance", space.distance())
 
 
+def _grown(
+    points: DataFrame, space: _Space, block: list[str], tile_rows: int, stage: Stage
+) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """Points in tiles that are small enough, and the tree: cuts and tiles of each level."""
+    tiles = stage(_tiles(points, space, block), "tiles")
+    levels = []
+    while (tiles.agg(F.max("n")).first()[0] or 0) > tile_rows:
+        cuts = _cuts(tiles, tile_rows, space, block)
+        points = stage(_descend(points, cuts, space, block), "points")
+        fresh = _tiles(points.where("fresh"), space, block)
+        settled = tiles.where(F.col("n") <= tile_rows).withColumn("parent", F.col("tile"))
+        tiles = stage(fresh.unionByName(settled), "tiles")
+        levels.append((cuts, tiles))
+    return points, levels
+
+
 def _nearest_vectors(
     queries: DataFrame,
     points: DataFrame,
@@ -173,45 +205,28 @@ def _nearest_vectors(
 ) -> DataFrame:
     """For every distinct treatment vector the nearest point of its block as ``best``.
 
-    First the nearest distance in the home tile, a hash aggregation of plain numbers;
-    then, over all tiles within that distance, the few points that reach it.
+    The search for the nearest distance is hash aggregations of plain numbers; only the tiles
+    that reach it are then read for the points that do.
     """
-    root = {"parent": F.lit(""), "tile": F.lit("")}
-    points, queries = points.withColumns(root), queries.withColumns(root)
+    root = {"parent": F.lit(""), "tile": F.lit(""), "fresh": F.lit(True)}
     vector = [*block, *space.names]
-
-    levels = []
-    boxes = points.groupBy(*block, "tile").agg(F.count("*").alias("n"))
-    dims = itertools.cycle(space.cut_order())
-    while (boxes.agg(F.max("n")).first()[0] or 0) > tile_rows:
-        dim = next(dims)
-        if not levels:
-            points, queries = stage(points, "points"), stage(queries, "queries")
-        cuts = stage(_quantile_cuts(points, boxes, tile_rows, dim, block), "cuts")
-        points = stage(_descend(points, cuts, dim, block), "points")
-        queries = stage(_descend(queries, cuts, dim, block), "queries")
-        boxes = stage(_boxes(points, space, block), "boxes")
-        levels.append(boxes)
-
-    visits = (
-        _compared(queries, points, space, block)
-        .groupBy(*vector, "tile")
-        .agg(F.min("distance").alias("bound"))
-    )
+    points = stage(points.withColumns(root), "points")
+    queries = stage(queries.withColumn("tile", F.lit("")), "queries")
+    few = queries.count() <= TILE_VISITS
+    points, levels = _grown(points, space, block, tile_rows, stage)
+
+    home = queries
+    for cuts, _ in levels:
+        home = _descend(home, cuts, space, block)
     if levels:
-        visits = stage(visits, "bounds").withColumn("tile", F.lit(""))
-        for boxes in levels:
-            children = boxes.drop("n").withColumnRenamed("tile", "child")
-            visits = (
-                visits.withColumnRenamed("tile", "parent")
-                .join(children, [*block, "parent"])
-                .withColumn("gap", space.distance_to_box())
-                .where("gap <= bound")
-                .select(*vector, "bound", "gap", F.col("child").alias("tile"))
-            )
-        visits = _tightened(visits, points, space, block, stage)
+        home = stage(home.select(*vector, "tile"), "home")
+    reached = _reached(home, points, space, block, few)
+    if levels:
+        reached = _visited(stage(reached, "reached"), levels, points, space, block, few, stage)
+    bound = reached.groupBy(*vector).agg(F.min("reached").alias("bound"))
+    nearest = reached.join(bound, vector).where("reached = bound").select(*vector, "tile", "bound")
     return (
-        _compared(visits, points, space, block)
+        _compared(nearest, points, space, block, few)
         .where("distance <= bound")
         .groupBy(*vector)
         .agg(
@@ -224,34 +239,57 @@ def _nearest_vectors(
     )
 
 
-def _tightened(
-    visits: DataFrame, points: DataFrame, space: _Space, block: list[str], stage: Stage
+def _reached(visits: DataFrame, points: DataFrame, space: _Space, block: list[str], few: bool) -> DataFrame:
+    """The nearest distance of each vector in each tile it visits."""
+    met = _compared(visits, points, space, block, few).groupBy(*block, *space.names, "tile")
+    return met.agg(F.min("distance").alias("reached"))
+
+
+def _visited(
+    reached: DataFrame,
+    levels: list[tuple[DataFrame, DataFrame]],
+    points: DataFrame,
+    space: _Space,
+    block: list[str],
+    few: bool,
+    stage: Stage,
 ) -> DataFrame:
-    """The visits left once each vector has seen its nearest tiles.
+    """All tiles that the vectors visit, home tiles included, with the distance reached there.
 
-    A vector far from the bulk gets a wide bound from its home tile, and most boxes lie
-    within it. One tile, then the next nearest, is compared to bring the bound down before
-    all others are.
+    Best first: a round visits the nearest tiles of each vector that still lie within its bound, then
+    drops those beyond the new bound. Most vectors need none after their home tile. Vectors far from the
+    bulk start with a wide bound, which the first tiles bring down before the others are visited.
     """
     vector = [*block, *space.names]
-    visits = stage(visits, "visits")
-    seen = F.lit(False)
-    for _ in range(TIGHTENED):
-        nearest = F.min(F.when(~seen, F.struct("gap", "tile")))
-        chosen = visits.groupBy(*vector).agg(nearest.alias("n")).where("n IS NOT NULL")
-        chosen = chosen.select(*vector, F.col("n.tile").alias("tile"), F.col("n.gap").alias("last"))
-        reached = _compared(chosen, points, space, block).groupBy(*vector)
-        reached = reached.agg(F.min("distance").alias("reached"), F.first(F.struct("last", "tile")).alias("done"))
-        visits = (
-            visits.drop("done")
-            .join(reached, vector, "left")
-            .withColumn("bound", F.least("bound", "reached"))
+    ahead = reached.select(*vector, F.col("reached").alias("bound"), F.col("tile").alias("home"), F.lit("").alias("tile"))
+    for _, tiles in levels:
+        boxes = [f"{kind}_{n}" for kind in ("lo", "hi") for n in space.names]
+        children = tiles.select(*block, "parent", F.col("tile").alias("child"), *boxes)
+        ahead = (
+            ahead.withColumnRenamed("tile", "parent")
+            .join(children, [*block, "parent"])
+            .withColumn("gap", space.distance_to_box())
             .where("gap <= bound")
-            .select(*vector, "bound", "gap", "tile", "done")
+            .select(*vector, "bound", "home", "gap", F.col("child").alias("tile"))
         )
-        visits = stage(visits, "visits")
-        seen = F.coalesce(F.struct("gap", "tile") <= F.struct(F.col("done.last"), F.col("done.tile")), F.lit(True))
-    return visits.drop("gap", "done")
+    nearest_first = Window.partitionBy(*vector).orderBy("gap", "tile")
+    ahead = ahead.where("tile != home").drop("home").withColumn("place", F.row_number().over(nearest_first))
+    ahead = stage(ahead, "ahead")
+    rounds, size, upto = [reached], FIRST_VISITS, FIRST_VISITS
+    while not ahead.isEmpty():
+        chosen = ahead.where(F.col("place") <= upto).select(*vector, "tile")
+        met = stage(_reached(chosen, points, space, block, few and size == 1), "reached")
+        rounds.append(met)
+        better = met.groupBy(*vector).agg(F.min("reached").alias("better"))
+        left = ahead.where(F.col("place") > upto).join(better, vector)
+        left = left.withColumn("bound", F.least("bound", "better")).where("gap <= bound").drop("better")
+        ahead = stage(left, "ahead")
+        size *= MORE_VISITS
+        upto += size
+    visits = rounds[0]
+    for met in rounds[1:]:
+        visits = visits.unionByName(met)
+    return stage(visits, "visits")
 
 
 def match_nearest(

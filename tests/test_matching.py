@@ -174,7 +174,6 @@ def heavy_tailed(spark, rows, first, seed):
     )
 
 
-@pytest.mark.xfail(strict=True, reason="the mean is beyond 5 on this block; figures in the README")
 def test_few_tiles_are_visited_in_a_heavy_tailed_block(spark, workspace, spec):
     written = []
 
