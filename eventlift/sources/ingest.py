@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from typing import NamedTuple
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from eventlift.functions.keys import column
+from eventlift.sources.workspace import Folder
+
+#: What the names of a table that is being written, and of one that is being replaced, go on with.
+ASIDE, BEFORE = "__new_", "__old_"
 
 
 def read_file(
@@ -97,6 +102,91 @@ def sample(df: DataFrame, n: int, order_by: list[str], columns: list[str] | None
     return first.select(*map(column, columns or df.columns))
 
 
+def stored_rows(spark: SparkSession, path: str) -> int:
+    """Rows of the files under ``path``."""
+    return spark.read.parquet(path).count()
+
+
+def replace_table(df: DataFrame, target: str) -> int:
+    """Write ``df`` aside, verify it, then put it in the place of ``target``; returns its rows.
+
+    Rows are counted while they are written and compared with those of the files; only then does
+    the new table take the old one's name. If reading, writing or verifying fails, the
+    old table stays as it was and nothing else is left behind. A folder is swapped by two renames;
+    where the second fails the first is taken back, and what a driver killed between the two has put
+    aside returns with the next load (``restore``). A catalog table is swapped by its location, one
+    change of the catalog, or, if its columns differ, dropped and made anew at the end.
+    """
+    spark = df.sparkSession
+    by_path = "/" in target
+    if by_path:
+        parent, _, name = target.rstrip("/").rpartition("/")
+        restore(spark, target)
+    else:
+        parent, name = spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), target
+    folder = Folder(spark, parent)
+    new = f"{name}{ASIDE}{uuid.uuid4().hex}"
+    counted = Observation("ingest")
+    try:
+        observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
+        observed.write.parquet(f"{parent}/{new}")
+        written, stored = counted.get["rows"], stored_rows(spark, f"{parent}/{new}")
+        if written != stored:
+            raise ValueError(f"{target}: {written} rows were written, the files hold {stored}")
+        if by_path:
+            _swap(folder, new, name)
+            spark.catalog.refreshByPath(target)
+        else:
+            _relocate(spark, target, f"{parent}/{new}")
+    except BaseException:
+        folder.delete(new)
+        raise
+    return stored
+
+
+def _swap(folder: Folder, new: str, name: str) -> None:
+    old = f"{name}{BEFORE}{uuid.uuid4().hex}"
+    there = folder.exists(name)
+    if there and not folder.rename(name, old):
+        raise OSError(f"{name} could not be put aside")
+    if not folder.rename(new, name):
+        if there:
+            folder.rename(old, name)
+        raise OSError(f"{name} could not be replaced")
+    if there:
+        folder.delete(old)
+
+
+def restore(spark: SparkSession, target: str) -> None:
+    """If a load was killed while it replaced the table at this path, the old one returns."""
+    parent, _, name = target.rstrip("/").rpartition("/")
+    folder = Folder(spark, parent)
+    aside = [n for n in folder.names() if n.startswith(f"{name}{BEFORE}")]
+    if aside and not folder.exists(name):
+        folder.rename(aside.pop(), name)
+    for left in aside:
+        folder.delete(left)
+
+
+def _relocate(spark: SparkSession, table: str, path: str) -> None:
+    """Let a catalog table read the files under ``path``."""
+    files = spark.read.parquet(path)
+    if spark.catalog.tableExists(table):
+        # only what a load has put there before goes away
+        location = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+        if spark.table(table).schema == files.schema:
+            spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(table)
+        else:
+            spark.sql(f"DROP TABLE {table}")
+            spark.catalog.createTable(table, path=path, source="parquet")
+        parent, _, name = location.rstrip("/").rpartition("/")
+        if ASIDE in name:
+            Folder(spark, parent).delete(name)
+    else:
+        spark.catalog.createTable(table, path=path, source="parquet")
+
+
 def ingest(
     spark: SparkSession,
     path: str,
@@ -106,9 +196,16 @@ def ingest(
     mode: str = "overwrite",
     **options: str | bool,
 ) -> DataFrame:
-    """Load a guest file into a table with clean headers and return that table."""
-    raw = read_file(spark, path, format, schema, **options)
-    write_table(clean_headers(raw), target, mode)
+    """Load a guest file into a table with clean headers and return that table.
+
+    The table is replaced once the new one is verified (``replace_table``); with another ``mode``
+    the rows are written as that says.
+    """
+    clean = clean_headers(read_file(spark, path, format, schema, **options))
+    if mode == "overwrite":
+        replace_table(clean, target)
+    else:
+        write_table(clean, target, mode)
     return read_table(spark, target)
 
 
@@ -130,15 +227,7 @@ def ingest_verified(
     sample_rows: int = 5,
     **options: str | bool,
 ) -> Ingested:
-    """``ingest`` plus profile and sample; raises if the table lacks rows of the file.
-
-    Rows are counted while they are written, so the file is read once for it.
-    """
+    """``ingest`` plus profile and sample; raises if the table lacks rows of the file."""
+    table = ingest(spark, path, target, format, schema, **options)
     raw = read_file(spark, path, format, schema, **options)
-    counted = Observation("ingest")
-    write_table(clean_headers(raw).observe(counted, F.count(F.lit(1)).alias("rows")), target)
-    table = read_table(spark, target)
-    written = table.count()
-    if written != counted.get["rows"]:
-        raise ValueError(f"{target} has {written} rows, the file {counted.get['rows']}")
     return Ingested(table, profile(raw), sample(table, sample_rows, order_by))

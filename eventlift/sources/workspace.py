@@ -29,6 +29,34 @@ def shared_folder(spark: SparkSession) -> str:
     return warehouse
 
 
+class Folder:
+    """A folder on any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/")
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._system = self._at().getFileSystem(self._conf)
+
+    def _at(self, name: str = ""):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        """The names of what the folder holds; none if it is not there."""
+        if not self.exists():
+            return []
+        return sorted(entry.getPath().getName() for entry in self._system.listStatus(self._at()))
+
+    def exists(self, name: str = "") -> bool:
+        return self._system.exists(self._at(name))
+
+    def rename(self, name: str, to: str) -> bool:
+        """Whether the rename took place; what already has the new name stays as it is."""
+        return not self.exists(to) and self._system.rename(self._at(name), self._at(to))
+
+    def delete(self, name: str = "") -> None:
+        self._system.delete(self._at(name), True)
+
+
 class Workspace:
     """Tables of one run, under a folder of its own in the shared folder.
 

@@ -126,3 +126,77 @@ def test_drop_deletes_only_this_run(spark):
     assert table.count() == 2
     with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
         spark.read.parquet(f"{dropped.root}/000-t").count()
+
+
+@pytest.fixture(params=["path", "catalog"])
+def loaded(request, spark, tmp_path):
+    """A target that a first load has filled, and a file that a second load chokes on."""
+    good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
+    good.write_text("Guest ID,Name\n1,a\n2,b\n")
+    bad.write_text("Guest ID,Name\n3,c\nx,d\n")
+    target = str(tmp_path / "table") if request.param == "path" else "replaced_guests"
+    options = {"schema": "`Guest ID` int, `Name` string", "mode": "overwrite"}
+    ingest.ingest(spark, str(good), target, **options)
+    yield target, str(good), str(bad), options
+    if request.param == "catalog":
+        spark.sql(f"DROP TABLE {target}")
+
+
+def rows_of(spark, target):
+    return sorted(map(tuple, ingest.read_table(spark, target).collect()), key=repr)
+
+
+def left_behind(tmp_path):
+    return [p.name for p in tmp_path.iterdir() if ingest.ASIDE in p.name or ingest.BEFORE in p.name]
+
+
+def test_a_load_that_cannot_read_leaves_the_old_table(spark, loaded, tmp_path, monkeypatch):
+    target, _, bad, options = loaded
+    real = ingest.read_file
+    monkeypatch.setattr(ingest, "read_file", lambda s, *a: real(s, *a, **{"mode": "FAILFAST"}))
+    with pytest.raises(Exception, match="(?i)malformed|failed"):
+        ingest.ingest(spark, bad, target, schema=options["schema"])
+    assert rows_of(spark, target) == [(1, "a"), (2, "b")]
+    assert left_behind(tmp_path) == []
+
+
+def test_a_load_that_does_not_verify_leaves_the_old_table(spark, loaded, tmp_path, monkeypatch):
+    target, good, bad, options = loaded
+    real = ingest.stored_rows
+    monkeypatch.setattr(ingest, "stored_rows", lambda s, p: real(s, p) - 1)
+    with pytest.raises(ValueError, match="rows were written"):
+        ingest.ingest(spark, bad, target, **options)
+    assert rows_of(spark, target) == [(1, "a"), (2, "b")] and left_behind(tmp_path) == []
+    monkeypatch.setattr(ingest, "stored_rows", real)
+    ingest.ingest(spark, good, target, **options)
+    ingest.ingest(spark, bad, target, **options)
+    assert rows_of(spark, target) == [(3, "c"), (None, "d")]
+    assert left_behind(tmp_path) == []
+
+
+def test_a_table_may_change_its_columns(spark, loaded, tmp_path):
+    target, *_ = loaded
+    other = tmp_path / "other.csv"
+    other.write_text("No\n7\n")
+    ingest.ingest(spark, str(other), target, schema="No int")
+    assert rows_of(spark, target) == [(7,)]
+
+
+def test_a_swap_that_was_killed_is_taken_back(spark, tmp_path):
+    target = tmp_path / "table"
+    ingest.replace_table(spark.range(3), str(target))
+    target.rename(tmp_path / f"table{ingest.BEFORE}1")
+    with pytest.raises(ZeroDivisionError):
+        ingest.replace_table(_Failing(spark.range(4)), str(target))
+    assert rows_of(spark, str(target)) == [(0,), (1,), (2,)]
+    assert left_behind(tmp_path) == []
+
+
+class _Failing:
+    """A table whose rows cannot be read."""
+
+    def __init__(self, df):
+        self.sparkSession = df.sparkSession
+
+    def observe(self, *_):
+        raise ZeroDivisionError
