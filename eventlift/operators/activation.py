@@ -11,9 +11,13 @@ from eventlift.functions.keys import only_for
 from eventlift.functions.periods import EventSpec, Period
 from eventlift.functions.rates import money, percent
 from eventlift.operators.metrics import CONTROL_LABEL, TREATMENT_LABEL
-from eventlift.operators.orders import not_of_users
 
-HASH_DIGITS = 4
+#: Hexadecimal digits of a digest that place it among all.
+DIGITS = 10
+DIGESTS = 16**DIGITS
+BUCKETS = 1 << 16
+#: Accounts drawn for each one wanted, and how many times more each further round draws.
+DRAWN, DRAWN_MORE = 64, 16
 
 
 def inactive(metrics: DataFrame, days: int) -> DataFrame:
@@ -129,60 +133,91 @@ def activation_lift(by_type: DataFrame) -> DataFrame:
     )
 
 
-def stratified_inactive_control(
-    users: DataFrame,
-    linked_users: DataFrame,
-    typed_treatment: DataFrame,
-    totals: DataFrame,
-    first: DataFrame,
-    before: Period,
-    stage: Callable[[DataFrame, str], DataFrame],
+def _inactive_of(
+    accounts: DataFrame, linked_users: DataFrame, totals: DataFrame, first: DataFrame, before: Period
 ) -> DataFrame:
-    """As many inactive non-attendees of each type as there are inactive attendees.
-
-    The pool is every account without a guest and without value in ``before``, judged by
-    ``totals``, the ``zone_totals`` of valid orders; ``first`` tells new from dormant. Within
-    a type the users with the lowest MD5 of their id are taken, so the choice is random
-    with respect to behaviour and the same on every run.
-
-    No type is ever sorted as a whole: ids are counted per leading hash digits, whole
-    buckets below the quota are taken, and only rows inside a bucket are ranked. The
-    bucket table has at most 16**HASH_DIGITS rows per type.
-    """
+    """``user_id, digest, user_type`` of the accounts without a guest and without value in ``before``."""
+    drawn = accounts.distinct()
     spent = (
-        not_of_users(totals, linked_users)
+        only_for(totals, drawn, ["user_id"])
         .groupBy("user_id")
         .agg(F.sum(f"gtv_{before.name}").alias("value"))
         .where("value != 0")
     )
-    pool = (
-        users.select(F.col("id").alias("user_id"))
-        .where(F.col("user_id").isNotNull())
-        .distinct()
-        .join(linked_users.select("user_id"), "user_id", "left_anti")
-        .join(spent.select("user_id"), "user_id", "left_anti")
-    )
-    typed = (
-        stage(with_user_type(pool, first, before), "inactive_pool")
-        .withColumn("digest", F.md5(F.col("user_id").cast("string")))
-        .withColumn("bucket", F.substring("digest", 1, HASH_DIGITS))
-    )
-    quotas = typed_treatment.groupBy("user_type").agg(F.count("*").alias("quota"))
+    pool = drawn.join(linked_users.select("user_id"), "user_id", "left_anti")
+    return with_user_type(pool.join(spent.select("user_id"), "user_id", "left_anti"), first, before)
+
+
+def _lowest(typed: DataFrame, quotas: dict[str, int], limit: int) -> DataFrame:
+    """Of each type as many rows as its quota, those of the lowest digest.
+
+    No type is ever sorted as a whole: rows are counted per bucket of the digests below ``limit``, whole
+    buckets below the quota are taken, and only rows inside a bucket are ranked. The bucket
+    table has at most ``BUCKETS`` rows per type.
+    """
+    quota = F.coalesce(*[F.when(F.col("user_type") == t, F.lit(q)) for t, q in quotas.items()])
+    spread = typed.withColumn("bucket", F.floor(_place() * BUCKETS / F.lit(limit)))
     earlier = Window.partitionBy("user_type").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     buckets = (
-        typed.groupBy("user_type", "bucket")
+        spread.groupBy("user_type", "bucket")
         .agg(F.count("*").alias("n"))
         .withColumn("taken_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .join(quotas, "user_type")
+        .withColumn("quota", quota)
         .where("taken_before < quota")
         .select("user_type", "bucket", "taken_before", "quota")
     )
     in_bucket = Window.partitionBy("user_type", "bucket").orderBy("digest", "user_id")
     return (
-        typed.join(F.broadcast(buckets), ["user_type", "bucket"])
-        .withColumn("place", F.row_number().over(in_bucket))
-        .where(F.col("taken_before") + F.col("place") <= F.col("quota"))
+        spread.join(F.broadcast(buckets), ["user_type", "bucket"])
+        .withColumn("rank", F.row_number().over(in_bucket))
+        .where(F.col("taken_before") + F.col("rank") <= F.col("quota"))
         .select("user_id", "user_type")
     )
+
+
+def _place() -> Column:
+    """Where a digest lies among all, as a whole number below ``DIGESTS``."""
+    return F.conv(F.substring("digest", 1, DIGITS), 16, 10).cast("bigint")
+
+
+def stratified_inactive_control(
+    users: DataFrame,
+    linked_users: DataFrame,
+    typed_treatment: DataFrame,
+    totals: DataFrame,
+    first: DataFrame,
+    before: Period,
+    stage: Callable[[DataFrame, str], DataFrame],
+) -> DataFrame:
+    """As many inactive non-attendees of each type as there are inactive attendees.
+
+    The pool is every account without a guest and without value in ``before``, judged by
+    ``totals``, the ``zone_totals`` of valid orders; ``first`` tells new from dormant. Within
+    a type the users with the lowest MD5 of their id are taken, so the choice is random
+    with respect to behaviour and the same on every run.
+
+    The pool is never built. Accounts are drawn by a threshold on the digest in the scan, some for
+    each one wanted, and only these are looked up. Of a type with enough of them the lowest
+    are those of the pool; for other types the threshold is raised until there are, or all
+    accounts are drawn. The driver sees the number of accounts and two numbers a type and round.
+    """
+    counted = typed_treatment.groupBy("user_type").agg(F.count("*").alias("quota"))
+    wanted = {r["user_type"]: r["quota"] for r in counted.collect()}
+    accounts = users.select(F.col("id").alias("user_id")).where("user_id IS NOT NULL")
+    accounts = accounts.withColumn("digest", F.md5(F.col("user_id").cast("string")))
+    chosen = accounts.where(F.lit(False)).select("user_id", F.lit("").alias("user_type"))
+    share = DRAWN * sum(wanted.values()) / max(1, accounts.count())
+    limit = min(DIGESTS, int(share * DIGESTS) + 1)
+    while wanted:
+        drawn = accounts.where(_place() < limit) if limit < DIGESTS else accounts
+        pool = _inactive_of(drawn, linked_users, totals, first, before)
+        typed = stage(pool.where(F.col("user_type").isin(list(wanted))), "inactive_drawn")
+        found = {r["user_type"]: r["count"] for r in typed.groupBy("user_type").count().collect()}
+        enough = {t: q for t, q in wanted.items() if limit == DIGESTS or found.get(t, 0) >= q}
+        if enough:
+            chosen = chosen.unionAll(_lowest(typed.where(F.col("user_type").isin(list(enough))), enough, limit))
+        wanted = {t: q for t, q in wanted.items() if t not in enough}
+        limit = min(DIGESTS, limit * DRAWN_MORE)
+    return chosen

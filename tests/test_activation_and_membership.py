@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import pytest
 
+from eventlift.operators import activation
 from eventlift.operators.activation import (
     activation_by_type,
     activation_by_window,
@@ -80,7 +81,11 @@ def test_types_in_order(spark):
     ]
 
 
-def test_stratified_control(spark, spec, workspace):
+@pytest.mark.parametrize("drawn,more,rounds", [(64, 16, 1), (0.25, 2, 3)])
+def test_stratified_control(spark, spec, workspace, monkeypatch, drawn, more, rounds):
+    monkeypatch.setattr(activation, "DRAWN", drawn)
+    monkeypatch.setattr(activation, "DRAWN_MORE", more)
+    stages = []
     before = spec.pre(28)
     earlier, within = before.start - timedelta(days=40), before.start
     deliveries, values = [], []
@@ -103,8 +108,9 @@ def test_stratified_control(spark, spec, workspace):
         ),
         first_orders(deliveries, before),
         before,
-        workspace.stage,
+        lambda df, name: stages.append(workspace.stage(df, name)) or stages[-1],
     )
+    assert len(stages) >= rounds
     pool = [i for i in range(41, 401) if not (i % 10 == 0 and i % 20 != 0)]
     expected = set()
     for kind, rest in (("dormant", lambda i: i % 3 == 0), ("new", lambda i: i % 3 != 0)):
@@ -114,6 +120,22 @@ def test_stratified_control(spark, spec, workspace):
     assert {tuple(r) for r in chosen.collect()} == expected
 
 
+def test_few_accounts_are_looked_up(spark, spec, workspace):
+    """Of 300,000 accounts only those under the threshold are joined with anything."""
+    before = spec.pre(28)
+    stages = []
+    users = spark.range(300_000)
+    treatment = spark.createDataFrame([(1, "new"), (2, "new")], "user_id bigint, user_type string")
+    none = spark.createDataFrame([], f"user_id bigint, first_order_date date, gtv_{before.name} decimal(28,2)")
+    chosen = stratified_inactive_control(
+        users, treatment, treatment, none, none, before,
+        lambda df, name: stages.append(workspace.stage(df, name)) or stages[-1],
+    )
+    digests = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(300_000) if i not in (1, 2))
+    assert {r.user_id for r in chosen.collect()} == {i for _, i in digests[:2]}
+    assert [s.count() < 1000 for s in stages] == [True]
+
+
 def test_membership(spark, spec):
     dates = spec.status_dates
     at = datetime(2025, 9, 4)
