@@ -7,15 +7,18 @@ with the query before it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlift.functions.periods import EventSpec
 from eventlift.functions.rates import as_doubles
 from eventlift.operators import identity
 from eventlift.plans.study import EventStudy
 from eventlift.sources import ingest
 from eventlift.sources.fixtures import EVENT, FixtureTables, guest_export, load
+from eventlift.sources.history import FirstOrderHistory
 from eventlift.sources.session import tune
 from eventlift.sources.workspace import Workspace
 
@@ -63,6 +66,22 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(spark, f"{root}/export", f"{root}/guestlist", schema=export.schema)
 
 
+def _kept_history(spark: SparkSession, sf_dir: str) -> EventStudy:
+    """A study whose history of first orders was begun by two earlier studies and is extended here."""
+    study = _study(spark, sf_dir)
+    history = FirstOrderHistory(spark, f"{study.workspace.root}/first-orders", settle_days=30)
+    for days in (400, 91):
+        earlier = EventSpec(EVENT.event_date - timedelta(days=days))
+        history.before(study.tables.deliveries, earlier.before)
+    study.history = history
+    return study
+
+
+def _first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _kept_history(spark, sf_dir).first_orders
+    return first.select("user_id", F.col("first_order_date").cast("string").alias("first_order_date"))
+
+
 def _with_text_date(df: DataFrame) -> DataFrame:
     return df.withColumn("activation_date_pt", F.col("activation_date_pt").cast("string"))
 
@@ -115,6 +134,10 @@ QUERIES: dict[str, Query] = {
     "treatment_control_comparison": _of_study(lambda s: s.comparison()),
     "activation_overall": _of_study(lambda s: s.activation_overall()),
     "activation_by_window": _of_study(lambda s: s.activation_by_window()),
+    "first_orders_kept": _first_orders,
+    "activation_by_type_91d_kept": lambda spark, sf_dir: as_doubles(
+        _kept_history(spark, sf_dir).activation_by_type(91)
+    ),
     "membership_status": _of_study(lambda s: s.membership),
     "membership_penetration": _of_study(lambda s: s.membership_penetration()),
     "membership_transitions": _of_study(lambda s: s.membership_transitions()),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventlift.functions.periods import EventSpec
 from eventlift.operators import activation, features, identity, matching, membership, metrics
 from eventlift.operators.orders import first_orders, not_of_users, valid_orders
+from eventlift.sources.history import FirstOrderHistory
 from eventlift.sources.workspace import Workspace
 
 
@@ -34,7 +35,8 @@ class EventStudy:
 
     Orders are valued once, for everybody, and kept as totals per user and zone. A study
     that only looks at the days before the event (features, candidates, the matched group)
-    says so with ``before_only`` and values no others.
+    says so with ``before_only`` and values no others. With a ``history`` of first orders, only
+    days that it does not cover yet are read for them.
     """
 
     def __init__(
@@ -45,6 +47,7 @@ class EventStudy:
         status: str = "checked in",
         tile_rows: int = matching.TILE_ROWS,
         before_only: bool = False,
+        history: FirstOrderHistory | None = None,
     ):
         self.tables = tables
         self.spec = spec
@@ -52,6 +55,7 @@ class EventStudy:
         self.status = status
         self.tile_rows = tile_rows
         self.before_only = before_only
+        self.history = history
         self.inactive_control = cache(self._inactive_control)
 
     # Identity
@@ -138,8 +142,10 @@ class EventStudy:
 
     @cached_property
     def first_orders(self) -> DataFrame:
-        """Everybody's first valid order, from one pass over the history."""
+        """Everybody's first valid order, from the kept history or one pass over all of it."""
         latest = self.spec.pre(min(self.spec.lengths))
+        if self.history is not None:
+            return self.history.before(self.tables.deliveries, latest)
         return self.workspace.stage(first_orders(self.tables.deliveries, latest), "first_orders")
 
     def _typed_inactive(self, days: int) -> DataFrame:
