@@ -24,7 +24,6 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +38,8 @@ FILE_BYTES = 256 << 20
 #: Bytes that a record counts besides its payload when shards are cut.
 RECORD_BYTES = 512
 READ_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+#: How hard members are compressed; beyond it files shrink by 3 % for a quarter more time.
+LEVEL = 3
 #: Crawl dates are not among the columns; a fixed one keeps the archive the same on every run.
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the format.
@@ -86,7 +87,7 @@ def member(headers: list[tuple[str, object]], block: bytes) -> bytes:
     digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
     headers = [*headers, ("WARC-Block-Digest", f"sha1:{digest}"), ("Content-Length", len(block))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     raw = b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
     return packer.compress(raw) + packer.flush()
 
@@ -214,16 +215,17 @@ def _shards_of(cuts: list[tuple]):
     A key that begins a shard belongs to it; one that begins several is dealt out among them.
     """
 
-    def found(no_id: pd.Series, id: pd.Series, no_url: pd.Series, url: pd.Series, digest: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("first int, last int")
+    def found(no_id: pa.Array, id: pa.Array, no_url: pa.Array, url: pa.Array, digest: pa.Array) -> pa.Array:
         first, last = [], []
-        for a, b, c, d, e in zip(no_id, id, no_url, url, digest):
-            key = (bool(a), 0 if a else int(b), bool(c), "" if c else d, e)
+        for a, b, c, d, e in zip(*(x.to_pylist() for x in (no_id, id, no_url, url, digest))):
+            key = (a, b or 0, c, d or "", e)
             low, high = bisect_left(cuts, key), bisect_right(cuts, key) - 1
             first.append(low if low <= high else high)
             last.append(high)
-        return pd.DataFrame({"first": first, "last": last})
+        return pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["first", "last"])
 
-    return F.pandas_udf(found, "first int, last int")
+    return found
 
 
 def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
