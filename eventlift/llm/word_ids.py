@@ -2,7 +2,12 @@
 
 The tokenizer here drops white space and none of its rules reaches across it, so a text's ids
 are those of its runs of other characters, one after the other. The library is asked once for
-each of them, and the answer remembered; it takes its time mostly for each call and word.
+each part of them that it treats on its own (a pre-token), and the answer remembered; it takes
+its time mostly for each call and word.
+
+Chunks are known by 64-bit hashes of at most 64 bytes, their ids lie one after the other in an array.
+A memory has two generations: when the young one is full it becomes the old one, and what is asked for
+again moves to the new young one. So frequent chunks stay, and rare ones go.
 """
 
 from __future__ import annotations
@@ -15,22 +20,67 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 
-from eventlift.llm.tasks import BEYOND_LATIN, ONLY_PYTHON_SPLITS, WHITE_SPACE
+from eventlift.llm.tasks import BEYOND_LATIN, WHITE_SPACE
+from eventlift.llm.words import Words
 
-#: Chunks and pre-tokens a worker remembers at most; each starts anew beyond it.
-MAX_CHUNKS, MAX_PIECES = 300_000, 600_000
+#: Chunks and pre-tokens that a generation remembers at most; a worker holds two of each.
+MAX_CHUNKS, MAX_PIECES = 1_500_000, 400_000
 LONGEST_CACHED = 64
 BORDER = 0xFFFFFFFF
 _BEYOND_LATIN = re.compile(f"[{BEYOND_LATIN}-{chr(0x10FFFF)}]").search
-
-
-class WordIds(dict):
-    """Packed ids (little-endian unsigned 32-bit) by chunk."""
+#: White space beyond ASCII, which parts chunks as a space does.
+_OTHER_SPACE = re.compile("[" + WHITE_SPACE.replace("\t-\r ", "") + "]")
+
+
+class _Chunks:
+    """One generation: places by sorted hash, and the ids at each place."""
+
+    def __init__(self):
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)  # of place p at p + 1
+        self.used = 0
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, places = int(self.ends[self.used]), self.used + len(sizes)
+        while len(self.ends) <= places:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(self.ids) < total + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[total : total + len(ids)] = ids
+        self.ends[self.used + 1 : places + 1] = total + np.cumsum(sizes)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, self.used + order)
+        self.used = places
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it is not known."""
+        if not self.used:
+            return np.full(len(hashes), -1, np.int64)
+        order = np.argsort(hashes)
+        at = np.minimum(np.searchsorted(self.hashes, hashes[order]), self.used - 1)
+        found = np.empty(len(hashes), np.int64)
+        found[order] = np.where(self.hashes[at] == hashes[order], self.places[at], -1)
+        return found
+
+    def gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places one after the other, and how many each place has."""
+        starts = self.ends[places]
+        sizes = self.ends[places + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[at], sizes
+
+
+class WordIds:
+    """Packed ids (little-endian unsigned 32-bit) of texts."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
@@ -39,60 +89,108 @@ class WordIds(dict):
         self._library = Tokenizer.from_file(path)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._pretokens = regex.compile(split.replace(r"[^\s", f"[^{WHITE_SPACE}") + "| ").findall
-        self._chunks = re.compile(f"[^{WHITE_SPACE}]+").findall
-        self._forget_pieces()
+        self._young, self._old = _Chunks(), _Chunks()
+        self._pieces, self._old_pieces = self._no_pieces(), {}
 
-    def _forget_pieces(self) -> None:
-        self._known = {" ": array("I", [BORDER]).tobytes()}
+    @staticmethod
+    def _no_pieces() -> dict[str, bytes]:
+        return {" ": array("I", [BORDER]).tobytes()}
 
     def _asked(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ask the library about the pre-tokens of new chunks, each once.
+    def _of_pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, and how many each has, from those of their pre-tokens."""
+        pieces = self._pretokens(unicodedata.normalize("NFC", " ".join(chunks)).lower())
+        wanted = set(pieces)
+        missing = wanted - self._pieces.keys()
+        if len(self._pieces) + len(missing) > MAX_PIECES:
+            self._old_pieces, self._pieces = self._pieces, self._no_pieces()
+            missing = wanted - self._pieces.keys()
+        for piece in missing & self._old_pieces.keys():
+            self._pieces[piece] = self._old_pieces[piece]
+        new = list(missing - self._old_pieces.keys())
+        self._pieces.update(zip(new, self._asked(new), strict=True))
+        packed = np.frombuffer(b"".join(map(self._pieces.__getitem__, pieces)), "<u4")
+        borders = packed == BORDER
+        at = np.concatenate([[-1], np.flatnonzero(borders), [len(packed)]])
+        for piece in new:
+            if len(piece) > LONGEST_CACHED:
+                del self._pieces[piece]
+        return packed[~borders], np.diff(at) - 1
+
+    def _learned(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """New chunks in the order in which their ids come, ids, and how many each has.
 
         A chunk that may hold a special token's string, or letters beyond the Latin blocks,
         where Unicode tables differ between libraries, goes to the library as it is.
         """
         joined = " ".join(chunks)
+        odd = []
         if "<|" in joined or _BEYOND_LATIN(joined):
-            whole = [c for c in chunks if "<|" in c or _BEYOND_LATIN(c)]
-            self.update(zip(whole, self._asked(whole), strict=True))
-            odd = set(whole)
-            chunks = [c for c in chunks if c not in odd]
-            joined = " ".join(chunks)
-        if not chunks:
-            return
-        pieces = self._pretokens(unicodedata.normalize("NFC", joined).lower())
-        new = list(set(pieces) - self._known.keys())
-        if len(self._known) + len(new) > MAX_PIECES:
-            self._forget_pieces()
-            new = list(set(pieces) - self._known.keys())
-        self._known.update(zip(new, self._asked(new), strict=True))
-        packed = b"".join(map(self._known.__getitem__, pieces))
-        borders = np.nonzero(np.frombuffer(packed, "<u4") == BORDER)[0] * 4
-        starts, ends = [0, *(borders + 4).tolist()], [*borders.tolist(), len(packed)]
-        self.update({c: packed[s:e] for c, s, e in zip(chunks, starts, ends, strict=True)})
-        for piece in new:
-            if len(piece) > LONGEST_CACHED:
-                del self._known[piece]
+            odd = [i for i, c in enumerate(chunks) if "<|" in c or _BEYOND_LATIN(c)]
+        plain = np.setdiff1d(np.arange(len(chunks)), odd)
+        ids, sizes = [], []
+        if len(plain):
+            found, counts = self._of_pieces([chunks[i] for i in plain.tolist()])
+            ids.append(found)
+            sizes.append(counts)
+        if odd:
+            whole = self._asked([chunks[i] for i in odd])
+            ids.append(np.frombuffer(b"".join(whole), "<u4"))
+            sizes.append(np.array([len(w) // 4 for w in whole], np.int64))
+        return np.concatenate([plain, odd]).astype(np.int64), np.concatenate(ids), np.concatenate(sizes)
+
+    def _chunks_of(self, words: Words, at: np.ndarray) -> list[str]:
+        raw, starts, ends = words.bytes.data, words.start[at].tolist(), words.end[at].tolist()
+        return [str(raw[s:e], "utf-8") for s, e in zip(starts, ends, strict=True)]
+
+    def _places(self, words: Words) -> np.ndarray:
+        """The place among the young of every chunk; chunks too long to keep have -1."""
+        places = np.full(len(words.hash), -1, np.int64)
+        short = np.flatnonzero(words.end - words.start <= LONGEST_CACHED)
+        code, hashes = pd.factorize(words.hash[short])
+        found = self._young.find(hashes)
+        if self._young.used + np.count_nonzero(found < 0) > MAX_CHUNKS:
+            self._old, self._young = self._young, _Chunks()
+            found[:] = -1
+        missing = np.flatnonzero(found < 0)
+        before = self._old.find(hashes[missing])
+        back = missing[before >= 0]
+        found[back] = self._young.used + np.arange(len(back))
+        self._young.add(hashes[back], *self._old.gathered(before[before >= 0]))
+        new = missing[before < 0]
+        if len(new):
+            first = np.zeros(len(hashes), np.int64)
+            first[code[::-1]] = short[::-1]
+            order, ids, sizes = self._learned(self._chunks_of(words, first[new]))
+            found[new[order]] = self._young.used + np.arange(len(new))
+            self._young.add(hashes[new[order]], ids, sizes)
+        places[short] = found[code]
+        return places
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        split = [
-            t.split() if ONLY_PYTHON_SPLITS.isdisjoint(t) else self._chunks(t) for t in texts
-        ]
-        new = set().union(*split) - self.keys()
-        if new and len(self) + len(new) > MAX_CHUNKS:
-            self.clear()
-            new = set().union(*split)
-        if new:
-            self._learn(list(new))
-        packed = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
-        for long in [c for c in new if len(c) > LONGEST_CACHED]:
-            del self[long]
-        return packed
+        texts = [t if t.isascii() or not _OTHER_SPACE.search(t) else _OTHER_SPACE.sub(" ", t) for t in texts]
+        words = Words([t.encode() for t in texts])
+        if not len(words.hash):
+            return [b""] * len(texts)
+        places = self._places(words)
+        known, long = places >= 0, np.flatnonzero(places < 0)
+        ids, some = self._young.gathered(places[known])
+        sizes = np.zeros(len(places), np.int64)
+        sizes[known] = some
+        if len(long):
+            order, more, counts = self._learned(self._chunks_of(words, long))
+            sizes[long[order]] = counts
+            rank = np.concatenate([np.flatnonzero(known), long[order]])
+            pieces = np.split(np.concatenate([ids, more]), np.cumsum(np.concatenate([some, counts]))[:-1])
+            ids = np.concatenate([pieces[i] for i in np.argsort(rank).tolist()])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        borders = ends[np.searchsorted(words.doc, np.arange(len(texts) + 1))].tolist()
+        packed = ids.astype("<u4", copy=False)
+        return [packed[s:e].tobytes() for s, e in zip(borders, borders[1:])]
 
 
 @lru_cache(2)
