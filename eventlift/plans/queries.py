@@ -66,6 +66,14 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(spark, f"{root}/export", f"{root}/guestlist", schema=export.schema)
 
 
+def _by_range(spark: SparkSession, sf_dir: str) -> EventStudy:
+    """A study whose values lie in files by order id and are joined a range of ids at a time."""
+    study = _study(spark, sf_dir, filter_items=500)
+    values = study.tables.values.repartitionByRange(8, "order_delivery_id")
+    study.tables.values = study.workspace.stage(values, "values")
+    return study
+
+
 def _kept_history(spark: SparkSession, sf_dir: str) -> EventStudy:
     """A study whose history of first orders was begun by two earlier studies and is extended here."""
     study = _study(spark, sf_dir)
@@ -125,6 +133,7 @@ QUERIES: dict[str, Query] = {
         lambda s: ingest.sample(s.metrics, 10, ["user_id", "first_name", "last_name", "email"])
     ),
     "event_window_summary": _of_study(lambda s: s.summary()),
+    "event_window_summary_by_range": lambda spark, sf_dir: as_doubles(_by_range(spark, sf_dir).summary()),
     "treatment_features": _before(lambda s: _with_text_date(s.treatment_features)),
     "candidate_pool": _before(lambda s: _with_text_date(s.candidate_pool)),
     "feature_scales": _before(lambda s: _rounded_scales(s.feature_scales())),

@@ -36,7 +36,8 @@ class EventStudy:
     Orders are valued once, for everybody, and kept as totals per user and zone. A study
     that only looks at the days before the event (features, candidates, the matched group)
     says so with ``before_only`` and values no others. With a ``history`` of first orders, only
-    days that it does not cover yet are read for them.
+    days that it does not cover yet are read for them. ``filter_items`` cuts the join of orders
+    and values into ranges of ids with about so many orders each.
     """
 
     def __init__(
@@ -48,6 +49,7 @@ class EventStudy:
         tile_rows: int = matching.TILE_ROWS,
         before_only: bool = False,
         history: FirstOrderHistory | None = None,
+        filter_items: int | None = None,
     ):
         self.tables = tables
         self.spec = spec
@@ -56,6 +58,7 @@ class EventStudy:
         self.tile_rows = tile_rows
         self.before_only = before_only
         self.history = history
+        self.filter_items = filter_items
         self.inactive_control = cache(self._inactive_control)
 
     # Identity
@@ -80,7 +83,8 @@ class EventStudy:
         """Everybody's value and orders per zone and period, from one pass over the values."""
         t, spec = self.tables, self.spec
         period, periods = (spec.before, spec.pre_periods) if self.before_only else (spec.span, spec.periods)
-        orders = valid_orders(t.deliveries, t.values, period)
+        stage = self.workspace.stage
+        orders = valid_orders(t.deliveries, t.values, period, stage=stage, filter_items=self.filter_items)
         table = metrics.zone_totals(orders, periods, features.order_flags(spec))
         return self.workspace.stage(table, "totals")
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Ids that a runtime Bloom filter is made for, and its bits: 16 MB for 16 million.
+FILTER_ITEMS, FILTER_BITS = 16_000_000, 1 << 27
+
 # Hot keys in joins are split at run time. Where that costs the next join of the same
 # stage its partitioning, one more shuffle is still cheaper than one task with a third
 # of the rows, hence the force option. A shuffled join whose smaller side turns out to
@@ -17,8 +20,13 @@ OPTIONS = {
     # at most, is worth building from far more than the default's 10 MB of them.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "16000000",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 27),
+    # Without table statistics Spark takes the expected numbers, with them the greatest.
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": str(FILTER_ITEMS),
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": str(FILTER_ITEMS),
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(FILTER_BITS),
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(FILTER_BITS),
+    # One for each range of ids that is joined by itself.
+    "spark.sql.optimizer.runtimeFilter.number.threshold": "1000",
 }
 PARTITION_BYTES = 128 << 20
 

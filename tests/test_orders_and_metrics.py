@@ -21,7 +21,7 @@ from eventlift.operators.metrics import (
     window_summary,
     zone_totals,
 )
-from eventlift.operators.orders import first_orders, not_of_users, valid_orders
+from eventlift.operators.orders import first_orders, grouped_ranges, joined_by_range, not_of_users, valid_orders
 
 DELIVERY = (
     "user_id bigint, order_delivery_id bigint, delivered_date_pt date, zone_id int, express string,"
@@ -173,3 +173,32 @@ def test_candidates_need_value(spark, tables, spec):
     orders = not_of_users(valid_orders(deliveries, values, spec.span), attendees)
     rows = candidate_pool(feature_totals(orders, spec), dim, spec).collect()
     assert [(r.user_id, r.zone_id, r.gtv_91d_pre) for r in rows] == [(3, 6, 12)]
+
+
+def test_ranges_hold_whole_files_and_do_not_overlap():
+    files = [(0, 9, "a"), (10, 19, "b"), (15, 30, "c"), (31, 31, "d"), (40, 60, "e"), (900, 950, "far")]
+    marks = list(range(0, 61, 6))
+    assert grouped_ranges(files, marks, 110, 1) == [
+        (0, 9, ["a"]), (10, 30, ["b", "c"]), (31, 31, ["d"]), (40, 60, ["e"]),
+    ]
+    assert grouped_ranges(files, marks, 110, 10**6) == [(0, 60, ["a", "b", "c", "d", "e"])]
+    assert grouped_ranges(files, [], 0, 5) == []
+    assert grouped_ranges([(0, 99, "a"), (1, 2, "b"), (50, 70, "c")], marks, 110, 1) == [(0, 99, ["a", "b", "c"])]
+
+
+@pytest.mark.parametrize("items", [1, 40, 10**6])
+def test_join_by_ranges_equals_the_plain_join(spark, workspace, items):
+    orders = spark.range(0, 300, 3).selectExpr("id AS order_delivery_id", "id % 7 AS user_id")
+    more = spark.createDataFrame([(None, 5), (9, 6), (10**9, 7)], "order_delivery_id bigint, user_id bigint")
+    orders = orders.union(more)
+    values = spark.range(250).selectExpr("nullif(id, 6) AS order_delivery_id", "id AS v")
+    path = f"{workspace.root}/values-{items}"
+    values.repartitionByRange(9, "order_delivery_id").write.parquet(path)
+    values = spark.read.parquet(path)
+    plain = orders.join(values, "order_delivery_id")
+    cut = joined_by_range(orders, values, "order_delivery_id", items, workspace.stage)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    derived = joined_by_range(orders, values.distinct(), "order_delivery_id", items, workspace.stage)
+    assert derived.count() == plain.count()
+    nothing = joined_by_range(orders.limit(0), values, "order_delivery_id", items, workspace.stage)
+    assert nothing.count() == 0

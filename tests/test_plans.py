@@ -122,6 +122,63 @@ def test_candidates_value_the_days_before_alone(spark, tables, workspace, writte
         study.metrics  # noqa: B018
 
 
+def rows_past_filters(df):
+    """Rows that the runtime Bloom filters of an executed plan have let pass, and the filters."""
+    passed, filters, open_ = 0, 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        elif kind == "FilterExec" and "might_contain" in node.condition().toString():
+            passed += node.metrics().get("numOutputRows").get().value()
+            filters += 1
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return passed, filters
+
+
+def test_values_are_pruned_beyond_the_ids_of_one_filter(spark, workspace, no_broadcast):
+    """20,000 orders among 200,000 values, filters made for 1,000: one alone lets nearly all pass."""
+    options = {
+        "applicationSideScanSizeThreshold": "0",
+        "creationSideThreshold": "1GB",
+        "expectedNumItems": "1000",
+        "maxNumItems": "1000",
+        "numBits": "8192",
+        "maxNumBits": "8192",
+    }
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in options.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    path = f"{workspace.root}/values"
+    spark.range(200_000).selectExpr("id AS order_delivery_id", "CAST(id AS DECIMAL(18,2)) AS gtv_amt_usd").repartitionByRange(
+        40, "order_delivery_id"
+    ).write.parquet(path)
+    values = spark.read.parquet(path)
+    days = spark.range(200_000).selectExpr(
+        "id AS user_id", "id AS order_delivery_id",
+        "date_add(DATE '1995-08-01', IF(hash(id) % 10 = 0, 0, -400)) AS delivered_date_pt", "1 AS zone_id",
+        "'N' AS express", "'delivered' AS delivery_state", "'Y' AS delivery_finalized_ind", "'N' AS deleted_ind",
+    )
+    deliveries = workspace.stage(days, "deliveries")
+    expected = deliveries.where("delivered_date_pt >= DATE '1995-08-01'").count()
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = {}
+        for items in (None, 1000):
+            orders = valid_orders(deliveries, values, EVENT.span, stage=workspace.stage, filter_items=items)
+            assert len(orders.collect()) == expected
+            found[items] = rows_past_filters(orders)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[None][1] == 1 and found[None][0] > 150_000
+    assert found[1000][1] > 15 and found[1000][0] < 1.2 * expected
+
+
 def test_memberships_are_reduced_before_the_join(tables, attendees):
     status = membership.status_at(attendees, tables.subscriptions, EVENT.status_dates)
     plan = physical(status)
