@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -84,6 +85,75 @@ def test_candidates_like_personal_data_are_added(spark):
     assert found[8000] == "card:19:35" and found[8001] == ""
 
 
+LIKE = {
+    "write to maria(at)home.org or look(at)this": "email:9:26",
+    "call 030-12345678 on 2024-05-17, page 030-12345678": "phone:5:17",
+    "server 10:20:30:40 at 10:20:30:40": "ip:7:18",
+    "pay by card 4111.1111.1111.1111 or 4111.1111.1111.1112": "card:12:31",
+    "number 4111111111111112, version 1.2.3.400": "",
+    "card 4111 1111 1111 1111, call +49 30 1234567": "card:5:24,phone:31:45",
+}
+
+
+def test_a_text_gets_the_same_spans_in_every_table(spark):
+    alone = {t: pii.detect(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()["spans"] for t in list(LIKE)[:2]}
+    rows = [*enumerate(LIKE), *((i, f"filler {i} x{i}@y.zz 4111111111111111") for i in range(10, 400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
+    assert {t: found[i] for i, t in enumerate(LIKE)} == LIKE
+    assert alone == {t: LIKE[t] for t in alone}
+
+
+def test_trees_on_examples_held_out(spark):
+    trees, limits = pii.fit(spark)
+    _, held = pii.described(spark)
+    score = sum(pii.RATE * pii._value(t, held[:, 2:]) for t in trees)
+    for kind, limit in enumerate(limits):
+        own = held[:, 2] == kind
+        above = own & (score >= limit)
+        hits, all_ = held[above, 0].sum(), held[above, 1].sum()
+        assert all_ > 500 and hits >= pii.PRECISION * all_ and hits >= 0.95 * held[own, 0].sum()
+
+
+def test_sweeps_equal_all_pairs(spark):
+    r = random.Random(9)
+
+    def some(kinds, n, scored):
+        return [(r.randrange(60), r.choice(kinds), r.random()) for _ in range(r.randrange(n))] if scored else []
+
+    rows = []
+    for i in range(200):
+        base = sorted((k, a, a + r.randint(1, 9)) for a, k, _ in some([0, 1], 5, True))
+        loose = [(a, a + r.randint(1, 12), k) for a, k, _ in some([0, 1, 2, 3], 12, True)]
+        rows.append((i, base, loose))
+    schema = "i int, _base array<struct<kind:int,start:int,end:int>>, _loose array<struct<start:int,end:int,kind:int,size:int>>"
+    sized = [(i, b, [(*c, (7 * c[0] + c[1]) % 11) for c in l]) for i, b, l in rows]
+    tree = pii.Tree(0.0, pii.FEATURES.index("size"), 5, pii.Tree(-1.0), pii.Tree(1.0))
+    found = pii.spans(spark.createDataFrame(sized, schema), [tree], [0.0] * 4)
+    for r_ in found.collect():
+        base = [tuple(b) for b in r_["_base"]]
+        likely = sorted((c for c in r_["_loose"] if c["size"] >= 5), key=lambda c: (c["start"], c["kind"]))
+        free = [c for c in likely if not any(b[1] < c["end"] and c["start"] < b[2] for b in base)]
+        kept = []
+        for c in free:  # all scores are equal, so the first of two that overlap stays
+            if not kept or c["start"] >= kept[-1][2]:
+                kept.append((c["kind"], c["start"], c["end"]))
+        got = [tuple(s) for s in r_["_spans"]]
+        assert set(base) <= set(got) and got == sorted(got)
+        added = sorted(set(got) - set(base))
+        assert len(added) == len({(k, a, b) for k, a, b in kept} - set(base))
+        assert all(any(a == c["start"] and b == c["end"] and k == c["kind"] for c in free) for k, a, b in added)
+
+
+def test_many_matches_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "x@y.z 10.0.0.1 " * 20_000)], "doc_id long, text string")
+    began = time.time()
+    row = pii.detect(docs).first()
+    assert (row["n_email"], row["n_ip"]) == (20_000, 20_000)
+    assert pii.redact(docs).first()["text"] == "[EMAIL] [IP] " * 20_000
+    assert time.time() - began < 60
+
+
 def test_redaction_keeps_columns_and_clean_texts(spark):
     rows = [(1, "x a@b.cd y +1 (743) 555-3824", "q"), (None, None, "r"), (3, "clean", None), (3, "clean", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _base string")
