@@ -37,7 +37,7 @@ PROJECTED, HIDDEN = 24, 20
 #: Share of training blocks and pages that are shown without a path.
 HIDDEN_PATHS = 0.1
 #: Blocks labelled at a time.
-LABELLED_AT_ONCE = 20_000
+LABELLED_AT_ONCE, PROJECTED_AT_ONCE = 20_000, 4_000
 
 #: Names that say what a part of a page is.
 MAIN_NAMES = "article main articlebody content entry post story".split()
@@ -109,9 +109,17 @@ def _variant(page: list[Block], r: random.Random) -> tuple[list[Block], list[flo
 # -- vectors --------------------------------------------------------------------------------
 
 
+def _where(page_blocks: list[list[Block]]) -> np.ndarray:
+    """How far down its page each block is."""
+    return np.concatenate([np.arange(len(p)) / max(len(p) - 1, 1) for p in page_blocks if p] or [np.zeros(0)])
+
+
 def vectors(page_blocks: list[list[Block]]) -> np.ndarray:
     """A row for each block of the pages, in order."""
-    flat = [b for page in page_blocks for b in page]
+    return _rows([b for page in page_blocks for b in page], _where(page_blocks))
+
+
+def _rows(flat: list[Block], place: np.ndarray) -> np.ndarray:
     x = np.zeros((len(flat), PATHS + WORDS + EXTRAS), np.float32)
     if not flat:
         return x
@@ -130,7 +138,6 @@ def vectors(page_blocks: list[list[Block]]) -> np.ndarray:
     size = np.array([len(b.text) for b in flat], np.float32)
     linked = np.array([b.linked for b in flat], np.float32)
     stops = np.array([b.text.count(".") + b.text.count(",") for b in flat], np.float32)
-    place = np.concatenate([np.arange(len(p)) / max(len(p) - 1, 1) for p in page_blocks if p])
     extras = [np.log1p(n) / 5, linked / np.maximum(size, 1), stops / np.maximum(n, 1), place, place < 0.05, np.log1p(size) / 8]
     x[:, PATHS + WORDS :] = np.stack(extras, 1)
     return x
@@ -172,7 +179,8 @@ class Labeller:
             self.w[f"{way}_b"] = np.zeros(4 * HIDDEN, np.float32)
             self.w[f"{way}_b"][HIDDEN : 2 * HIDDEN] = 1.0  # remember at first
 
-    def _run(self, way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def _run(self, way: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """What one direction says of each step; with ``keep`` also all that its gradients need."""
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         c, out, steps = h, np.zeros((*x.shape[:2], HIDDEN), np.float32), []
         inputs = x @ self.w[f"{way}_x"] + self.w[f"{way}_b"]
@@ -184,7 +192,8 @@ class Labeller:
             g = np.tanh(z[:, 3 * HIDDEN :])
             new = f * c + i * g
             squeezed = np.tanh(new)
-            steps.append((t, h, c, i, f, o, g, squeezed))
+            if keep:
+                steps.append((t, h, c, i, f, o, g, squeezed))
             m = mask[t]
             c = m * new + (1 - m) * c
             h = m * (o * squeezed) + (1 - m) * h
@@ -211,16 +220,26 @@ class Labeller:
             dc = dc * (1 - m) + d_new_c * f
         return dx
 
-    def _forward(self, x: np.ndarray, mask: np.ndarray) -> tuple:
-        low = np.tanh(x @ self.w["project"])
-        ahead, ahead_steps = self._run("ahead", low, mask)
-        back, back_steps = self._run("back", low, mask)
+    def _projected(self, page_blocks: list[list[Block]]) -> np.ndarray:
+        """The projection of each block, some at a time: a block's vector is much longer."""
+        flat, place = [b for page in page_blocks for b in page], _where(page_blocks)
+        out = np.zeros((len(flat), PROJECTED), np.float32)
+        for at in range(0, len(flat), PROJECTED_AT_ONCE):
+            some = slice(at, at + PROJECTED_AT_ONCE)
+            out[some] = np.tanh(_rows(flat[some], place[some]) @ self.w["project"])
+        return out
+
+    def _forward(self, low: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple:
+        """From projected blocks to the probability of main text."""
+        ahead, ahead_steps = self._run("ahead", low, mask, keep)
+        back, back_steps = self._run("back", low, mask, keep)
         joined = np.concatenate([ahead, back, low], 2)
-        return low, ahead_steps, back_steps, joined, _sigmoid(joined @ self.w["out"] + self.w["bias"])[:, :, 0]
+        return ahead_steps, back_steps, joined, _sigmoid(joined @ self.w["out"] + self.w["bias"])[:, :, 0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean log loss over known labels, and its gradients."""
-        low, ahead, back, joined, p = self._forward(x, mask)
+        low = np.tanh(x @ self.w["project"])
+        ahead, back, joined, p = self._forward(low, mask, keep=True)
         known = (labels >= 0) & (mask[:, :, 0] > 0)
         n = max(int(known.sum()), 1)
         loss = -np.log(np.clip(np.where(labels > 0, p, 1 - p)[known], 1e-7, 1)).sum() / n
@@ -273,7 +292,7 @@ class Labeller:
                 stop += 1
             chosen = order[start:stop]
             sizes = [len(pages[i]) for i in chosen]
-            p = self._forward(*_padded(vectors([pages[i] for i in chosen]), sizes))[-1]
+            p = self._forward(*_padded(self._projected([pages[i] for i in chosen]), sizes))[-1]
             for column, (i, size) in enumerate(zip(chosen, sizes, strict=True)):
                 out[i] = p[:size, column] > 0.5
             start = stop

@@ -1,5 +1,8 @@
 """Operators 3 and 6."""
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest import DATA
@@ -127,3 +130,49 @@ def test_pages_without_content(spark):
     out = html_labeller.extract(df).collect()
     assert len(out) == 4 and [(r["text"], r["n_chars"]) for r in out[:2]] == [("", 0), ("", 0)]
     assert html_labeller.extract(df.limit(0)).count() == 0
+
+
+HOSTILE = {
+    "tags that never end": "<a b " * 200_000,
+    "quotes that never end": "<a \"'" * 160_000,
+    "quotes in turn": "'<a \"b>" * 140_000,
+    "names that never end": "<a" * 500_000,
+    "declarations that never end": "<!x" * 300_000,
+    "deep": "<div>x" * 160_000,
+    "inline tags closed by others": "<i>" * 150_000 + "</b>" * 150_000,
+    "inline tags behind a block": "<b><div>" + "<i>" * 150_000 + "</b>" * 150_000,
+    "many blocks": "<p>some words, and more." * 60_000,
+    "references": "&amp;&#x41;&nope" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_cost_little(name):
+    began = time.process_time()
+    cut = html_blocks.blocks(HOSTILE[name])
+    assert time.process_time() - began < 10
+    assert cut or "inline" in name
+
+
+def test_a_long_page_is_labelled_in_bounded_memory():
+    page = html_blocks.blocks(HOSTILE["many blocks"])
+    assert len(page) == 60_000
+    labeller = html_labeller.Labeller()
+    tracemalloc.start()
+    began = time.process_time()
+    (labels,) = labeller.label([page])
+    seconds, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(labels) == 60_000 and seconds < 60 and peak < 200 << 20
+    whole = labeller._forward(*html_labeller._padded(np.tanh(html_labeller.vectors([page[:3000]]) @ labeller.w["project"]), [3000]))[-1]
+    assert ((whole[:, 0] > 0.5) == labeller.label([page[:3000]])[0]).mean() > 0.999
+
+
+def test_tags_end_outside_quotes():
+    def texts(page):
+        return [b.text for b in html_blocks.blocks(page)]
+
+    assert texts("<p title='a>b' x=\"<p>\">one<p>two") == ["one", "two"]
+    assert texts("<p \"x>one</p>two") == ['<p "x>one', "two"]
+    assert texts("a </p \"x>b</ >c<!d>e<?f>g") == ["a bceg"]
+    assert texts("<p>1<b>2<div>3</b>4</div>5</b>6") == ["12", "34", "56"]
