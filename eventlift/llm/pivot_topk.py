@@ -92,26 +92,33 @@ def _by_dim(batch: pa.RecordBatch, dims: np.ndarray) -> Iterator[tuple[int, np.n
         yield dim, np.nonzero(dims == dim)[0]
 
 
-def _in_cells(batches: Batches, pivots: Pivots, schema: pa.Schema) -> Batches:
-    """Vectors with their cell."""
+def _distance_table(batches: Batches, pivots: Pivots, schema: pa.Schema) -> Batches:
+    """Vectors with their distances to all pivots of their length, and the cell of the nearest."""
     for batch in batches:
         dims = batch.column(1).to_numpy()
-        cells = np.zeros(len(dims), np.int32)
+        cells, away = np.zeros(len(dims), np.int32), [b""] * len(dims)
         for dim, at in _by_dim(batch, dims):
             if dim in pivots:
-                x = _table(batch.column(2).take(pa.array(at)), dim).astype(np.float64)
-                cells[at] = distances(x, pivots[dim]).argmin(1)
-        yield batch_of(schema, [batch.column(0), batch.column(1), cells, batch.column(2)])
+                found = distances(_table(batch.column(2).take(pa.array(at)), dim).astype(np.float64), pivots[dim])
+                cells[at] = found.argmin(1)
+                for i, row in zip(at.tolist(), found, strict=True):
+                    away[i] = row.tobytes()
+        yield batch_of(schema, [batch.column(0), batch.column(1), cells, batch.column(2), away])
 
 
-def _cell_ranges(batches: Batches, pivots: Pivots, schema: pa.Schema) -> Batches:
-    """For each cell met: rows, greatest norm, and the range of distances to each pivot."""
+def _distances_of(column: pa.Array) -> np.ndarray:
+    """The stored distances of vectors of one length, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def _cell_ranges(batches: Batches, schema: pa.Schema) -> Batches:
+    """For each cell met and each pivot: rows, greatest norm, least and greatest distance."""
     found: dict[tuple[int, int], list] = {}
     for batch in batches:
         dims, cells = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for dim, at in _by_dim(batch, dims):
             x = _table(batch.column(3).take(pa.array(at)), dim).astype(np.float64)
-            away = distances(x, pivots.get(dim, np.zeros((0, dim))))
+            away = _distances_of(batch.column(4).take(pa.array(at)))
             norm = (x * x).sum(1)
             for cell in np.unique(cells[at]).tolist():
                 own = cells[at] == cell
@@ -120,8 +127,12 @@ def _cell_ranges(batches: Batches, pivots: Pivots, schema: pa.Schema) -> Batches
                 if old:
                     new = [old[0] + new[0], max(old[1], new[1]), np.minimum(old[2], new[2]), np.maximum(old[3], new[3])]
                 found[dim, cell] = new
-    if found:
-        rows = [(d, c, n, m, low.tobytes(), high.tobytes()) for (d, c), (n, m, low, high) in found.items()]
+    rows = [
+        (dim, cell, pivot, n if pivot < 0 else 0, most, *((0.0, 0.0) if pivot < 0 else (float(low[pivot]), float(high[pivot]))))
+        for (dim, cell), (n, most, low, high) in found.items()
+        for pivot in range(-1, len(low))
+    ]
+    if rows:
         yield batch_of(schema, list(zip(*rows, strict=True)))
 
 
@@ -156,7 +167,7 @@ def _best(q: np.ndarray, x: np.ndarray, own: int, ids: np.ndarray, bounds: np.nd
     return [(s, i) for s, i in zip(scores.tolist(), chosen.tolist(), strict=True) if s >= beat]
 
 
-def _answered(batches: Batches, pivots: Pivots, k: int, schema: pa.Schema) -> Batches:
+def _answered(batches: Batches, k: int, schema: pa.Schema) -> Batches:
     """Best candidates of each query of a batch in a block."""
     for group in _groups_of(batches, by=4):
         dim = int(group.column(0)[0].as_py())
@@ -167,9 +178,8 @@ def _answered(batches: Batches, pivots: Pivots, k: int, schema: pa.Schema) -> Ba
         q, q_ids, q_beat = vectors[asks], ids[asks], beat[asks]
         if not len(x) or not len(q):
             continue
-        near = pivots.get(dim, np.zeros((0, dim)))
-        xf, qf = x.astype(np.float64), q.astype(np.float64)
-        x_away, q_away = distances(xf, near), distances(qf, near)
+        away = _distances_of(group.column(8))
+        xf, qf, x_away, q_away = x.astype(np.float64), q.astype(np.float64), away[~asks], away[asks]
         rows = []
         for start in range(0, len(q), 64):
             part = slice(start, start + 64)
@@ -182,14 +192,14 @@ def _answered(batches: Batches, pivots: Pivots, k: int, schema: pa.Schema) -> Ba
             yield batch_of(schema, list(zip(*rows, strict=True)))
 
 
-def _sent_on(batches: Batches, pivots: Pivots, ranges: dict, schema: pa.Schema) -> Batches:
+def _sent_on(batches: Batches, ranges: dict, schema: pa.Schema) -> Batches:
     """Queries with each other cell that may hold a score they have not beaten."""
     for batch in batches:
         dims, homes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        beat = batch.column(4).to_numpy()
+        beat = batch.column(5).to_numpy()
         for dim, at in _by_dim(batch, dims):
             q = _table(batch.column(3).take(pa.array(at)), dim).astype(np.float64)
-            away, norm = distances(q, pivots.get(dim, np.zeros((0, dim)))), (q * q).sum(1)
+            away, norm = _distances_of(batch.column(4).take(pa.array(at))), (q * q).sum(1)
             reach = np.where(beat[at] == NO_SCORE, -np.inf, beat[at])
             for cell, (most, low, high) in ranges.get(dim, {}).items():
                 gap = np.maximum(low[None, :] - away, away - high[None, :]).max(1, initial=0.0)
@@ -198,7 +208,8 @@ def _sent_on(batches: Batches, pivots: Pivots, ranges: dict, schema: pa.Schema)
                 go = at[(bound >= reach) & (homes[at] != cell)]
                 if len(go):
                     picked = batch.take(pa.array(go))
-                    yield batch_of(schema, [picked.column(0), picked.column(1), np.full(len(go), cell), picked.column(3), picked.column(4)])
+                    others = [picked.column(i) for i in (3, 4, 5)]
+                    yield batch_of(schema, [picked.column(0), picked.column(1), np.full(len(go), cell), *others])
 
 
 def _parts(rows: int, size: int) -> int:
@@ -220,10 +231,10 @@ def _met(queries: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
 
     small = F.broadcast(cells)
     asks = queries.join(small, ["dim", "cell"]).select(
-        "dim", "cell", every("blocks").alias("block"), share("batches").alias("part"), F.lit(True).alias("asks"), "id", "beat", "vector"
+        "dim", "cell", every("blocks").alias("block"), share("batches").alias("part"), F.lit(True).alias("asks"), "id", "beat", "vector", "away"
     )
     held = rows.join(small, ["dim", "cell"]).select(
-        "dim", "cell", share("blocks").alias("block"), every("batches").alias("part"), F.lit(False).alias("asks"), "id", F.lit(NO_SCORE).alias("beat"), "vector"
+        "dim", "cell", share("blocks").alias("block"), every("batches").alias("part"), F.lit(False).alias("asks"), "id", F.lit(NO_SCORE).alias("beat"), "vector", "away"
     )
     keys = ["dim", "cell", "block", "part"]
     return asks.unionAll(held).repartition(*keys).sortWithinPartitions(*keys)
@@ -248,7 +259,7 @@ def top_k(
     spark = vectors.sparkSession
     workspace = workspace or Workspace(spark)
     plain = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("vector"), is_query.alias("asks"))
-    spelled = {"id": pa.int64(), "dim": pa.int32(), "vector": pa.binary(), "cell": pa.int32()}
+    spelled = {"id": pa.int64(), "dim": pa.int32(), "vector": pa.binary(), "cell": pa.int32(), "away": pa.binary()}
 
     def schema_of(*names: str) -> pa.Schema:
         return pa.schema([(n, spelled[n]) for n in names])
@@ -260,19 +271,24 @@ def top_k(
         sample.setdefault(row["dim"], []).append(np.frombuffer(row["vector"], np.int64))
     pivots = {d: choose_pivots(np.stack(v).astype(np.float64), PIVOTS) for d, v in sample.items()}
 
-    task = partial(_in_cells, pivots=pivots, schema=schema_of("id", "dim", "cell", "vector"))
-    rows = workspace.stage(arrow_map(prepared, task, "id long, dim int, cell int, vector binary"), "cells")
-    range_schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("norm", pa.float64()), ("low", pa.binary()), ("high", pa.binary())])
-    task = partial(_cell_ranges, pivots=pivots, schema=range_schema)
+    # the pivot table: a row's distances are computed once and go with it
+    task = partial(_distance_table, pivots=pivots, schema=schema_of("id", "dim", "cell", "vector", "away"))
+    rows = workspace.stage(arrow_map(prepared, task, "id long, dim int, cell int, vector binary, away binary"), "cells")
+    names = ["dim", "cell", "pivot", "n", "norm", "low", "high"]
+    types = [pa.int32()] * 3 + [pa.int64()] + [pa.float64()] * 3
+    task = partial(_cell_ranges, schema=pa.schema(list(zip(names, types, strict=True))))
+    met = arrow_map(rows, task, "dim int, cell int, pivot int, n long, norm double, low double, high double")
+    met = met.groupBy("dim", "cell", "pivot").agg(F.sum("n").alias("n"), F.max("norm").alias("norm"), F.min("low").alias("low"), F.max("high").alias("high"))
     ranges: dict[int, dict] = {}
     blocks: dict[tuple[int, int], int] = {}
-    met = arrow_map(rows.coalesce(64), task, "dim int, cell int, n long, norm double, low binary, high binary")
-    for r in met.collect():  # a row for each cell and task
-        of_dim = ranges.setdefault(r["dim"], {})
-        low, high = np.frombuffer(r["low"]), np.frombuffer(r["high"])
-        old = of_dim.get(r["cell"], (0.0, low, high))
-        of_dim[r["cell"]] = (max(old[0], r["norm"]), np.minimum(old[1], low), np.maximum(old[2], high))
-        blocks[r["dim"], r["cell"]] = blocks.get((r["dim"], r["cell"]), 0) + r["n"]
+    by_cell: dict[tuple[int, int], list] = {}
+    for r in sorted(met.collect()):  # a row for each cell and pivot, the one before the first pivot counts
+        if r["pivot"] < 0:
+            blocks[r["dim"], r["cell"]] = r["n"]
+        by_cell.setdefault((r["dim"], r["cell"]), []).append((r["norm"], r["low"], r["high"]))
+    for (dim, cell), found in by_cell.items():
+        low, high = (np.array([f[i] for f in found[1:]]) for i in (1, 2))
+        ranges.setdefault(dim, {})[cell] = (found[0][0], low, high)
 
     asking = plain.where("asks AND id IS NOT NULL").select("id").distinct()
     queries = workspace.stage(rows.join(asking, "id", "left_semi").withColumn("beat", F.lit(NO_SCORE)), "queries")
@@ -283,7 +299,7 @@ def top_k(
         return spark.createDataFrame(sizes, "dim int, cell int, blocks int, batches int")
 
     answer_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    answer = partial(_answered, pivots=pivots, k=k, schema=answer_schema)
+    answer = partial(_answered, k=k, schema=answer_schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def answers(asked: DataFrame, name: str) -> DataFrame:
@@ -293,10 +309,10 @@ def top_k(
     at_home = answers(queries, "at-home")
     reached = at_home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
     reached = reached.select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
-    aware = queries.join(reached, "id", "left").select("id", "dim", "cell", "vector", F.coalesce("reached", "beat").alias("beat"))
-    sent_schema = pa.schema([*schema_of("id", "dim", "cell", "vector"), ("beat", pa.int64())])
-    task = partial(_sent_on, pivots=pivots, ranges=ranges, schema=sent_schema)
-    sent = workspace.stage(arrow_map(aware, task, "id long, dim int, cell int, vector binary, beat long"), "sent")
+    aware = queries.join(reached, "id", "left").select("id", "dim", "cell", "vector", "away", F.coalesce("reached", "beat").alias("beat"))
+    sent_schema = pa.schema([*schema_of("id", "dim", "cell", "vector", "away"), ("beat", pa.int64())])
+    task = partial(_sent_on, ranges=ranges, schema=sent_schema)
+    sent = workspace.stage(arrow_map(aware, task, "id long, dim int, cell int, vector binary, away binary, beat long"), "sent")
     found = at_home.unionAll(answers(sent, "elsewhere")).distinct()
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
