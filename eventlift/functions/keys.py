@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+Stage = Callable[[DataFrame, str], DataFrame]
+
 NULL_KEY_SPREAD = 1024
 #: Rows of the right side under one key up to which they meet the left side in one task.
 KEY_ROWS = 1 << 15
+#: Keys that a sketch reports and tracks: none with more than some 1 / ``TRACKED_KEYS`` of the rows is missed.
+HEAVY_KEYS, TRACKED_KEYS = 1000, 16_384
 
 
 def column(name: str) -> Column:
@@ -52,33 +57,49 @@ def left_lookup(
     return keyed.join(wanted, "_key", "left").drop("_key")
 
 
-def spread_lookup(left: DataFrame, right: DataFrame, on: list[str], wanted: DataFrame) -> DataFrame:
+def spread_lookup(
+    left: DataFrame, right: DataFrame, on: list[str], wanted: DataFrame, stage: Stage | None = None
+) -> DataFrame:
     """``left_lookup`` of wanted rows, those under one key of ``right`` dealt out among tasks.
 
-    ``wanted`` holds the keys of ``left``, others too. The driver asks for the rows of the
-    largest of them. If that is beyond ``KEY_ROWS``, keys beyond it are joined apart: their right
-    rows are dealt out by a hash, their left rows repeated for each part. Such a key has
-    partners, so that an inner join keeps all of its left rows.
+    ``wanted`` holds the keys of ``left``, others too. Keys with more than ``KEY_ROWS`` rows on the
+    right are joined apart: their right rows are dealt out by a hash, as many parts as the key
+    needs, and their left rows repeated for each part. Such a key has partners, so that an
+    inner join keeps all of its left rows.
+
+    With ``stage`` the wanted right rows are written once, and a sketch of their most frequent keys
+    is taken on the way; the driver sees the heaviest few. Without it all keys are counted first.
     """
-    counts = right.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows"))
-    counts = only_for(counts, wanted, on)
-    largest = counts.agg(F.max("_rows")).first()[0] or 0
-    if largest <= KEY_ROWS:
-        return left_lookup(left, right, on, only_wanted=True)
-    parts = -(-largest // KEY_ROWS)
-    hot = counts.where(F.col("_rows") > KEY_ROWS).select(*on)
-    in_parts = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    if stage is None:
+        counts = right.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows"))
+        counts = only_for(counts, wanted, on)
+        if (counts.agg(F.max("_rows")).first()[0] or 0) <= KEY_ROWS:
+            return left_lookup(left, right, on, only_wanted=True)
+        hot = counts.where(F.col("_rows") > KEY_ROWS)
+    else:
+        sketch = Observation()
+        heaviest = F.expr(f"approx_top_k(xxhash64({', '.join(on)}), {HEAVY_KEYS}, {TRACKED_KEYS})")
+        kept = only_for(right.dropna(subset=on), wanted, on).observe(sketch, heaviest.alias("keys"))
+        right = stage(kept, "wanted_accounts")
+        heavy = [(k["item"], k["count"]) for k in sketch.get["keys"] if k["count"] > KEY_ROWS]
+        if not heavy:
+            return left_lookup(left, right, on)
+        counted = right.sparkSession.createDataFrame(heavy, "_hash long, _rows long")
+        keys = right.withColumn("_hash", F.xxhash64(*on)).join(counted, "_hash")
+        hot = keys.groupBy(*on).agg(F.max("_rows").alias("_rows"))
+    parts = hot.select(*on, F.ceil(F.col("_rows") / KEY_ROWS).cast("int").alias("_parts"))
     values = [c for c in right.columns if c not in on]
-    dealt = right.withColumn("_part", F.pmod(F.xxhash64(*values), F.lit(parts)).cast("int"))
     columns = [column(c) for c in left.columns]
     cold = left_lookup(
-        left.join(hot, on, "left_anti").select(*columns),
-        dealt.join(in_parts, [*on, "_part"], "left_anti").select(*right.columns),
+        left.join(parts, on, "left_anti").select(*columns),
+        right.join(parts, on, "left_anti").select(*right.columns),
         on,
         only_wanted=True,
     )
-    repeated = left.join(in_parts, on).select(*columns, "_part")
-    met = repeated.join(dealt.join(in_parts, [*on, "_part"], "left_semi"), [*on, "_part"])
+    dealt = right.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(*values), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    repeated = left.join(parts, on).withColumn("_part", every).select(*columns, "_part")
+    met = repeated.join(dealt.select(*on, "_part", *values), [*on, "_part"])
     return cold.unionAll(met.select(*columns, *values))
 
 

@@ -58,11 +58,13 @@ def link_identity(
     status: str | None = None,
     dedupe: str | None = None,
     blank_as_null: bool = False,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """``user_id`` followed by every guest column, guests without an account included.
 
     Several accounts under one key give one row each, and a blank key equals a blank
-    key, unless ``dedupe="min_id"`` or ``blank_as_null`` says otherwise.
+    key, unless ``dedupe="min_id"`` or ``blank_as_null`` says otherwise. With ``stage`` the accounts
+    of the guests' keys are written, and hot keys are noticed on the way (``spread_lookup``).
     """
     if dedupe not in (None, "min_id"):
         raise ValueError(f"unknown dedupe {dedupe!r}")
@@ -84,7 +86,8 @@ def link_identity(
         if one_per_key:
             found = left_lookup(named, accounts, on, only_wanted=True)
         else:
-            found = spread_lookup(named, accounts, on, kept.select(*[c.alias(n) for n, c in folded.items()]))
+            wanted = kept.select(*[c.alias(n) for n, c in folded.items()])
+            found = spread_lookup(named, accounts, on, wanted, stage)
         linked = found.select(*columns, F.coalesce("_user", "_id").alias("_user"))
     return linked.select(F.col("_user").alias("user_id"), *columns)
 
@@ -122,16 +125,33 @@ def match_report(
         .groupBy(*[f"_{k}" for k in columns])
         .agg(F.count("*").alias("_guests"))
     )
-    counted = keyed = stage(keyed, "guest_keys") if stage else keyed
-    for keys in key_sets:
-        tag = "_".join(keys)
-        on = [f"_{k}" for k in keys]
-        per_key = (
-            _accounts(users, keys, blank_as_null, False)
-            .groupBy(*on)
-            .agg(F.count("*").alias(f"rows_{tag}"), F.count("_id").alias(f"ids_{tag}"))
-        )
-        counted = left_lookup(counted, only_for(per_key, keyed, on), on)
+    keyed = stage(keyed, "guest_keys") if stage else keyed
+
+    # Every key set is a row of its own, tagged, so that the accounts are read and shuffled once.
+    def tagged(rows: DataFrame, *others: str) -> DataFrame:
+        sets = [
+            F.struct(
+                F.lit(i).alias("_tag"),
+                *[(F.col(f"_{c}") if c in keys else F.lit("")).alias(f"_k{j}") for j, c in enumerate(columns)],
+            )
+            for i, keys in enumerate(key_sets)
+        ]
+        return rows.select(*others, F.inline(F.array(*sets)))
+
+    on = ["_tag", *[f"_k{j}" for j in range(len(columns))]]
+    names = [f"_{k}" for k in columns]
+    wanted = tagged(keyed, *names, "_guests")
+    accounts = tagged(users.select(F.col("id").alias("_id"), *[fold(k, blank_as_null).alias(f"_{k}") for k in columns]), "_id")
+    per_key = (
+        only_for(accounts.dropna(subset=on), wanted, on)
+        .groupBy(*on)
+        .agg(F.count("*").alias("_rows"), F.count("_id").alias("_ids"))
+    )
+    of = lambda i, n: F.max(F.when(F.col("_tag") == i, F.col(n)))
+    counted = left_lookup(wanted, per_key, on).groupBy(*names, "_guests").agg(
+        *[of(i, "_rows").alias(f"rows_{'_'.join(keys)}") for i, keys in enumerate(key_sets)],
+        *[of(i, "_ids").alias(f"ids_{'_'.join(keys)}") for i, keys in enumerate(key_sets)],
+    )
 
     sums, rows = [], []
     for i, plan in enumerate(chosen):

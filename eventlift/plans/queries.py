@@ -44,7 +44,7 @@ def _of_export(build: Callable[[DataFrame], DataFrame]) -> Query:
 def _link(strategy: str, dedupe: str | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = FixtureTables(tune(spark), sf_dir)
-        return identity.link_identity(t.guestlist, t.users, strategy, dedupe=dedupe)
+        return identity.link_identity(t.guestlist, t.users, strategy, dedupe=dedupe, stage=Workspace(spark).stage)
 
     return run
 

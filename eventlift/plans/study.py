@@ -67,7 +67,7 @@ class EventStudy:
     def linked(self) -> DataFrame:
         """Guests of the wanted status with their account."""
         t = self.tables
-        linked = identity.link_identity(t.guestlist, t.users, status=self.status)
+        linked = identity.link_identity(t.guestlist, t.users, status=self.status, stage=self.workspace.stage)
         return self.workspace.create_or_replace(linked, "guestlist_with_userid")
 
     @cached_property

@@ -196,8 +196,28 @@ def test_accounts_are_shuffled_once_for_each_link(tables, no_broadcast):
     assert len(re.findall(r"Exchange hashpartitioning\(", plan)) == 3
 
 
+def test_hot_keys_are_noticed_in_the_pass_that_writes_the_accounts(spark, workspace, tables, written):
+    """Accounts are scanned once for a link, and no job counts them by key."""
+    users = workspace.stage(tables.users.withColumnRenamed("id", "account_no"), "u").withColumnRenamed("account_no", "id")
+    guests = workspace.stage(tables.guestlist, "g")
+    del written[:]
+    linked = identity.link_identity(guests, users, stage=workspace.stage)
+    assert len(written) == 1 and scans([*written, plan_of(linked)], "account_no") == 1
+    assert "approx_top_k" in written[0] and "partial_count" not in written[0]
+
+
+def test_accounts_are_read_and_shuffled_once_for_all_key_sets(spark, workspace, tables, no_broadcast):
+    users = workspace.stage(tables.users.withColumnRenamed("id", "account_no"), "u").withColumnRenamed("account_no", "id")
+    guests = workspace.stage(tables.guestlist, "g")
+    plan = plan_of(identity.match_report(guests, users, stage=workspace.stage))
+    assert scans([plan], "account_no") == 1
+    counted = plan.split("== Physical Plan ==")[1]
+    assert len(re.findall(r"partial_count\(1\)|partial_count\(_id", counted)) <= 2
+
+
+@pytest.mark.parametrize("staged", [False, True])
 @pytest.mark.parametrize("strategy", ["email", "name", "all", "cascade"])
-def test_accounts_of_a_hot_key_are_dealt_out(spark, no_broadcast, strategy):
+def test_accounts_of_a_hot_key_are_dealt_out(spark, workspace, no_broadcast, strategy, staged):
     """A third of the accounts under one key, at default thresholds of skew joins."""
     people = lambda k: [f"{k} AS {c}" for c in ("email", "first_name", "last_name")]
     users = spark.range(360_000).selectExpr("id", *people("IF(id % 3 = 0, '', concat('k', id))"))
@@ -207,7 +227,8 @@ def test_accounts_of_a_hot_key_are_dealt_out(spark, no_broadcast, strategy):
     before = spark.conf.get(coalescing)
     spark.conf.set(coalescing, "false")
     try:
-        linked = identity.link_identity(guests, users, strategy)
+        stage = workspace.stage if staged else None
+        linked = identity.link_identity(guests, users, strategy, stage=stage)
         rows = linked.select("guest_id", "user_id", F.spark_partition_id().alias("task")).collect()
     finally:
         spark.conf.set(coalescing, before)
