@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Stage = Callable[[DataFrame, str], DataFrame]
@@ -67,8 +67,8 @@ def spread_lookup(
     needs, and their left rows repeated for each part. Such a key has partners, so that an
     inner join keeps all of its left rows.
 
-    With ``stage`` the wanted right rows are written once, and a sketch of their most frequent keys
-    is taken on the way; the driver sees the heaviest few. Without it all keys are counted first.
+    With ``stage`` the wanted right rows are written once, and a sketch of the most frequent keys is
+    taken of these; the driver sees the heaviest few. Without it all keys are counted first.
     """
     if stage is None:
         counts = right.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows"))
@@ -77,11 +77,9 @@ def spread_lookup(
             return left_lookup(left, right, on, only_wanted=True)
         hot = counts.where(F.col("_rows") > KEY_ROWS)
     else:
-        sketch = Observation()
+        right = stage(only_for(right.dropna(subset=on), wanted, on), "wanted_accounts")
         heaviest = F.expr(f"approx_top_k(xxhash64({', '.join(on)}), {HEAVY_KEYS}, {TRACKED_KEYS})")
-        kept = only_for(right.dropna(subset=on), wanted, on).observe(sketch, heaviest.alias("keys"))
-        right = stage(kept, "wanted_accounts")
-        heavy = [(k["item"], k["count"]) for k in sketch.get["keys"] if k["count"] > KEY_ROWS]
+        heavy = [(k["item"], k["count"]) for k in right.agg(heaviest).first()[0] if k["count"] > KEY_ROWS]
         if not heavy:
             return left_lookup(left, right, on)
         counted = right.sparkSession.createDataFrame(heavy, "_hash long, _rows long")

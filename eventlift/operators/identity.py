@@ -64,7 +64,7 @@ def link_identity(
 
     Several accounts under one key give one row each, and a blank key equals a blank
     key, unless ``dedupe="min_id"`` or ``blank_as_null`` says otherwise. With ``stage`` the accounts
-    of the guests' keys are written, and hot keys are noticed on the way (``spread_lookup``).
+    of the guests' keys are written, and hot keys are found among these (``spread_lookup``).
     """
     if dedupe not in (None, "min_id"):
         raise ValueError(f"unknown dedupe {dedupe!r}")

@@ -13,6 +13,7 @@ from conftest import DATA
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from eventlift import Workspace
 from eventlift.llm import hyperminhash, packing, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,6 +86,41 @@ def test_large_groups_are_cut_into_chunks(spark, monkeypatch):
         assert r["component_id"] == expected[r["doc_id"]][1]
 
 
+def test_two_texts_under_one_id_give_one_result(spark):
+    texts = [f"{w} " * 3 + "one two three four five six seven eight nine ten" for w in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[2]), (3, "quite another text with other words in it")]
+    found = set()
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(parts)
+        found.add(tuple(sorted(map(tuple, hyperminhash.near_duplicates(df, n=4).collect()))))
+    assert len(found) == 1
+
+
+def test_a_large_family_of_near_copies_is_compared_once(spark, monkeypatch):
+    """Copies of one text with a word changed: next to all hang on the least, few rows are left for chunks."""
+    monkeypatch.setattr(hyperminhash, "BAND_MEMBERS", 16)
+    monkeypatch.setattr(hyperminhash, "FAMILY_BYTES", 20_000)
+    r = random.Random(4)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    docs = {}
+    for i in range(400):
+        own = list(base)
+        own[r.randrange(300)] = f"x{i}"
+        docs[i] = " ".join(own)
+    steps, stage = {}, Workspace.stage
+
+    def recorded(self, df, name):
+        table = stage(self, df, name)
+        steps.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(Workspace, "stage", recorded)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {x["component_id"] for x in hyperminhash.near_duplicates(df).collect()} == {0}
+    assert len(steps["stars"]) == 2 and steps["stars"][1] == 399 and steps["left"][1] == 0
+    assert steps["left"][0] < 0.1 * steps["large"][0]
+
+
 def test_rows_without_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")
     rows = {(r["doc_id"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(df).collect()}

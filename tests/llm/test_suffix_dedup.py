@@ -51,11 +51,30 @@ def result(df):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot", [1000, 5])
-def test_equals_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,local_hot", [(1000, 32), (5, 32), (1000, 2), (5, 1)])
+def test_equals_brute_force(spark, hot, local_hot):
     docs = corpus(hot, 150)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    assert result(S.remove_repeats(df, 100, hot=hot)) == brute(docs, 100)
+    assert result(S.remove_repeats(df, 100, hot=hot, local_hot=local_hot)) == brute(docs, 100)
+
+
+def test_places_of_a_hot_substring_are_not_gathered():
+    """A line in all of 3,000 texts: its places go by numbers of their own, a mark or two to its hash."""
+    schema = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("place", pa.int32())])
+    line = hashlib.sha512(b"line").hexdigest()
+    texts = [line + hashlib.sha512(str(i).encode()).hexdigest() for i in range(3000)]
+    batch = S.batch_of(pa.schema([("id", pa.int64()), ("text", pa.string())]), [range(3000), texts])
+    rows = pa.concat_batches(S._represented(iter([batch]), 100, S.LOCAL_HOT, schema))
+    hashes = rows.column(0).to_numpy()
+    assert np.unique(hashes, return_counts=True)[1].max() < 60
+    again = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("hot", pa.bool_())])
+    ordered = rows.take(pa.array(np.argsort(hashes, kind="stable")))
+    pieces = [ordered.slice(i, 700) for i in range(0, ordered.num_rows, 700)]
+    found = [(x["id"], x["place"]) for b in S._repeated(iter(pieces), S.HOT, again) for x in b.to_pylist() if x["hot"]]
+    strings = S.Strings([t.encode() for t in texts])
+    known, code, counts = np.unique(strings.hash, return_inverse=True, return_counts=True)
+    hot = counts[code] > S.HOT
+    assert sorted(found) == sorted(zip(strings.text[hot].tolist(), strings.place[hot].tolist(), strict=True))
 
 
 def test_no_group_is_compared_beyond_the_bound(spark, monkeypatch):
