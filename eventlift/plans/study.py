@@ -29,6 +29,28 @@ class StudyTables:
     dim_user: DataFrame
     subscriptions: DataFrame
 
+    @classmethod
+    def from_columns(cls, names: dict[str, dict[str, str]], **tables: DataFrame) -> StudyTables:
+        """Tables whose columns have other names: ``names[table][expected]`` is the one they have.
+
+        Columns that are not named keep theirs. A column that is not there, or whose expected name another
+        column of the table has already, is an error.
+        """
+        unknown = names.keys() - tables.keys()
+        if unknown:
+            raise ValueError(f"names for tables that are not given: {sorted(unknown)}")
+        return cls(**{table: _renamed(table, df, names.get(table, {})) for table, df in tables.items()})
+
+
+def _renamed(table: str, df: DataFrame, names: dict[str, str]) -> DataFrame:
+    actual = {a: e for e, a in names.items()}
+    missing = sorted(actual.keys() - set(df.columns))
+    columns = [actual.get(c, c) for c in df.columns]
+    clashes = sorted(c for c in set(columns) if columns.count(c) > 1)
+    if missing or clashes:
+        raise ValueError(f"{table}: columns missing {missing}, names twice {clashes}")
+    return df.toDF(*columns)
+
 
 class EventStudy:
     """Steps as properties. A step that several others read is written once per study.

@@ -6,7 +6,7 @@ import time
 import pytest
 from conftest import DATA
 
-from eventlift import EventStudy, Workspace
+from eventlift import EventStudy, StudyTables, Workspace
 from eventlift.sources.fixtures import EVENT, FixtureTables
 from eventlift.sources.workspace import fingerprint, sweep
 
@@ -73,3 +73,27 @@ def test_a_sweep_removes_abandoned_runs(spark, tmp_path, keep):
     os.utime(f"{old.root}/_lease", (past, past))
     assert sweep(spark, str(tmp_path)) == [old.root.rpartition("/")[2]]
     assert sorted(p.name for p in tmp_path.iterdir()) == sorted(["other", live.root.rpartition("/")[2]])
+
+
+def test_tables_with_other_column_names(spark, workspace):
+    plain = FixtureTables(spark, f"{DATA}/sf0.001")
+    tables = {t: getattr(plain, t) for t in ("guestlist", "users", "deliveries", "values", "dim_user", "subscriptions")}
+    names = {
+        "deliveries": {"user_id": "Customer.No", "delivered_date_pt": "day", "order_delivery_id": "order"},
+        "values": {"order_delivery_id": "order", "gtv_amt_usd": "amount"},
+        "subscriptions": {"user_id": "member"},
+    }
+    other = {}
+    for table, df in tables.items():
+        actual = names.get(table, {})
+        other[table] = df.toDF(*[actual.get(c, c) for c in df.columns])
+    found = EventStudy(StudyTables.from_columns(names, **other), EVENT, workspace)
+    expected = EventStudy(StudyTables(**tables), EVENT, workspace)
+    for result in ("summary", "membership_transitions"):
+        assert [tuple(r) for r in getattr(found, result)().collect()] == [tuple(r) for r in getattr(expected, result)().collect()]
+    with pytest.raises(ValueError, match="missing"):
+        StudyTables.from_columns({"values": {"gtv_amt_usd": "nothing"}}, **tables)
+    with pytest.raises(ValueError, match="twice"):
+        StudyTables.from_columns({"values": {"gtv_amt_usd": "order_delivery_id"}}, **(tables | {"values": tables["values"].withColumnRenamed("order_delivery_id", "x").selectExpr("*", "x AS order_delivery_id")}))
+    with pytest.raises(ValueError, match="not given"):
+        StudyTables.from_columns({"other": {}}, **tables)
