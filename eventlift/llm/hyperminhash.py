@@ -8,7 +8,8 @@ into families if they may be similar. Inside a family similarity is decided on t
 
 No step emits all pairs of a group. A group is searched breadth first, each document against
 those not yet reached, and leaves one edge for each document it reached. A group too large
-for a task is cut into chunks by a hash, and every pair of chunks is searched.
+for a task is first compared with its document of least id, each once: near copies are linked by
+that alone. Only what is left is compared with the whole group, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -128,13 +129,10 @@ def _banded(batches: Batches, schema: pa.Schema) -> Batches:
 # -- groups searched in tasks ---------------------------------------------------------------
 
 
-def in_chunks(rows: DataFrame, key: str, chunks: Column) -> DataFrame:
-    """Rows sent to every pair of chunks (``a`` <= ``b``) of their group that has theirs."""
-    own = F.pmod(F.xxhash64("id"), F.col("_chunks"))
-    spread = rows.withColumn("_chunks", chunks).withColumn("_own", own)
-    others = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    pair = others.withColumns({"a": F.least("_own", "_other").cast("int"), "b": F.greatest("_own", "_other").cast("int")})
-    return pair.drop("_chunks", "_own", "_other").repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "id")
+def in_groups(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of groups that one task takes, each group in one place."""
+    one = rows.withColumns({"a": F.lit(0), "b": F.lit(0)})
+    return one.repartition(key).sortWithinPartitions(key, "id")
 
 
 def _groups_of(batches: Batches, by: int = 3) -> Iterator[pa.RecordBatch]:
@@ -195,8 +193,11 @@ def _band_edges(batches: Batches, limit: int, schema: pa.Schema) -> Batches:
         yield batch_of(schema, [edges[:, 0], edges[:, 1]])
 
 
-def exact_edges(sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
-    """A forest of the pairs of sets whose intersection is ``limit`` percent of their union."""
+Near = Callable[[int, np.ndarray], np.ndarray]
+
+
+def exact_near(sets: list[np.ndarray], limit: int) -> Near:
+    """Tells which sets share ``limit`` percent of their union with a given one."""
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
     known, dense = np.unique(np.concatenate(sets), return_inverse=True)
@@ -217,7 +218,12 @@ def exact_edges(sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
         out[fit] = 100 * shared >= limit * (sizes[some] + sizes[i] - shared)
         return out
 
-    return forest(len(sets), near)
+    return near
+
+
+def exact_edges(sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets whose intersection is ``limit`` percent of their union."""
+    return forest(len(sets), exact_near(sets, limit))
 
 
 def _family_edges(batches: Batches, n: int, limit: int, schema: pa.Schema) -> Batches:
@@ -232,6 +238,107 @@ def _family_edges(batches: Batches, n: int, limit: int, schema: pa.Schema) -> Ba
             yield batch_of(schema, [edges[:, 0], edges[:, 1]])
 
 
+# -- large groups: first the document of least id, then what is left -------------------------
+
+MIDDLE, LINKED, LEFT, ASKS = range(4)
+
+
+def _band_near(group: pa.RecordBatch, limit: int) -> Near:
+    sizes = group.column(5).to_numpy()
+    registers = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    return lambda i, others: may_be_similar(registers[i], int(sizes[i]), registers[others], sizes[others], limit)
+
+
+def _family_near(group: pa.RecordBatch, n: int, limit: int) -> Near:
+    return exact_near(shingles(group.column(5).cast(pa.binary()).to_pylist(), n), limit)
+
+
+def _stars(batches: Batches, near_of: Callable[[pa.RecordBatch], Near], schema: pa.Schema) -> Batches:
+    """Edges from a group's middle to the members of a chunk that are like it."""
+    for group in _groups_of(batches):
+        ids, roles = group.column(3).to_numpy(), group.column(4).to_numpy()
+        middle, others = np.flatnonzero(roles == MIDDLE), np.flatnonzero(roles != MIDDLE)
+        if not len(middle) or not len(others):
+            continue
+        hit = others[near_of(group)(int(middle[0]), others)]
+        if len(hit):
+            keys = np.full(len(hit), group.column(0)[0].as_py(), np.int64)
+            yield batch_of(schema, [np.full(len(hit), ids[middle[0]]), ids[hit], keys])
+
+
+def _left_edges(batches: Batches, near_of: Callable[[pa.RecordBatch], Near], schema: pa.Schema) -> Batches:
+    """Edges of members that their group's middle is not like, to all members of a chunk.
+
+    Linked members hang together already, so one edge to any of them will do.
+    """
+    for group in _groups_of(batches):
+        ids, roles = group.column(3).to_numpy(), group.column(4).to_numpy()
+        asking, members = np.flatnonzero(roles == ASKS), np.flatnonzero(roles != ASKS)
+        if not len(asking) or not len(members):
+            continue
+        near, edges = near_of(group), []
+        for i in asking.tolist():
+            others = members[ids[members] != ids[i]]
+            hit = others[near(i, others)] if len(others) else others
+            linked = roles[hit] == LINKED
+            edges += [(ids[i], ids[j]) for j in [*hit[linked][:1].tolist(), *hit[~linked].tolist()]]
+        if edges:
+            yield batch_of(schema, list(zip(*edges)))
+
+
+def _large_edges(
+    rows: DataFrame,
+    key: str,
+    columns: list[str],
+    weight: Column,
+    bound: int,
+    near_of: Callable[[pa.RecordBatch], Near],
+    workspace: Workspace,
+) -> DataFrame:
+    """Edges within groups of more than one chunk; ``_chunks`` says of how many.
+
+    Every member meets the middle once. Those that it is not like, in chunks of ``bound``, meet all
+    chunks of the group, so that what is shuffled grows with the group, times the chunks left.
+    """
+    rows = workspace.stage(rows, "large")
+    edge_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    own = F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+
+    def placed(part: DataFrame, a: Column, b: Column, role: int) -> DataFrame:
+        return part.select(key, a.alias("a"), b.alias("b"), "id", F.lit(role).alias("role"), *columns)
+
+    def met(parts: list[DataFrame], task, schema: pa.Schema, spelled: str) -> DataFrame:
+        all_ = parts[0]
+        for part in parts[1:]:
+            all_ = all_.unionAll(part)
+        dealt = all_.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "id")
+        return arrow_map(dealt, partial(task, near_of=near_of, schema=schema), spelled)
+
+    least = rows.groupBy(key).agg(F.min("id").alias("_least"))
+    marked = rows.join(least, key)
+    middles, others = marked.where("id = _least"), marked.where("id <> _least")
+    star_schema = pa.schema([*edge_schema, ("key", pa.int64())])
+    first = [placed(middles, every, F.lit(0), MIDDLE), placed(others, own, F.lit(0), LEFT)]
+    stars = workspace.stage(met(first, _stars, star_schema, "u long, v long, key long"), "stars")
+
+    linked = stars.select(F.col("key").alias(key), F.col("v").alias("id"))
+    left = others.join(linked, [key, "id"], "left_anti")
+    parts = F.ceil(F.sum(weight) / bound).cast("int").alias("_parts")
+    left = workspace.stage(left.select(key, "id", "_chunks", *columns), "left")
+    sizes = left.groupBy(key).agg(parts)
+    part = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    hung = others.join(linked, [key, "id"], "left_semi").select(key, "id", "_chunks", *columns)
+    hung = hung.unionAll(middles.select(key, "id", "_chunks", *columns))
+    second = [
+        placed(left.join(sizes, key), part, every, ASKS),
+        placed(left.join(sizes, key).withColumn("_a", each), F.col("_a"), own, LEFT),
+        placed(hung.join(sizes, key).withColumn("_a", each), F.col("_a"), own, LINKED),
+    ]
+    return stars.select("u", "v").unionAll(met(second, _left_edges, edge_schema, "u long, v long"))
+
+
 # -- the whole ------------------------------------------------------------------------------
 
 
@@ -263,22 +370,36 @@ def near_duplicates(
     banded = workspace.stage(banded, "bands")
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = banded.join(shared, "key").join(reps, "id")
-    chunks = F.ceil(F.col("members") / BAND_MEMBERS).cast("int")
-    in_bands = in_chunks(members, "key", chunks).select("key", "a", "b", "id", "n_shingles", "registers")
+    members = members.withColumn("_chunks", F.ceil(F.col("members") / BAND_MEMBERS).cast("int"))
+    in_bands = in_groups(members.where("_chunks = 1"), "key").select("key", "a", "b", "id", "n_shingles", "registers")
     edge_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     task = partial(_band_edges, limit=limit, schema=edge_schema)
-    families = workspace.stage(components(arrow_map(in_bands, task, "u long, v long"), workspace), "families")
-
-    # Of a representative's text any row will do that has its set.
+    edges = arrow_map(in_bands, task, "u long, v long")
+    large = members.where("_chunks > 1").select("key", "id", "_chunks", "n_shingles", "registers")
+    if not shared.where(F.col("members") > BAND_MEMBERS).isEmpty():
+        near = partial(_band_near, limit=limit)
+        edges = edges.unionAll(
+            _large_edges(large, "key", ["n_shingles", "registers"], F.lit(1), BAND_MEMBERS, near, workspace)
+        )
+    families = workspace.stage(components(edges, workspace), "families")
+
+    # Of a representative's text any row will do that has its set; of several the least.
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     # The same plan at every size: a table of families that happens to be small is not sent.
     held = texts.join(families.hint("shuffle_hash"), "id").withColumnRenamed("component", "family")
-    held = workspace.stage(held.dropDuplicates(["id"]).withColumn("bytes", F.octet_length("text").cast("long")), "held")
+    held = held.groupBy("id", "family").agg(F.min("text").alias("text"))
+    held = workspace.stage(held.withColumn("bytes", F.octet_length("text").cast("long")), "held")
     sizes = held.groupBy("family").agg(F.sum("bytes").alias("all_bytes"))
-    chunks = F.ceil(F.col("all_bytes") / FAMILY_BYTES).cast("int")
-    in_families = in_chunks(held.join(sizes, "family"), "family", F.greatest(chunks, F.lit(1)))
+    sizes = workspace.stage(sizes.withColumn("_chunks", F.greatest(F.ceil(F.col("all_bytes") / FAMILY_BYTES), F.lit(1)).cast("int")), "sizes")
+    members = held.join(sizes, "family")
+    in_families = in_groups(members.where("_chunks = 1"), "family").select("family", "a", "b", "id", "text")
     task = partial(_family_edges, n=n, limit=limit, schema=edge_schema)
-    edges = arrow_map(in_families.select("family", "a", "b", "id", "text"), task, "u long, v long")
+    edges = arrow_map(in_families, task, "u long, v long")
+    if not sizes.where("_chunks > 1").isEmpty():
+        large = members.where("_chunks > 1").select("family", "id", "_chunks", "bytes", "text")
+        near = partial(_family_near, n=n, limit=limit)
+        large = large.withColumnRenamed("family", "key")
+        edges = edges.unionAll(_large_edges(large.select("key", "id", "_chunks", "text"), "key", ["text"], F.octet_length("text"), FAMILY_BYTES, near, workspace))
     linked = workspace.stage(components(edges, workspace), "linked")
 
     found = (
