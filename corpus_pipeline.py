@@ -55,7 +55,7 @@ STAGES = [
     ("personal data", personal_data),
     ("best-fit packing", best_fit_packing),
 ]
-#: SQL has no twin of the models, sketches and tokenizers; tests compare with brute force.
+#: SQL has no twin of the models, sketches and tokenizers; tests hold the stages against fixed cases.
 ORACLE_SQL = None
 
 
