@@ -27,7 +27,7 @@ from eventlift.llm.tasks import BEYOND_LATIN, WHITE_SPACE
 from eventlift.llm.words import Words
 
 #: Chunks and pre-tokens that a generation remembers at most; a worker holds two of each.
-MAX_CHUNKS, MAX_PIECES = 1_500_000, 400_000
+MAX_CHUNKS, MAX_PIECES = 800_000, 80_000
 LONGEST_CACHED = 64
 BORDER = 0xFFFFFFFF
 _BEYOND_LATIN = re.compile(f"[{BEYOND_LATIN}-{chr(0x10FFFF)}]").search
@@ -199,7 +199,7 @@ def load(path: str) -> WordIds:
     return WordIds(path)
 
 
-def grouped(texts: list[str], limit: int = 4 << 20) -> list[tuple[int, int]]:
+def grouped(texts: list[str], limit: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts with about so many characters each, to bound what is held at once."""
     ranges, start, held = [], 0, 0
     for at, text in enumerate(texts):
