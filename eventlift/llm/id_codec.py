@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ CONFIDENT = 15
 GAIN = 24
 REBUILT_EVERY = 8
 BLOCK_SCHEMA = (
-    "part int, number int, start long, n_docs int, n_tokens long, block binary"
+    "part int, number int, start long, n_docs int, n_tokens long, cut boolean, block binary"
 )
 
 
@@ -277,15 +278,26 @@ def unpack_block(block: bytes) -> np.ndarray:
 # -- files ----------------------------------------------------------------------------------
 
 
-def _directory(docs: list, sizes: list[int]) -> bytes:
-    """Ids and sizes of a block's documents, in order."""
-    known = np.array([d is not None for d in docs], np.uint8)
-    names = np.array([d or 0 for d in docs], "<i8")
-    body = zlib.compress(known.tobytes() + np.diff(names, prepend=0).tobytes() + np.array(sizes, "<i8").tobytes(), 6)
-    return struct.pack("<II", len(docs), len(body)) + struct.pack("<I", zlib.crc32(body)) + body
+class Piece(NamedTuple):
+    """Packed ids of a document, all of it or a stretch: so many ids lie before it, so many are in all."""
 
+    doc: int | None
+    packed: bytes
+    offset: int
+    total: int
 
-def _read_directory(block: bytes) -> tuple[list, np.ndarray, bytes]:
+
+def _directory(pieces: list[Piece]) -> bytes:
+    """What a block holds, in order."""
+    known = np.array([p.doc is not None for p in pieces], np.uint8)
+    names = np.array([p.doc or 0 for p in pieces], "<i8")
+    numbers = [np.array(column, "<i8") for column in ([len(p.packed) // 4 for p in pieces], [p.offset for p in pieces], [p.total for p in pieces])]
+    body = zlib.compress(b"".join([known.tobytes(), np.diff(names, prepend=0).tobytes(), *(n.tobytes() for n in numbers)]), 6)
+    return struct.pack("<II", len(pieces), len(body)) + struct.pack("<I", zlib.crc32(body)) + body
+
+
+def _read_directory(block: bytes) -> tuple[list, list[np.ndarray], bytes]:
+    """Documents; sizes, offsets and totals; the coded ids."""
     n, long, wanted = struct.unpack_from("<III", block)
     body = block[12 : 12 + long]
     if zlib.crc32(body) != wanted:
@@ -293,27 +305,35 @@ def _read_directory(block: bytes) -> tuple[list, np.ndarray, bytes]:
     raw = zlib.decompress(body)
     names = np.cumsum(np.frombuffer(raw, "<i8", n, n)).tolist()
     docs = [d if known else None for d, known in zip(names, raw[:n], strict=True)]
-    return docs, np.frombuffer(raw, "<i8", n, 9 * n), block[12 + long :]
+    return docs, [np.frombuffer(raw, "<i8", n, n + 8 * n * k) for k in (1, 2, 3)], block[12 + long :]
 
 
-def _blocks(stream: Iterator[tuple[int | None, bytes]], block_ids: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, documents, ids, block); a document is never cut."""
-    docs, parts, held, start = [], [], 0, 0
+def _cut(stream: Iterator[tuple[int | None, bytes]], block_ids: int) -> Iterator[Piece]:
+    """Documents in pieces of at most ``block_ids`` ids."""
     for doc, packed in stream:
-        docs.append(doc)
-        parts.append(packed)
-        held += len(packed) // 4
+        total = len(packed) // 4
+        for at in range(0, total, block_ids):
+            yield Piece(doc, packed[4 * at : 4 * (at + block_ids)], at, total)
+
+
+def _blocks(stream: Iterator[tuple[int | None, bytes]], block_ids: int) -> Iterator[tuple[int, int, int, bool, bytes]]:
+    """(start, pieces, ids, whether any is not a whole document, block), less than twice ``block_ids`` each."""
+    pieces, held, start = [], 0, 0
+    for piece in _cut(stream, block_ids):
+        pieces.append(piece)
+        held += len(piece.packed) // 4
         if held >= block_ids:
-            yield start, len(docs), held, _sealed(docs, parts)
+            yield start, len(pieces), held, *_sealed(pieces)
             start += held
-            docs, parts, held = [], [], 0
-    if docs:
-        yield start, len(docs), held, _sealed(docs, parts)
+            pieces, held = [], 0
+    if pieces:
+        yield start, len(pieces), held, *_sealed(pieces)
 
 
-def _sealed(docs: list, parts: list[bytes]) -> bytes:
-    ids = np.frombuffer(b"".join(parts), "<u4")
-    return _directory(docs, [len(p) // 4 for p in parts]) + pack_block(ids)
+def _sealed(pieces: list[Piece]) -> tuple[bool, bytes]:
+    ids = np.frombuffer(b"".join(p.packed for p in pieces), "<u4")
+    cut = any(len(p.packed) // 4 < p.total for p in pieces)
+    return cut, _directory(pieces) + pack_block(ids)
 
 
 def _written(batches: Batches, path: str, end_id: int, block_ids: int, schema: pa.Schema) -> Batches:
@@ -327,8 +347,8 @@ def _written(batches: Batches, path: str, end_id: int, block_ids: int, schema: p
                     yield doc, packed + end
 
     part = TaskContext.get().partitionId()
-    for number, (start, n_docs, n_tokens, block) in enumerate(_blocks(stream(), block_ids)):
-        yield batch_of(schema, [[part], [number], [start], [n_docs], [n_tokens], [block]])
+    for number, (start, n_docs, n_tokens, cut, block) in enumerate(_blocks(stream(), block_ids)):
+        yield batch_of(schema, [[part], [number], [start], [n_docs], [n_tokens], [cut], [block]])
 
 
 def write_ids(
@@ -344,36 +364,51 @@ def write_ids(
 
     ``files`` is a folder on a store all executors share. Each file holds a range of
     documents; of equal ids the text's hash decides, and null ids come first. A null text is
-    empty and holds the end id alone. An empty table gives files without blocks.
+    empty and holds the end id alone. A document of more than ``block_ids`` ids goes on in the next
+    block, so that no block grows with its texts. An empty table gives files without blocks.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ranged = texts.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    names = ["part", "number", "start", "n_docs", "n_tokens", "block"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    names = ["part", "number", "start", "n_docs", "n_tokens", "cut", "block"]
     schema = pa.schema(list(zip(names, types, strict=True)))
     task = partial(_written, path=path, end_id=end_id, block_ids=block_ids, schema=schema)
     blocks = arrow_map(ranged.select("id", "text"), task, BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(files)
 
 
-def _read(batches: Batches, before: dict[int, int], with_ids: bool, schema: pa.Schema) -> Batches:
+def _read(batches: Batches, before: dict[int, int], kind: str, schema: pa.Schema) -> Batches:
     for batch in batches:
         for row in batch.to_pylist():
-            docs, sizes, block = _read_directory(row["block"])
+            docs, (sizes, offsets, totals), block = _read_directory(row["block"])
             ids = unpack_block(block).astype("<u4")
             ends = np.cumsum(sizes)
-            starts = before[row["part"]] + row["start"] + ends - sizes
+            starts = before[row["part"]] + row["start"] + ends - sizes - offsets
             parts = [ids[e - s : e].tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+            if kind == "pieces":
+                yield batch_of(schema, [docs, starts, totals, offsets, parts])
+                continue
             columns = [docs, starts, sizes, [zlib.crc32(p) for p in parts], parts]
             yield batch_of(schema, columns[: len(schema)])
 
 
+def _joined(batches: Batches, schema: pa.Schema) -> Batches:
+    """Documents of their pieces."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = b"".join(p["ids"] for p in row["pieces"])
+            if len(ids) != 4 * row["n_tokens"]:
+                raise DamagedBlock("a piece of a document is missing")
+            yield batch_of(schema, [[v] for v in (row["doc_id"], row["start"], row["n_tokens"], zlib.crc32(ids), ids)][: len(schema)])
+
+
 def read_ids(docs_of: DataFrame, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32[, ids]`` of the files that ``docs_of`` reads.
 
-    The driver sees one count for each file.
+    Blocks that hold whole documents are read as they are; pieces of others are put together by the
+    place where their document starts. The driver sees one count for each file.
     """
-    counted = docs_of.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    counted = docs_of.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.max("cut").alias("cut")).orderBy("part").collect()
     ends = np.cumsum([0, *(r["n"] for r in counted)]).tolist()
     before = dict(zip([r["part"] for r in counted], ends, strict=False))
     types = [pa.int64()] * 4 + [pa.binary()]
@@ -381,8 +416,17 @@ def read_ids(docs_of: DataFrame, with_ids: bool = True) -> DataFrame:
     schema = pa.schema(list(zip(names, types, strict=True))[: 5 if with_ids else 4])
     spelled = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     # One block at a time: a block is some megabytes of ids.
-    task = partial(_read, before=before, with_ids=with_ids, schema=schema)
-    return arrow_map(docs_of.select("part", "start", "block"), task, spelled)
+    blocks = docs_of.select("part", "start", "block", "cut")
+    task = partial(_read, before=before, kind="documents", schema=schema)
+    found = arrow_map(blocks.where("NOT cut").drop("cut"), task, spelled)
+    if not any(r["cut"] for r in counted):
+        return found
+    names = ["doc_id", "start", "n_tokens", "offset", "ids"]
+    task = partial(_read, before=before, kind="pieces", schema=pa.schema(list(zip(names, types, strict=True))))
+    pieces = arrow_map(blocks.where("cut").drop("cut"), task, "doc_id long, start long, n_tokens long, offset long, ids binary")
+    listed = F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("pieces")
+    whole = pieces.groupBy("doc_id", "start", "n_tokens").agg(listed)
+    return found.unionAll(arrow_map(whole, partial(_joined, schema=schema), spelled))
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 1, workspace: Workspace | None = None) -> DataFrame:
