@@ -9,7 +9,8 @@ the bucket numbers found 8, 16, 32 bytes further on, and the refined numbers ser
 round, until strings of one bucket agree in all 100 bytes. Suffixes alone in their bucket
 drop out at once.
 
-A substring too frequent for that stands for few strings at a time, grouped by all the bytes
+A substring too frequent for that (if it is so within some texts, its places never meet at its hash)
+stands for few strings at a time, grouped by all the bytes
 these have in common; and equal stretches met in one task are reduced to the first of them. If
 even those groups are too large, every string of theirs goes alone: equal strings of a batch
 are reduced to the first, the rest meet by a hash of all their bytes and are read in order, so
@@ -40,7 +41,12 @@ HOT = 1000
 HOT_STRINGS = 8
 #: Tasks among which the stretches of one group are dealt out while it is looked up how many they are.
 SPREAD = 16
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Texts among some half a megabyte of them that have a substring, beyond which it is hot at once; so
+#: it is if it has more than ``HOT`` places there.
+LOCAL_HOT = 32
+#: In the column of places: that a substring is hot, without a place.
+IS_HOT = -(1 << 31)
 #: Documents without an id are numbered from here on by their text's hash.
 AFTER_ALL = 1 << 62
 
@@ -94,12 +100,32 @@ def _hash_of(piece: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
 
 
-def _represented(batches: Batches, length: int, schema: pa.Schema) -> Batches:
+def _represented(batches: Batches, length: int, local_hot: int, most: int, schema: pa.Schema) -> Batches:
+    """``hash, id, place`` of the representatives of all strings.
+
+    Places of a substring that is hot among the texts at hand do not meet at its hash: they come
+    as -1 - place under a number of their own, and one row that says ``IS_HOT`` goes to the hash.
+    """
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
         for start, stop in groups(texts):
             s = Strings(texts[start:stop], length)
-            yield batch_of(schema, [s.hash.view(np.int64), ids[start:stop][s.text], s.place.astype(np.int32)])
+            key, doc, place = s.hash.copy(), ids[start:stop][s.text], s.place.astype(np.int32)
+            ordered = np.sort(key)
+            often = np.unique(ordered[local_hot:][ordered[local_hot:] == ordered[:-local_hot]])
+            if len(often):
+                code = np.minimum(np.searchsorted(often, key), len(often) - 1)
+                among = often[code] == key
+                # a line that a text repeats some times is not hot for that
+                pairs = np.unique(code[among] * len(texts) + s.text[among])
+                is_hot = np.bincount(pairs // len(texts), minlength=len(often)) > local_hot
+                is_hot |= np.bincount(code[among], minlength=len(often)) > most
+                hot, marks = among & is_hot[code], often[is_hot]
+                key[hot] = mixed(doc[hot].astype(np.uint64) * np.uint64(BASE) + place[hot].astype(np.uint64))
+                place[hot] = -1 - place[hot]
+                key, doc = np.concatenate([key, marks]), np.concatenate([doc, np.zeros(len(marks), doc.dtype)])
+                place = np.concatenate([place, np.full(len(marks), IS_HOT, np.int32)])
+            yield batch_of(schema, [key.view(np.int64), doc, place])
 
 
 def _runs_by_key(batches: Batches) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -113,43 +139,60 @@ def _runs_by_key(batches: Batches) -> Iterator[tuple[pa.RecordBatch, bool]]:
 
 
 def _repeated(batches: Batches, most: int, schema: pa.Schema) -> Batches:
-    """Places whose hash occurs again; ``hot`` if it does so more than ``most`` times.
+    """Places whose hash occurs again; ``hot`` if it does so more than ``most`` times, or is said to be.
 
     Of a hash at most ``most`` places are held until it is known which it is.
     """
-    key, held, count = None, [], 0
+    key, held, count, said = None, [], 0, False
+
+    def given(rows: pa.RecordBatch, hot: np.ndarray) -> pa.RecordBatch:
+        places = rows.column(2).to_numpy()
+        real = places != IS_HOT
+        return batch_of(schema, [rows.column(1).to_numpy()[real], places[real], hot[real]])
 
     def decided(hot: bool) -> pa.RecordBatch:
         rows = pa.concat_batches(held)
-        return batch_of(schema, [rows.column(1), rows.column(2), np.full(rows.num_rows, hot)])
-
-    for batch, _ in _runs_by_key(batches):
-        keys = batch.column(0).to_numpy()
+        return given(rows, np.full(rows.num_rows, hot))
+
+    def met(rows: Batches) -> Batches:
+        for batch in rows:
+            places = batch.column(2).to_numpy()
+            alone = (places < 0) & (places != IS_HOT)
+            if alone.any():
+                passed.append(batch_of(schema, [batch.column(1).to_numpy()[alone], -1 - places[alone], alone[alone]]))
+                batch = batch.filter(pa.array(~alone))
+            yield batch
+
+    passed: list[pa.RecordBatch] = []
+    for batch, _ in _runs_by_key(met(batches)):
+        yield from passed
+        passed.clear()
+        keys, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy() == IS_HOT
         edges = np.append(np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0], len(keys))
-        sizes = np.diff(edges)
+        sizes, marked = np.diff(edges), np.maximum.reduceat(marks, edges[:-1])
         # Hashes that begin and end in this batch are decided at once.
         inner = np.ones(len(sizes), bool)
         inner[-1] = False
         inner[0] &= key is None or keys[0] != key
         picked = np.repeat(inner & (sizes > 1), sizes)
         if picked.any():
-            hot = np.repeat(sizes > most, sizes)[picked]
-            rows = batch.filter(pa.array(picked))
-            yield batch_of(schema, [rows.column(1), rows.column(2), hot])
+            yield given(batch.filter(pa.array(picked)), np.repeat((sizes > most) | marked, sizes)[picked])
         for at in sorted({0, len(sizes) - 1}):
             if inner[at]:
                 continue
             part, value = batch.slice(edges[at], sizes[at]), int(keys[edges[at]])
             if value != key:
-                if 1 < count <= most:
+                if held and 1 < count:
                     yield decided(False)
-                key, held, count = value, [], 0
+                key, held, count, said = value, [], 0, False
             count += part.num_rows
             held.append(part)
-            if count > most:
+            said |= bool(marked[at])
+            if count > most or said:
                 yield decided(True)
                 held = []
-    if 1 < count <= most:
+    yield from passed
+    if held and 1 < count:
         yield decided(False)
 
 
@@ -375,7 +418,9 @@ def _cut(batches: Batches, length: int, schema: pa.Schema) -> Batches:
             yield batch_of(schema, list(zip(*rows, strict=True)))
 
 
-def repeated_runs(texts: DataFrame, length: int, workspace: Workspace, hot: int = HOT) -> DataFrame:
+def repeated_runs(
+    texts: DataFrame, length: int, workspace: Workspace, hot: int = HOT, local_hot: int = LOCAL_HOT
+) -> DataFrame:
     """``id, start, stop``: runs of starts whose strings also start earlier; ``texts`` has id, text."""
     prints = texts.where(F.octet_length("text") >= length).select(
         "id", F.md5("text").alias("print"), F.octet_length("text").alias("bytes")
@@ -386,7 +431,8 @@ def repeated_runs(texts: DataFrame, length: int, workspace: Workspace, hot: int
     copies = workspace.stage(copies, "copies")
 
     place_schema = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("place", pa.int32())])
-    represented = arrow_map(texts, partial(_represented, length=length, schema=place_schema), "hash long, id long, place int")
+    task = partial(_represented, length=length, local_hot=local_hot, most=hot, schema=place_schema)
+    represented = arrow_map(texts, task, "hash long, id long, place int")
     by_hash = represented.repartition("hash").sortWithinPartitions("hash")
     again_schema = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("hot", pa.bool_())])
     again = arrow_map(by_hash, partial(_repeated, most=hot, schema=again_schema), "id long, place int, hot boolean")
@@ -444,6 +490,7 @@ def remove_repeats(
     text_col: str = "text",
     workspace: Workspace | None = None,
     hot: int = HOT,
+    local_hot: int = LOCAL_HOT,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) for every row.
 
@@ -454,7 +501,7 @@ def remove_repeats(
     """
     workspace = workspace or Workspace(docs.sparkSession)
     texts = _numbered(docs, id_col, text_col).select("id", "text")
-    runs = repeated_runs(texts, length, workspace, hot)
+    runs = repeated_runs(texts, length, workspace, hot, local_hot)
     per_doc = runs.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
     beside = texts.join(per_doc, "id", "left").select("id", "text", "r.start", "r.stop")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]

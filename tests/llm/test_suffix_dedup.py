@@ -64,7 +64,7 @@ def test_places_of_a_hot_substring_are_not_gathered():
     line = hashlib.sha512(b"line").hexdigest()
     texts = [line + hashlib.sha512(str(i).encode()).hexdigest() for i in range(3000)]
     batch = S.batch_of(pa.schema([("id", pa.int64()), ("text", pa.string())]), [range(3000), texts])
-    rows = pa.concat_batches(S._represented(iter([batch]), 100, S.LOCAL_HOT, schema))
+    rows = pa.concat_batches(S._represented(iter([batch]), 100, S.LOCAL_HOT, S.HOT, schema))
     hashes = rows.column(0).to_numpy()
     assert np.unique(hashes, return_counts=True)[1].max() < 60
     again = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("hot", pa.bool_())])
