@@ -2,13 +2,14 @@
 
 The words and word pairs of a text are hashed into a fixed number of buckets. Two
 multinomials over the buckets are set against each other: one of the whole raw corpus, one
-of trusted texts, those labelled as good. A text's score is the mean over its n-grams of the
-logarithm of their ratio; a fixed threshold, calibrated on good and bad texts that the trusted
-counts leave out, decides.
+of trusted texts, all those labelled as good. A text's score is the mean over its n-grams of the
+logarithm of their ratio; a fixed threshold decides. It is calibrated on all labelled texts, each
+good one scored by trusted counts without its own n-grams.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 from typing import NamedTuple
 
@@ -17,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlift import Workspace
 from eventlift.llm.tasks import Batches, arrow_map, batch_of, same_rows, texts_of
 from eventlift.llm.words import Words, groups
 
 BUCKETS = 1 << 16
-#: Labelled texts used at most, of either kind; half of the good ones are trusted counts.
-LABELLED = 20_000
 #: Good texts that the threshold may give up, as a share.
 LOST = 0.0005
 #: Bad texts that the threshold aims to stay above, as a share of those the floor leaves out.
@@ -30,7 +30,11 @@ CAUGHT = 0.95
 MIN_WORDS = 50
 MAX_REPEATED = 50
 SYMBOLS = "#*$%&|<>"
-TRUSTED, GOOD, BAD = 1, 2, 3
+BAD, GOOD = 0, 1
+#: Words of 64 bits in the filter that keeps most texts without a label out of the shuffle.
+FILTER_WORDS = 1 << 18
+#: Ranges into which scores are counted to find one by its rank, and scores sorted by the driver at once.
+RANGES, SORTED = 4096, 4096
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -79,17 +83,35 @@ def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Batches, schema: pa.Schema) -> Batches:
-    raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        chosen = batch.column(2).to_numpy(zero_copy_only=False) == TRUSTED
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
         for start, stop in groups(texts):
-            docs, buckets = _buckets(Words(texts[start:stop]))
-            raw += np.bincount(buckets, minlength=BUCKETS)
-            trusted += np.bincount(buckets[chosen[start:stop][docs]], minlength=BUCKETS)
-    seen = np.nonzero(raw)[0]
+            counts += np.bincount(_buckets(Words(texts[start:stop]))[1], minlength=BUCKETS)
+    seen = np.nonzero(counts)[0]
     if len(seen):
-        yield batch_of(schema, [seen, raw[seen], trusted[seen]])
+        yield batch_of(schema, [seen, counts[seen]])
+
+
+def _left_out(batches: Batches, raw: np.ndarray, trusted: np.ndarray, schema: pa.Schema) -> Batches:
+    """``quality, score`` of labelled texts that are long enough for a score to decide.
+
+    Good texts are scored as if the trusted counts did not hold them.
+    """
+    for batch in batches:
+        quality, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
+        for start, stop in groups(texts):
+            words = Words(texts[start:stop])
+            docs, buckets = _buckets(words)
+            n = np.bincount(docs, minlength=stop - start)
+            good = quality[start:stop] == GOOD
+            _, pair, times = np.unique(docs * BUCKETS + buckets, return_inverse=True, return_counts=True)
+            own = np.where(good[docs], times[pair], 0)
+            others = np.where(good, trusted.sum() - n, trusted.sum()) + len(trusted)
+            shares = np.log((trusted[buckets] - own + 1) / others[docs]) - log_shares(raw)[buckets]
+            score = np.bincount(docs, shares, minlength=stop - start) / np.maximum(n, 1)
+            long = words.per_doc >= MIN_WORDS
+            yield batch_of(schema, [quality[start:stop][long], score[long]])
 
 
 def _score(texts: list[bytes], rules: Rules) -> list[np.ndarray]:
@@ -125,73 +147,117 @@ def _filtered(batches: Batches, rules: Rules, text_at: int) -> Batches:
         yield batch.filter(pa.array(kept))
 
 
-def _with_roles(texts: DataFrame, labels: DataFrame | None, labelled: int) -> DataFrame:
-    """Texts with their role, if their id is among the labelled ones used.
+def _labelled(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``quality, text`` of all texts with a label.
 
-    At most ``2 * labelled`` ids are sent to every task: those of the lowest hash.
+    A bit for the hash of each labelled id says which texts need not be shuffled; with more labels
+    than bits the filter lets more through.
     """
-    if labels is None:
-        return texts.withColumn("role", F.lit(0))
     known = (
-        labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
-        .where("doc_id IS NOT NULL AND quality IN (0, 1)")
-        .groupBy("doc_id")
+        labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("int").alias("quality"))
+        .where("id IS NOT NULL AND quality IN (0, 1)")
+        .groupBy("id")
         .agg(F.min("quality").alias("quality"))
-        .withColumn("h", F.xxhash64("doc_id"))
     )
-    role = F.when(F.col("quality") == 0, BAD).when(F.col("h") % 2 == 0, TRUSTED).otherwise(GOOD)
-    chosen = [
-        known.where(F.col("quality") == q).orderBy("h", "doc_id").limit(labelled).select(F.col("doc_id").alias("id"), role.alias("role"))
-        for q in (0, 1)
-    ]
-    roles = texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "id", "left")
-    return roles.select("id", "text", F.coalesce("role", F.lit(0)).alias("role"))
+    place = F.pmod(F.xxhash64("id"), F.lit(64 * FILTER_WORDS))
+    bits = [F.expr("place DIV 64").alias("word"), F.expr("shiftleft(1L, CAST(place % 64 AS INT))").alias("bit")]
+    words = known.select(place.alias("place")).select(*bits).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    placed = texts.select("id", "text", place.alias("place")).select("id", "text", *bits)
+    some = placed.join(F.broadcast(words), "word").where("(bits & bit) <> 0").select("id", "text")
+    return some.join(known.hint("merge"), "id").select("quality", "text")
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """N-grams of the texts by bucket."""
+    schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
+    counted = arrow_map(texts.select("text"), partial(_counted, schema=schema), "bucket long, n long")
+    counts = np.zeros(BUCKETS, np.int64)
+    for row in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[row["bucket"]] = row["n"]
+    return counts
+
+
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """ln of the share of each bucket, with one more of everything."""
+    return np.log((counts + 1) / (counts.sum() + len(counts)))
 
 
 def log_ratios(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
-    """ln of trusted over raw share for each bucket; one more of everything on either side."""
-    share = (trusted + 1) / (trusted.sum() + len(trusted))
-    return np.log(share) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    """ln of trusted over raw share for each bucket."""
+    return log_shares(trusted) - log_shares(raw)
+
 
+def nth_least(scores: DataFrame, n: int) -> float:
+    """The score with ``n`` others before it in ascending order.
 
-def threshold_of(good: np.ndarray, bad: np.ndarray, lost: float = LOST) -> float:
-    """The score below which texts go.
+    Scores are counted by range, and those of the range that holds it again, until few are left: the
+    driver sees at most ``RANGES`` counts or ``SORTED`` scores at a time.
+    """
+    score = F.col("score")
+    low, high, left = scores.agg(F.min(score), F.max(score), F.count("*")).first()
+    while low < high:
+        inside = scores.where(score.between(low, high))
+        if left <= SORTED:
+            return sorted(r["score"] for r in inside.select("score").collect())[n]
+        part = F.least(F.floor((score - low) / (high - low) * RANGES), F.lit(RANGES - 1))
+        counts = inside.groupBy(part.alias("part")).agg(F.min(score), F.max(score), F.count("*"))
+        for _, low, high, left in sorted(map(tuple, counts.collect())):  # noqa: B007
+            if n < left:
+                break
+            n -= left
+    return low
+
+
+def quantile(scores: DataFrame, rows: int, share: float) -> float:
+    """The quantile of so many scores, between two of them in proportion."""
+    place = share * (rows - 1)
+    low = nth_least(scores, math.floor(place))
+    if place == math.floor(place):
+        return low
+    return low + (nth_least(scores, math.floor(place) + 1) - low) * (place - math.floor(place))
+
+
+def threshold_of(scores: DataFrame, lost: float = LOST) -> float:
+    """The score below which texts go, from ``quality, score`` of labelled texts.
 
     It lies halfway between the score that all but a share ``lost`` of the good reach and the
     one that most of the bad below it stay under; where there are no such bad texts, at the
     former. Without good texts nothing goes.
     """
-    if not len(good):
+    good = scores.where(F.col("quality") == GOOD)
+    n = good.count()
+    if not n:
         return float("-inf")
-    floor = float(np.quantile(good, lost, method="lower"))
-    below = bad[bad < floor]
-    return (floor + float(np.quantile(below, CAUGHT))) / 2 if len(below) else floor
+    floor = nth_least(good, math.floor(lost * (n - 1)))
+    below = scores.where((F.col("quality") == BAD) & (F.col("score") < floor))
+    m = below.count()
+    return (floor + quantile(below, m, CAUGHT)) / 2 if m else floor
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    workspace: Workspace | None = None,
 ) -> Rules:
-    """Bucket counts of all of ``docs`` and of trusted texts, and the threshold.
+    """Bucket counts of all of ``docs`` and of all trusted texts, and the threshold.
 
     ``labels`` (doc_id, quality) names good (1) and bad (0) texts; an id with both counts as bad.
-    Without labels only the plain rules decide. The driver sees a number for each bucket and the
-    scores of the labelled texts used, both bounded.
+    All of them are used. Without labels only the plain rules decide.
+    The driver sees a number for each bucket, and counts of scores by range.
     """
-    texts = _with_roles(texts_of(docs, id_col, text_col), labels, labelled)
-    schema = pa.schema([(c, pa.int64()) for c in ("bucket", "raw", "trusted")])
-    counted = arrow_map(texts, partial(_counted, schema=schema), "bucket long, raw long, trusted long")
-    raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    summed = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    for row in summed.collect():
-        raw[row["bucket"]], trusted[row["bucket"]] = row["raw"], row["trusted"]
-    open_rules = Rules(log_ratios(raw, trusted), float("-inf"))
+    texts = texts_of(docs, id_col, text_col)
+    raw = _counts(texts)
     if labels is None:
-        return open_rules
-    sample = texts.where(F.col("role").isin(GOOD, BAD))
-    scored = _scores(sample.select(F.col("role").cast("long").alias("id"), "text"), open_rules)
-    rows = [tuple(r) for r in scored.where(F.col("n_words") >= MIN_WORDS).select("doc_id", "score").collect()]
-    good, bad = (np.array([s for role, s in rows if role == wanted]) for wanted in (GOOD, BAD))
-    return open_rules._replace(threshold=threshold_of(good, bad))
+        return Rules(log_ratios(raw, np.zeros_like(raw)), float("-inf"))
+    workspace = workspace or Workspace(docs.sparkSession)
+    labelled = workspace.stage(_labelled(texts, labels), "labelled")
+    trusted = _counts(labelled.where(F.col("quality") == GOOD))
+    schema = pa.schema([("quality", pa.int32()), ("score", pa.float64())])
+    task = partial(_left_out, raw=raw, trusted=trusted, schema=schema)
+    scores = workspace.stage(arrow_map(labelled, task, "quality int, score double"), "label-scores")
+    return Rules(log_ratios(raw, trusted), threshold_of(scores))
 
 
 def _scores(texts: DataFrame, rules: Rules) -> DataFrame:

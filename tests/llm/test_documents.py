@@ -157,6 +157,46 @@ def test_quality_on_held_out_labels(spark):
     assert good > 0.99 and bad > 0.9
 
 
+def test_every_label_counts(spark):
+    """Trusted counts and threshold come from all labelled texts, however many."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{i % 13}x{r.randrange(40)}" for i in range(50 + k % 3)) for k in range(300)]
+    texts += [" ".join(f"{r.choice('wu')}{i % 13}x{r.randrange(40)}" for i in range(50)) for _ in range(60)]
+    pick = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "CAST(IF(id < 22000, id % 300, 300 + id % 60) AS INT) AS k").join(pick, "k")
+    labels = spark.range(23_000).selectExpr("id AS doc_id", "CAST(id < 22000 AS INT) AS quality")
+    buckets = [quality._buckets(quality.Words([t.encode()]))[1] for t in texts]
+    counts = np.stack([np.bincount(b, minlength=quality.BUCKETS) for b in buckets])
+    good, bad, all_docs = np.zeros((3, len(texts)), np.int64)
+    np.add.at(good, np.arange(22_000) % 300, 1)
+    np.add.at(bad, 300 + np.arange(22_000, 23_000) % 60, 1)
+    np.add.at(all_docs, 300 + np.arange(22_000, 24_000) % 60, 1)
+    raw, trusted = (all_docs + good) @ counts, good @ counts
+    rules = quality.fit(docs, labels)
+    assert np.allclose(rules.ratios, quality.log_ratios(raw, trusted), rtol=1e-12)
+
+    def mean(k, held):
+        return quality.log_ratios(raw, held)[buckets[k]].mean()
+
+    good_scores = np.repeat([mean(k, trusted - counts[k]) for k in range(300)], good[:300])
+    bad_scores = np.repeat([mean(k, trusted) for k in range(300, 360)], bad[300:])
+    floor = np.quantile(good_scores, quality.LOST, method="lower")
+    below = bad_scores[bad_scores < floor]
+    assert len(below)
+    assert np.isclose(rules.threshold, (floor + np.quantile(below, quality.CAUGHT)) / 2, rtol=1e-9)
+
+
+def test_scores_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RANGES", 4)
+    monkeypatch.setattr(quality, "SORTED", 3)
+    r = random.Random(9)
+    values = [r.choice([-1e300, 0.5, 0.5 + 2**-53, 5e-324, 0.0, r.gauss(0, 1e-9), r.gauss(0, 9)]) for _ in range(150)]
+    scores = spark.createDataFrame([(v,) for v in values], "score double").coalesce(2).cache()
+    for n in (0, 1, 40, 75, 76, 149):
+        assert quality.nth_least(scores, n) == sorted(values)[n]
+    assert np.isclose(quality.quantile(scores, 150, 0.95), np.quantile(values, 0.95))
+
+
 def test_quality_edges(spark):
     rows = [(1, None, "a"), (None, "", "b"), (3, "x y " * 60, "c"), (3, " ".join(f"w{i}" for i in range(60)), "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
