@@ -8,8 +8,9 @@ a lower bound on the distance bounds the score from above, and by the triangle i
 every pivot gives one: | |q - p| - |x - p| |. The distances of all rows to the pivots are
 computed once. Rows lie in the cell of their nearest pivot. A query is first answered in its
 own cell, which gives a score to beat; it goes on only to cells whose ranges of pivot
-distances leave room for that, and there evaluates candidates in the order of their bounds
-until the next bound falls below its k-th score.
+distances leave room for that. There candidates lie in slices, ordered by the distance to the
+cell's pivot; each slice's ranges of pivot distances bound its scores, and slices are evaluated in
+the order of their bounds, for some queries at once, while they may reach a query's k-th score.
 
 Cells are cut into blocks and a cell's queries into batches, each pair of which is one task's
 work at a time.
@@ -34,8 +35,10 @@ PIVOTS = 48
 SAMPLE = 2000
 BLOCK_ROWS = 8192
 BATCH_QUERIES = 2048
-#: Scores computed at once while candidates are taken in the order of their bounds.
-STEP = 256
+#: Rows that share a bound, slices evaluated at once, and queries they are evaluated for.
+SLICE_ROWS, SLICES, QUERIES = 32, 32, 256
+#: Whole numbers up to here are exact in floating point.
+EXACT = float(1 << 53)
 NO_SCORE = -(1 << 63)
 
 
@@ -143,28 +146,79 @@ def _slack(*squares: np.ndarray | float) -> np.ndarray | float:
 
 def upper_bounds(q: np.ndarray, x: np.ndarray, q_away: np.ndarray, x_away: np.ndarray) -> np.ndarray:
     """No score of a query (rows) with a candidate (columns) exceeds its bound."""
-    q_norm, x_norm = (q * q).sum(1), (x * x).sum(1)
-    gap = np.abs(np.sqrt(q_norm)[:, None] - np.sqrt(x_norm)[None, :])  # the origin as a pivot
+    x_norm = (x * x).sum(1)
+    return _slice_bounds((q * q).sum(1), q_away, x_norm, x_norm, x_away, x_away)
+
+
+def _slice_bounds(
+    q_norm: np.ndarray, q_away: np.ndarray, least: np.ndarray, most: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> np.ndarray:
+    """No score of a query (rows) with a candidate of a slice (columns) exceeds its bound.
+
+    ``least`` and ``most`` are the slices' squared norms, ``low`` and ``high`` their pivot distances.
+    """
+    root = np.sqrt(q_norm)[:, None]
+    gap = np.maximum(np.sqrt(least)[None, :] - root, root - np.sqrt(most)[None, :])  # the origin as a pivot
+    np.maximum(gap, 0, out=gap)
     for p in range(q_away.shape[1]):
-        np.maximum(gap, np.abs(q_away[:, p, None] - x_away[None, :, p]), out=gap)
-    both = q_norm[:, None] + x_norm[None, :]
+        np.maximum(gap, low[None, :, p] - q_away[:, p, None], out=gap)
+        np.maximum(gap, q_away[:, p, None] - high[None, :, p], out=gap)
+    both = q_norm[:, None] + most[None, :]
     return (both - gap * gap) / 2 + _slack(both)
 
 
-def _best(q: np.ndarray, x: np.ndarray, own: int, ids: np.ndarray, bounds: np.ndarray, k: int, beat: float) -> list[tuple[int, int]]:
-    """The k best (score, id) of one query among candidates whose score reaches ``beat``."""
-    able = np.nonzero((bounds >= beat) & (ids != own))[0]
-    able = able[np.argsort(-bounds[able], kind="stable")]
-    scores, chosen = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for start in range(0, len(able), STEP):
-        part = able[start : start + STEP]
-        if len(scores) >= k and bounds[part[0]] < scores[k - 1]:
-            break
-        scores = np.concatenate([scores, x[part] @ q])
-        chosen = np.concatenate([chosen, ids[part]])
-        order = np.lexsort((chosen, -scores))[:k]
-        scores, chosen = scores[order], chosen[order]
-    return [(s, i) for s, i in zip(scores.tolist(), chosen.tolist(), strict=True) if s >= beat]
+class _Slices:
+    """The candidates of a block, in slices of rows at like distance from a pivot."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, away: np.ndarray, pivot: int):
+        order = np.argsort(away[:, pivot], kind="stable") if away.shape[1] else np.arange(len(x))
+        self.x, self.ids = x[order], ids[order]
+        self.starts = np.arange(0, len(x), SLICE_ROWS)
+        away, square = away[order], (self.x.astype(np.float64) ** 2).sum(1)
+        self.least, self.most = (f.reduceat(square, self.starts) for f in (np.minimum, np.maximum))
+        self.low, self.high = (f.reduceat(away, self.starts) for f in (np.minimum, np.maximum))
+
+    def rows(self, slices: np.ndarray) -> np.ndarray:
+        at = (self.starts[slices][:, None] + np.arange(SLICE_ROWS)).ravel()
+        return at[at < len(self.x)]
+
+
+def _best(q: np.ndarray, own: np.ndarray, away: np.ndarray, beat: np.ndarray, block: _Slices, k: int) -> tuple[np.ndarray, ...]:
+    """Query number, id and score of the k best of each query among candidates whose score reaches ``beat``."""
+    qf = q.astype(np.float64)
+    q_norm = (qf * qf).sum(1)
+    exact = np.sqrt(q_norm.max() * block.most.max()) < EXACT
+    kind = np.float64 if exact else np.int64
+    q, x = q.astype(kind), block.x.astype(kind)
+    bounds = _slice_bounds(q_norm, away, block.least, block.most, block.low, block.high)
+    order = np.argsort(-bounds.max(0), kind="stable")
+    top = np.full((len(q), k), NO_SCORE, kind)  # the best scores so far
+    reach = beat.astype(kind)
+    found: list[tuple[np.ndarray, ...]] = []
+    for start in range(0, len(order), SLICES):
+        part = order[start : start + SLICES]
+        able = bounds[:, part] >= reach[:, None]
+        asking, slices = np.flatnonzero(able.any(1)), part[able.any(0)]
+        if not len(asking):
+            continue
+        rows = block.rows(slices)
+        scores = q[asking] @ x[rows].T
+        scores[own[asking, None] == block.ids[rows][None, :]] = NO_SCORE
+        better = np.flatnonzero((scores > top[asking].min(1)[:, None]).any(1))
+        if len(better):
+            at = asking[better]
+            top[at] = np.partition(np.concatenate([top[at], scores[better]], 1), -k, 1)[:, -k:]
+            reach[at] = np.maximum(reach[at], top[at].min(1))
+        who, which = np.nonzero((scores >= reach[asking, None]) & (scores > NO_SCORE))
+        found.append((asking[who], block.ids[rows[which]], scores[who, which].astype(np.int64)))
+    if not found:
+        return tuple(np.zeros((3, 0), np.int64))
+    who, ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((ids, -scores, who))
+    who, ids, scores = who[order], ids[order], scores[order]
+    first = np.searchsorted(who, who)
+    kept = np.arange(len(who)) - first < k
+    return who[kept], ids[kept], scores[kept]
 
 
 def _answered(batches: Batches, k: int, schema: pa.Schema) -> Batches:
@@ -179,17 +233,12 @@ def _answered(batches: Batches, k: int, schema: pa.Schema) -> Batches:
         if not len(x) or not len(q):
             continue
         away = _distances_of(group.column(8))
-        xf, qf, x_away, q_away = x.astype(np.float64), q.astype(np.float64), away[~asks], away[asks]
-        rows = []
-        for start in range(0, len(q), 64):
-            part = slice(start, start + 64)
-            bounds = upper_bounds(qf[part], xf, q_away[part], x_away)
-            for i in range(len(bounds)):
-                at = start + i
-                reach = -np.inf if q_beat[at] == NO_SCORE else float(q_beat[at])
-                rows += [(int(q_ids[at]), i_, s) for s, i_ in _best(q[at], x, int(q_ids[at]), x_ids, bounds[i], k, reach)]
-        if rows:
-            yield batch_of(schema, list(zip(*rows, strict=True)))
+        block, q_away = _Slices(x, x_ids, away[~asks], int(group.column(1)[0].as_py())), away[asks]
+        for start in range(0, len(q), QUERIES):
+            part = slice(start, start + QUERIES)
+            who, found, scores = _best(q[part], q_ids[part], q_away[part], q_beat[part], block, k)
+            if len(who):
+                yield batch_of(schema, [q_ids[part][who], found, scores])
 
 
 def _sent_on(batches: Batches, ranges: dict, schema: pa.Schema) -> Batches:

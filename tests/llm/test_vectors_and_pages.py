@@ -58,6 +58,42 @@ def test_bounds_hold():
     assert (bounds >= q @ x.T).all()
 
 
+def test_bounds_of_slices_hold_and_exclude():
+    r = np.random.default_rng(2)
+    centre = r.integers(-60, 60, (5, 16)) * 20
+    x = np.concatenate([c + r.integers(-9, 9, (90, 16)) for c in centre])
+    q = np.concatenate([c + r.integers(-9, 9, (6, 16)) for c in centre])
+    pivots = centre.astype(float)
+    x_away, q_away = pivot_topk.distances(x.astype(float), pivots), pivot_topk.distances(q.astype(float), pivots)
+    for large in (1, 1 << 17):  # beyond what floating point holds exactly
+        block = pivot_topk._Slices(x * large, np.arange(len(x)) // 2, x_away * large, 3)
+        qs = q * large
+        bounds = pivot_topk._slice_bounds((qs.astype(float) ** 2).sum(1), q_away * large, block.least, block.most, block.low, block.high)
+        true = qs @ block.x.T
+        for i, start in enumerate(block.starts):
+            assert (bounds[:, i] >= true[:, start : start + pivot_topk.SLICE_ROWS].max(1)).all()
+        beat = np.where(np.arange(len(q)) % 3, pivot_topk.NO_SCORE, np.sort(true, 1)[:, -4])
+        assert (bounds < np.sort(true, 1)[:, -4, None]).mean() > 0.3
+        own = np.arange(len(q))
+        who, ids, scores = pivot_topk._best(qs, own, q_away * large, beat, block, 7)
+        for i in range(len(q)):
+            ranked = sorted((-int(s), int(n)) for s, n in zip(true[i], block.ids, strict=True) if n != i and s >= beat[i])
+            assert [(-s, n) for s, n in zip(scores[who == i].tolist(), ids[who == i].tolist(), strict=True)] == ranked[:7]
+
+
+def test_work_for_a_block_is_a_matrix_product():
+    """Bounds are taken for slices, not for each pair: their cost is small beside the scores."""
+    r = np.random.default_rng(3)
+    x, q = r.integers(-90, 90, (8192, 64)), r.integers(-90, 90, (256, 64))
+    pivots = pivot_topk.choose_pivots(x[:500].astype(float), pivot_topk.PIVOTS)
+    block = pivot_topk._Slices(x, np.arange(len(x)), pivot_topk.distances(x.astype(float), pivots), 0)
+    assert len(block.starts) * pivot_topk.SLICE_ROWS == len(x) and block.low.shape == (256, pivot_topk.PIVOTS)
+    away = pivot_topk.distances(q.astype(float), pivots)
+    beat = np.full(len(q), pivot_topk.NO_SCORE)
+    who, _, scores = pivot_topk._best(q, -np.arange(1, 257), away, beat, block, 20)
+    assert (scores.reshape(256, 20) == -np.sort(-(q @ x.T), 1)[:, :20]).all() and (who == np.repeat(np.arange(256), 20)).all()
+
+
 def test_blocks_of_broken_markup():
     page = (
         "<html><head><title>T &amp; x</title><script>var t='</p><p>no';</script><style>p{}</style></head><body>"
