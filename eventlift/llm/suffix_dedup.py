@@ -41,7 +41,7 @@ HOT = 1000
 HOT_STRINGS = 8
 #: Tasks among which the stretches of one group are dealt out while it is looked up how many they are.
 SPREAD = 16
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Texts among some half a megabyte of them that have a substring, beyond which it is hot at once; so
 #: it is if it has more than ``HOT`` places there.
 LOCAL_HOT = 32
@@ -72,7 +72,10 @@ class Strings:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
         hashes = mixed((total[gram:] - total[:-gram]) * inverses[: len(data) - gram + 1])
-        least = hashes >> np.uint64(32) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64)
+        del total
+        least = hashes >> np.uint64(32)
+        least <<= np.uint64(32)
+        least |= np.arange(len(hashes), dtype=np.uint64)
         span = 1
         while span * 2 <= width:
             least = np.minimum(least[:-span], least[span:])

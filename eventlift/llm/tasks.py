@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import partial
 from pathlib import Path
 
 import pyarrow as pa
@@ -41,10 +43,26 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on, and allocators keep what tasks before needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _tidied(batches: Batches, task: Callable[[Batches], Batches]) -> Batches:
+    _give_back()  # of other operators
+    try:
+        yield from task(batches)
+    finally:
+        _give_back()
+
+
 def arrow_map(df: DataFrame, task: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``mapInArrow`` by a task whose module the workers can import."""
     ship(df.sparkSession)
-    return df.mapInArrow(task, schema)
+    return df.mapInArrow(partial(_tidied, task=task), schema)
 
 
 def same_rows(df: DataFrame, task: Callable[[Batches], Batches]) -> DataFrame:
@@ -54,7 +72,7 @@ def same_rows(df: DataFrame, task: Callable[[Batches], Batches]) -> DataFrame:
     """
     ship(df.sparkSession)
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return numbered.mapInArrow(task, numbered.schema).toDF(*df.columns)
+    return numbered.mapInArrow(partial(_tidied, task=task), numbered.schema).toDF(*df.columns)
 
 
 def unused(name: str, columns: list[str]) -> str:

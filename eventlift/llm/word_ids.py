@@ -39,9 +39,9 @@ class _Chunks:
     """One generation: places by sorted hash, and the ids at each place."""
 
     def __init__(self):
-        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # of place p at p + 1
+        self.ends = np.zeros(1 << 14, np.int32)  # of place p at p + 1
         self.used = 0
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -55,7 +55,7 @@ class _Chunks:
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, at, hashes[order])
-        self.places = np.insert(self.places, at, self.used + order)
+        self.places = np.insert(self.places, at, (self.used + order).astype(np.int32))
         self.used = places
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ class _Chunks:
 
     def gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids at these places one after the other, and how many each place has."""
-        starts = self.ends[places]
+        starts = self.ends[places].astype(np.int64)
         sizes = self.ends[places + 1] - starts
         ends = np.cumsum(sizes)
         at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
@@ -84,10 +84,9 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
         self._library = Tokenizer.from_file(path)
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        rules = json.loads(self._library.pre_tokenizer.__getstate__())  # the file's own, without its vocabulary
+        split = rules["pretokenizers"][0]["pattern"]["Regex"]
         self._pretokens = regex.compile(split.replace(r"[^\s", f"[^{WHITE_SPACE}") + "| ").findall
         self._young, self._old = _Chunks(), _Chunks()
         self._pieces, self._old_pieces = self._no_pieces(), {}

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from eventlift import Workspace
-from eventlift.llm import hyperminhash, packing, quality
+from eventlift.llm import hyperminhash, packing, quality, tasks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BPE = P.path("word_bpe_49k.json")
@@ -86,6 +87,24 @@ def test_large_groups_are_cut_into_chunks(spark, monkeypatch):
         assert r["component_id"] == expected[r["doc_id"]][1]
 
 
+def test_memory_of_a_task_goes_back():
+    """What a task has freed is not kept from the next, though something above it stays."""
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+
+    kept = []
+
+    def task(batches):
+        held = [np.ones(12_000) for _ in range(2000)]
+        kept.append(held[-1])
+        yield resident()
+
+    before = resident()
+    (during,) = tasks._tidied(iter([]), task)
+    assert during - before > 150 and resident() - before < 50
+
+
 def test_two_texts_under_one_id_give_one_result(spark):
     texts = [f"{w} " * 3 + "one two three four five six seven eight nine ten" for w in "abcd"]
     rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[2]), (3, "quite another text with other words in it")]
