@@ -3,8 +3,8 @@
 A byte goes if a string of 100 bytes that covers it also starts earlier in the corpus. Each
 such string is represented by one of its substrings, the one of least hash, so that equal
 strings have equal representatives. Substrings seen once need no further look. The stretches
-of text around the others are brought together by the substring's hash and sorted there by
-bucket-pointer refinement: suffixes start in buckets of equal 8-grams; a bucket is refined by
+of text around the others are brought together by the substring's hash; of equal ones the first
+stands for all, and those that differ are sorted there by bucket-pointer refinement: suffixes start in buckets of equal 8-grams; a bucket is refined by
 the bucket numbers found 8, 16, 32 bytes further on, and the refined numbers serve the next
 round, until strings of one bucket agree in all 100 bytes. Suffixes alone in their bucket
 drop out at once.
@@ -25,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -358,6 +359,27 @@ def _again(
     return doc[first], start[first], start[last] + 1
 
 
+def _first_stretches(
+    keys: np.ndarray, ids: np.ndarray, begins: np.ndarray, stretches: pa.Array, length: int
+) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which stretches are to be refined, and runs (document, start, stop) of strings known to start earlier.
+
+    All strings of a stretch also start in the first of those equal to it, which alone stands for
+    them. Equal strings have their representative at the same distance, so those of one
+    stretch all differ, and a key whose stretches are all equal needs no refinement.
+    """
+    code = stretches.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((begins, ids, code, keys))
+    key, code, doc, start = keys[order], code[order], ids[order], begins[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (code[1:] != code[:-1]))
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    again = np.nonzero((doc[head] != doc) | (start[head] != start))[0]
+    stop = start[again] + pc.binary_length(stretches).to_numpy()[order[again]] - length + 1
+    first, key = order[new], key[new]
+    edge = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    return first[~(edge[1:] & edge[:-1])], (doc[again], start[again], stop)
+
+
 def _compared(batches: Batches, length: int, schema: pa.Schema) -> Batches:
     """Runs of repeated strings from stretches ordered by key; keys are compared whole.
 
@@ -366,7 +388,12 @@ def _compared(batches: Batches, length: int, schema: pa.Schema) -> Batches:
 
     def flushed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.concat_batches(held)
-        found = _again(rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64), rows.column(4).to_pylist(), length)
+        keys, ids, begins = (rows.column(i).to_numpy() for i in range(3))
+        begins = begins.astype(np.int64)
+        first, found = _first_stretches(keys, ids, begins, rows.column(4), length)
+        if len(first):
+            more = _again(ids[first], begins[first], rows.column(4).take(pa.array(first)).to_pylist(), length)
+            found = [np.concatenate(pair) for pair in zip(found, more, strict=True)]
         return batch_of(schema, list(found))
 
     held: list[pa.RecordBatch] = []

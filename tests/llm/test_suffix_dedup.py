@@ -148,6 +148,33 @@ def test_stretches_over_batch_borders_and_small_chunks(monkeypatch):
         assert {k for k in range(60) if k % 3} <= found
 
 
+def test_equal_stretches_are_refined_once(monkeypatch):
+    """Stretches of three keys: 50 times one, 50 times one and twice another, two that share some strings."""
+    text = [b"".join(hashlib.sha256(bytes([k, i])).hexdigest().encode() for i in range(3)) for k in range(3)]
+    rows = [(0, 900 - k, 7 * k, 0, text[0][:120]) for k in range(50)]
+    rows += [(1, k % 45, 5, 0, text[1][:130]) for k in range(50)] + [(1, k, 30, 0, text[1][20:140]) for k in (3, 50)]
+    rows += [(2, 1, 0, 0, text[2][:110]), (2, 1, 300, 0, text[2][4:104])]
+    names, types = ["key", "id", "start", "stop", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    schema = pa.schema(list(zip(names, types, strict=True)))
+    out = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    sizes, refined = [], S.refined
+
+    def recorded(data, *rest):
+        sizes.append(len(data))
+        return refined(data, *rest)
+
+    monkeypatch.setattr(S, "refined", recorded)
+    batches = [S.batch_of(schema, list(zip(*rows[i : i + 9], strict=True))) for i in range(0, len(rows), 9)]
+    made = [x for b in S._compared(iter(batches), 100, out) for x in b.to_pylist()]
+    found = {(x["id"], s) for x in made for s in range(x["start"], x["stop"])}
+    first, expected = {}, set()
+    for doc, begin, data in sorted((r[1], r[2], r[4]) for r in rows):
+        for i in range(len(data) - 99):
+            if first.setdefault(data[i : i + 100], (doc, begin + i)) != (doc, begin + i):
+                expected.add((doc, begin + i))
+    assert found == expected and sum(sizes) == 130 + 120 + 110 + 100
+
+
 def test_rows_keep_their_columns(spark):
     long = "one two three four five six seven eight nine ten " * 3
     rows = [(1, long + "é", 9, "a"), (2, "x " + long, 8, None), (3, None, 7, "c"), (None, "short", 6, "d")]
