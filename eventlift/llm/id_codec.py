@@ -34,17 +34,21 @@ from eventlift import Workspace
 from eventlift.llm import word_ids
 from eventlift.llm.tasks import Batches, arrow_map, batch_of, texts_of
 
-MAGIC = b"IDCM1\n"
+MAGIC = b"IDCM2\n"
 STEPS = 256
 BLOCK_IDS = 1 << 19
 WORD = 24  # bits moved at once between a lane's range and its stream
 FLOOR = np.uint64(1 << WORD)
 FULL = np.uint64(1 << 2 * WORD)
 LOW = np.uint64((1 << WORD) - 1)
+BITS, HALF = np.uint64(WORD), np.uint64(16)
 CONTEXT_BITS = 20
+FIRST, SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 CONFIDENT = 15
-GAIN = 24
-REBUILT_EVERY = 8
+MIXED = (16, 32, 16)  # confidences of orders 0, 1 (and whether it predicts the same id) and 2
+REBUILT_EVERY = 12
+FORGOTTEN_AT = 1 << 16
+LARGEST = 1 << 24
 BLOCK_SCHEMA = (
     "part int, number int, start long, n_docs int, n_tokens long, cut boolean, block binary"
 )
@@ -58,90 +62,97 @@ class DamagedBlock(ValueError):
 
 
 class LaneEncoder:
-    """One range coder for each lane; a carry is added to the words before it at the end."""
+    """One range coder for each lane; a carry is added to the words before it at the end.
 
-    def __init__(self, lanes: int, steps: int):
+    ``lanes`` is a slice from the first lane on or an array of distinct lanes.
+    """
+
+    def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, FULL, np.uint64)
-        self.words = np.zeros((lanes, 3 * steps + 3), np.uint32)
-        self.used = np.zeros(lanes, np.int64)
+        self.sent: list[tuple[np.ndarray, np.ndarray]] = []  # lanes, a word for each
 
-    def _narrow(self, lanes: np.ndarray, unit: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        low = self.low[lanes] + unit * cum
-        width = unit * freq
-        small = np.nonzero(width < FLOOR)[0]
+    def _narrow(self, lanes: slice | np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        small = (width < FLOOR).nonzero()[0]
         if len(small):
-            at, out = lanes[small], low[small]
-            self.words[at, self.used[at]] = out >> np.uint64(WORD)
-            self.used[at] += 1
-            low[small] = (out & LOW) << np.uint64(WORD)
-            width[small] <<= np.uint64(WORD)
+            out = low[small]
+            self.sent.append((small if isinstance(lanes, slice) else lanes[small], out >> BITS))
+            low[small] = (out & LOW) << BITS
+            width[small] <<= BITS
         self.low[lanes], self.range[lanes] = low, width
 
-    def bits(self, lanes: np.ndarray, ones: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def bits(self, lanes: slice | np.ndarray, ones: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Code a bit for each lane, ``ones`` of 65,536 being the chance of a one."""
-        unit = self.range[lanes] >> np.uint64(16)
-        zeros = 65536 - ones
-        cum = np.where(bits, 0, ones).astype(np.uint64)
-        self._narrow(lanes, unit, cum, np.where(bits, ones, zeros).astype(np.uint64))
+        width = self.range[lanes]
+        edge = (width >> HALF) * ones
+        self._narrow(lanes, self.low[lanes] + edge * ~bits, np.where(bits, edge, width - edge))
         return bits
 
-    def symbols(self, lanes: np.ndarray, cum: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        unit = self.range[lanes] // np.uint64(cum[-1])
-        below = cum[ids]
-        self._narrow(lanes, unit, below.astype(np.uint64), (cum[ids + 1] - below).astype(np.uint64))
+    def symbols(self, lanes: np.ndarray, order0: _Frequencies, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code an id by its frequency, or the escape; gives the ids and where an escape stands for them."""
+        unit = self.range[lanes] >> order0.bits
+        below, wide = order0.shares_of(ids)
+        self._narrow(lanes, self.low[lanes] + unit * below, unit * wide)
+        return ids, (below == 0).nonzero()[0]
+
+    def uniform(self, lanes: np.ndarray, size: int, ids: np.ndarray) -> np.ndarray:
+        unit = self.range[lanes] // np.uint64(size)
+        self._narrow(lanes, self.low[lanes] + unit * ids.astype(np.uint64), unit)
         return ids
 
     def streams(self) -> tuple[np.ndarray, bytes]:
         """Words in each lane, and all words as three bytes each."""
-        lanes = np.arange(len(self.low))
-        for left in (self.low >> np.uint64(WORD), self.low & LOW):
-            self.words[lanes, self.used] = left
-            self.used += 1
-        words = self.words
-        while (over := words >> WORD).any():
-            words &= (1 << WORD) - 1
-            words[:, :-1] += over[:, 1:]
-        held = words[np.arange(words.shape[1]) < self.used[:, None]]
-        return self.used, np.ascontiguousarray(held.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
+        every = np.arange(len(self.low))
+        self.sent += [(every, self.low >> BITS), (every, self.low & LOW)]
+        lanes, words = (np.concatenate(column) for column in zip(*self.sent, strict=True))
+        order = np.argsort(lanes.astype(np.uint16) if len(every) <= 1 << 16 else lanes, kind="stable")
+        words = words.astype(np.uint32)[order]
+        while (over := words >> np.uint32(WORD)).any():  # never from a lane's first word
+            words &= np.uint32(LOW)
+            words[:-1] += over[1:]
+        packed = np.ascontiguousarray(words.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
+        return np.bincount(lanes, minlength=len(every)), packed
 
 
 class LaneDecoder:
     def __init__(self, used: np.ndarray, data: bytes):
         wide = np.zeros((len(data) // 3, 4), np.uint8)
         wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-        self.words = np.append(wide.view(">u4").ravel().astype(np.uint64), np.zeros(3, np.uint64))
+        self.words = np.append(wide.view(">u4").ravel().astype(np.uint32), np.zeros(3, np.uint32))
         self.at = np.cumsum(used) - used
         self.range = np.full(len(used), FULL, np.uint64)
-        self.code = self.words[self.at] << np.uint64(WORD) | self.words[self.at + 1]
+        self.code = self.words[self.at].astype(np.uint64) << BITS | self.words[self.at + 1]
         self.at += 2
 
-    def _narrow(self, lanes, unit, cum, freq, code) -> None:
-        code = code - unit * cum
-        width = unit * freq
-        small = np.nonzero(width < FLOOR)[0]
+    def _narrow(self, lanes: slice | np.ndarray, code: np.ndarray, width: np.ndarray) -> None:
+        small = (width < FLOOR).nonzero()[0]
         if len(small):
-            at = lanes[small]
-            code[small] = code[small] << np.uint64(WORD) | self.words[self.at[at]]
-            self.at[at] += 1
-            width[small] <<= np.uint64(WORD)
+            which = small if isinstance(lanes, slice) else lanes[small]
+            at = self.at[which]
+            code[small] = code[small] << BITS | self.words[at]
+            self.at[which] = at + 1
+            width[small] <<= BITS
         self.code[lanes], self.range[lanes] = code, width
 
-    def bits(self, lanes: np.ndarray, ones: np.ndarray, _: None) -> np.ndarray:
-        unit, code = self.range[lanes] >> np.uint64(16), self.code[lanes]
-        edge = ones.astype(np.uint64)
-        bits = code < unit * edge
-        cum = np.where(bits, np.uint64(0), edge)
-        self._narrow(lanes, unit, cum, np.where(bits, edge, np.uint64(65536) - edge), code)
+    def bits(self, lanes: slice | np.ndarray, ones: np.ndarray, _: None) -> np.ndarray:
+        width, code = self.range[lanes], self.code[lanes]
+        edge = (width >> HALF) * ones
+        bits = code < edge
+        self._narrow(lanes, code - edge * ~bits, np.where(bits, edge, width - edge))
         return bits
 
-    def symbols(self, lanes: np.ndarray, cum: np.ndarray, _: None) -> np.ndarray:
-        unit, code = self.range[lanes] // np.uint64(cum[-1]), self.code[lanes]
-        place = np.minimum((code // unit).astype(np.int64), cum[-1] - 1)
-        ids = np.searchsorted(cum, place, "right") - 1
-        below = cum[ids]
-        self._narrow(lanes, unit, below.astype(np.uint64), (cum[ids + 1] - below).astype(np.uint64), code)
-        return ids
+    def symbols(self, lanes: np.ndarray, order0: _Frequencies, _: None) -> tuple[np.ndarray, np.ndarray]:
+        unit, code = self.range[lanes] >> order0.bits, self.code[lanes]
+        ids = order0.ids_at(np.minimum(code // unit, order0.last))
+        below, wide = order0.shares_of(ids)
+        self._narrow(lanes, code - unit * below, unit * wide)
+        return ids, (below == 0).nonzero()[0]
+
+    def uniform(self, lanes: np.ndarray, size: int, _: None) -> np.ndarray:
+        unit, code = self.range[lanes] // np.uint64(size), self.code[lanes]
+        ids = np.minimum(code // unit, np.uint64(size - 1))
+        self._narrow(lanes, code - unit * ids, unit)
+        return ids.astype(np.int32)
 
 
 # -- model ----------------------------------------------------------------------------------
@@ -155,104 +166,167 @@ def _logistic() -> tuple[np.ndarray, np.ndarray]:
     return np.array(stretch, np.int64), np.clip(np.array(squash, np.int64), 48, 65536 - 48)
 
 
-class _Chances:
-    """Adaptive chances of a one, in 65,536ths, by context."""
-
-    def __init__(self, contexts: int):
-        self.ones = np.full(contexts, 32768, np.int64)
+def _learnt(ones: np.ndarray, seen: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Chances of a one, in 65,536ths, after so many bits and ones in each context."""
+    return ones + (hits * 65535 - seen * ones) // (seen + 16)
 
-    def learn(self, contexts: np.ndarray, bits: np.ndarray) -> None:
-        seen = np.bincount(contexts, minlength=len(self.ones))
-        hits = np.bincount(contexts[bits], minlength=len(self.ones))
-        self.ones += (hits * 65535 - seen * self.ones) // (2 * seen + 16)
 
+class _Mixed:
+    """The chance that the first prediction holds, by the confidence of all three orders.
 
-class _Predictions:
-    """The id that followed a context, and how often in a row."""
-
-    def __init__(self, contexts: int):
-        self.ids = np.full(contexts, -1, np.int64)
-        self.sure = np.zeros(contexts, np.int64)
+    It is mixed for every combination of confidences at once, whenever it has learnt.
+    """
 
-    def learn(self, contexts, ids, predicted, sure) -> None:
-        right = predicted == ids
-        replaced = ~right & (sure <= 1)
-        self.sure[contexts] = np.where(right, np.minimum(sure + 1, CONFIDENT), np.where(replaced, 1, sure >> 1))
-        at = np.nonzero(replaced)[0]
-        self.ids[contexts[at]] = ids[at]
+    def __init__(self):
+        self.weight = np.full(3, 24000, np.int64)
+        self.chances = [np.full(n, 32768, np.int64) for n in MIXED]
+        self._mix()
+
+    def _mix(self) -> None:
+        stretch, squash = _logistic()
+        self.inputs = [stretch[c >> 4] for c in self.chances]
+        one, two, three = (w * i for w, i in zip(self.weight.tolist(), self.inputs, strict=True))
+        summed = one[:, None, None] + two[:, None] + three
+        self.ones = squash[np.clip(summed >> 16, -2047, 2047) + 2047]
+        self.edges = self.ones.astype(np.uint64).ravel()
+
+    def learn(self, coded: np.ndarray, steps: int) -> None:
+        """``coded`` are the combinations of ``steps`` steps, times two, plus one where the prediction held."""
+        counted = np.bincount(coded, minlength=2 * self.ones.size)
+        hits = counted[1::2].reshape(MIXED)
+        seen = counted[::2].reshape(MIXED) + hits
+        sums = np.stack([(hits << 16) - seen * self.ones, seen, hits])
+        others = sums.sum(1)
+        for i, (error, n, ones) in enumerate([sums.reshape(3, MIXED[0], -1).sum(2), others.sum(2), others.sum(1)]):
+            self.weight[i] += steps * int(error @ self.inputs[i]) // len(coded) >> 10
+            self.chances[i] = _learnt(self.chances[i], n, ones)
+        self._mix()
+
+
+class _Frequencies:
+    """Order 0: the ids seen, by how often, and an escape for the others; they share a power of two."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.counts, self.total = np.zeros(size, np.int64), 0
+        self.level = np.zeros(size, np.int32)
+        self.shares = np.zeros(size + 1, np.int64)  # start and width; those not seen have the escape's
+        self._share(1, 0)
+
+    def _share(self, escapes: int, symbols: int) -> None:
+        self.seen = (self.counts > 0).nonzero()[0]
+        counts = self.counts[self.seen]
+        bits = max(16, (4 * len(counts)).bit_length())
+        escape = min((1 << bits) * (escapes + 1) // (symbols + 2), 1 << bits - 1)
+        scale = ((1 << bits) - escape - len(counts) << 32) // max(self.total, 1)
+        self.freq = (counts * scale >> 32) + 1
+        ends = np.cumsum(self.freq)
+        self.escape = (1 << bits) - int(self.freq.sum())
+        self.shares.fill(self.escape)
+        self.shares[self.seen] = self.escape + ends - self.freq << 32 | self.freq
+        self.level[self.seen] = np.minimum(np.frexp(counts.astype(np.float64))[1], MIXED[0] - 1)
+        self.bits, self.last = np.uint64(bits), np.uint64((1 << bits) - 1)
+        self._table = None
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        if self._table is None:
+            shares = np.concatenate([[self.escape], self.freq])
+            self._table = np.repeat(np.concatenate([[self.size], self.seen]).astype(np.int32), shares)
+        return self._table.take(places.astype(np.int64))
+
+    def shares_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each id begins, 0 for the escape, and how wide it is."""
+        shares = self.shares.take(ids).view(np.uint64)
+        return shares >> np.uint64(32), shares & np.uint64(0xFFFFFFFF)
+
+    def learn(self, ids: np.ndarray, escapes: int, symbols: int) -> None:
+        """``ids`` of some steps; of the ``symbols`` coded by frequency so many were escapes."""
+        self.counts += np.bincount(ids, minlength=self.size)
+        self.total += len(ids)
+        if self.total > FORGOTTEN_AT:
+            self.counts = self.counts + 1 >> 1
+            self.total = int(self.counts.sum())
+        self._share(escapes, symbols)
+
+
+def _followed(held: np.ndarray, sure: np.ndarray, right: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Predictions (id times 16, plus how often in a row it held) once it is known whether they were right."""
+    kept = np.where(sure > 1, held - (sure + 1 >> 1), new)
+    return np.where(right, held + (sure < CONFIDENT), kept)
 
 
 def _code(coder: LaneEncoder | LaneDecoder, n: int, size: int, ids: np.ndarray | None) -> np.ndarray:
     """Run the model over a block of ``n`` ids below ``size``; encodes ``ids`` or decodes."""
-    stretch, squash = _logistic()
     lanes = -(-n // STEPS)
-    out = np.zeros((lanes, STEPS), np.int64)
+    out = np.zeros((STEPS, lanes), np.int32)
     if ids is not None:
-        out.ravel()[:n] = ids
-    weight = np.full(3, 24000, np.int64)
-    chance = [_Chances(32), _Chances(CONFIDENT + 1 + 32), _Chances(CONFIDENT + 1)]
-    second_chance = _Chances(CONFIDENT + 1)
-    one, two = _Predictions(size), _Predictions(1 << CONTEXT_BITS)
-    counts = np.ones(size, np.int64)
-    before = np.zeros((2, lanes), np.int64)
+        padded = np.zeros(lanes * STEPS, np.int32)
+        padded[:n] = ids
+        out[:] = padded.reshape(lanes, STEPS).T
+    mixed, order0 = _Mixed(), _Frequencies(size)
+    second = np.full(CONFIDENT + 1, 32768, np.int64)
+    second_edges = second.astype(np.uint64)
+    one, two = np.zeros(size, np.int32), np.zeros(1 << CONTEXT_BITS, np.int32)
+    last = last_two = np.zeros(lanes, np.int32)
+    kinds, held, tried, since, escapes, symbols = [], [], [], 0, 0, 0
     for step in range(STEPS):
         k = lanes if (lanes - 1) * STEPS + step < n else lanes - 1
         if not k:
             break
-        if step < REBUILT_EVERY or step % REBUILT_EVERY == 0:
-            cum = np.append(0, np.cumsum(counts))
-            if cum[-1] > 1 << 20:
-                counts = (counts + 1) >> 1
-                cum = np.append(0, np.cumsum(counts))
-        real = out[:k, step] if ids is not None else None
-        last, last_two = before[0, :k], before[1, :k]
-        context = (last * 0x9E3779B1 + last_two * 0x85EBCA6B >> 11) & ((1 << CONTEXT_BITS) - 1)
-        id1, sure1, id2, sure2 = one.ids[last], one.sure[last], two.ids[context], two.sure[context]
+        if step - since > min(step // 3, REBUILT_EVERY - 1):
+            mixed.learn(np.concatenate(kinds) << 1 | np.concatenate(held), step - since)
+            order0.learn(out[since:step, :k].ravel(), escapes, symbols)
+            if tried:
+                counted = np.bincount(np.concatenate(tried), minlength=2 * len(second)).reshape(-1, 2)
+                second = _learnt(second, counted.sum(1), counted[:, 1])
+                second_edges = np.clip(second, 48, 65536 - 48).astype(np.uint64)
+            kinds, held, tried, since, escapes, symbols = [], [], [], step, 0, 0
+        real = out[step, :k] if ids is not None else None
+        last, last_two = last[:k], last_two[:k]
+        context = last.view(np.uint32) * FIRST + last_two.view(np.uint32) * SECOND >> np.uint32(32 - CONTEXT_BITS)
+        context, last_at = context.astype(np.int64), last.astype(np.int64)
+        held1, held2 = one.take(last_at), two.take(context)
+        id1, sure1, id2, sure2 = held1 >> 4, held1 & CONFIDENT, held2 >> 4, held2 & CONFIDENT
         guess = np.where(sure2 > 0, id2, id1)
-        some = np.nonzero(guess >= 0)[0]
-        found = np.full(k, -1, np.int64)
-        if len(some):
-            guessed = guess[some]
-            kinds = [
-                np.minimum(np.frexp(counts[guessed].astype(np.float64))[1], 31),
-                np.where(id1[some] == guessed, sure1[some], sure1[some] + CONFIDENT + 1),
-                sure2[some],
-            ]
-            inputs = np.stack([stretch[c.ones[kind] >> 4] for c, kind in zip(chance, kinds, strict=True)])
-            mixed = np.clip((weight[:, None] * inputs).sum(0) >> 16, -2047, 2047) + 2047
-            ones = squash[mixed]
-            hits = coder.bits(some, ones, None if real is None else real[some] == guessed)
-            found[some[hits]] = guessed[hits]
-            error = (hits.astype(np.int64) << 16) - ones
-            weight += (error * inputs).sum(1) // len(some) >> 10
-            for c, kind in zip(chance, kinds, strict=True):
-                c.learn(kind, hits)
-            other = some[~hits & (id1[some] != guessed) & (id1[some] >= 0)]
-            if len(other):
-                hits = coder.bits(
-                    other,
-                    np.clip(second_chance.ones[sure1[other]], 48, 65536 - 48),
-                    None if real is None else real[other] == id1[other],
-                )
-                found[other[hits]] = id1[other[hits]]
-                second_chance.learn(sure1[other], hits)
-        rest = np.nonzero(found < 0)[0]
+        differ = id1 != guess
+        kind = (order0.level.take(guess) << 1 | differ) << 8 | sure1 << 4 | sure2
+        hits = coder.bits(slice(0, k), mixed.edges.take(kind), None if real is None else real == guess)
+        kinds.append(kind)
+        held.append(hits)
+        missed = ~hits
+        other = (missed & differ & (sure1 > 1)).nonzero()[0]
+        found = guess if real is None else real
+        if len(other):
+            sure, also = sure1[other], id1[other]
+            hits = coder.bits(other, second_edges[sure], None if real is None else real[other] == also)
+            tried.append(sure << 1 | hits)
+            right = other[hits]
+            missed[right] = False
+            if real is None:
+                found[right] = also[hits]
+        rest = missed.nonzero()[0]
         if len(rest):
-            found[rest] = coder.symbols(rest, cum, None if real is None else real[rest])
-        out[:k, step] = found
-        two.learn(context, found, id2, sure2)
-        one.learn(last, found, id1, sure1)
-        np.add.at(counts, found, GAIN)
-        before[1, :k] = last
-        before[0, :k] = found
-    return out.ravel()[:n]
+            symbol, new = coder.symbols(rest, order0, None if real is None else real[rest])
+            if len(new):
+                symbol[new] = coder.uniform(rest[new], size, None if real is None else real[rest[new]])
+            symbols, escapes = symbols + len(rest), escapes + len(new)
+            if real is None:
+                found[rest] = symbol
+        if real is None:
+            out[step, :k] = found
+        new = found << 4 | 1
+        two[context] = _followed(held2, sure2, id2 == found, new)
+        one[last_at] = _followed(held1, sure1, id1 == found, new)
+        last, last_two = found, last
+    return out.T.reshape(-1)[:n]
 
 
 def pack_block(ids: np.ndarray) -> bytes:
     """One block: magic, counts, checksums, words of each lane, streams."""
-    ids = ids.astype(np.int64)
     size = int(ids.max()) + 1 if len(ids) else 1
-    coder = LaneEncoder(-(-len(ids) // STEPS), STEPS)
+    if size > LARGEST:
+        raise ValueError(f"ids have to be below {LARGEST}")
+    coder = LaneEncoder(-(-len(ids) // STEPS))
     _code(coder, len(ids), size, ids)
     used, streams = coder.streams()
     body = zlib.compress(used.astype("<u4").tobytes(), 6)

@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, looked up by chunk.
 
 The tokenizer here drops white space and none of its rules reaches across it, so a text's ids
-are those of its runs of other characters, one after the other. The library is asked once for
-each part of them that it treats on its own (a pre-token), and the answer remembered; it takes
-its time mostly for each call and word.
+are those of its runs of other characters, one after the other. The library's model is asked once for
+each part of them that it treats on its own (a pre-token), and the answer remembered. The parts are
+normalized and cut already, which in the library takes more time than the model.
 
 Chunks are known by 64-bit hashes of at most 64 bytes, their ids lie one after the other in an array.
 A memory has two generations: when the young one is full it becomes the old one, and what is asked for
@@ -18,14 +18,19 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 import regex
 
 from eventlift.llm.tasks import BEYOND_LATIN, WHITE_SPACE
+from eventlift.llm.token_counts import byte_symbols
 from eventlift.llm.words import Words
 
+if TYPE_CHECKING:
+    from tokenizers.models import Model
+
 #: Chunks and pre-tokens that a generation remembers at most; a worker holds two of each.
 MAX_CHUNKS, MAX_PIECES = 800_000, 80_000
 LONGEST_CACHED = 64
@@ -77,6 +82,31 @@ class _Chunks:
         return self.ids[at], sizes
 
 
+class _Pieces(dict):
+    """Packed ids by pre-token; missing ones are looked up in the old generation or asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self._tokenize = model.tokenize
+        self._bytes = str.maketrans({chr(b): symbol for b, symbol in enumerate(byte_symbols())})
+        self._old: dict[str, bytes] = {}
+        self[" "] = array("I", [BORDER]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._old.get(piece)
+        if ids is None:
+            symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._bytes)
+            ids = array("I", [t.id for t in self._tokenize(symbols)]).tobytes()
+        if len(piece) <= LONGEST_CACHED:
+            if len(self) >= MAX_PIECES:
+                border = self[" "]
+                self._old = dict(self)
+                self.clear()
+                self[" "] = border
+            self[piece] = ids
+        return ids
+
+
 class WordIds:
     """Packed ids (little-endian unsigned 32-bit) of texts."""
 
@@ -89,34 +119,18 @@ class WordIds:
         split = rules["pretokenizers"][0]["pattern"]["Regex"]
         self._pretokens = regex.compile(split.replace(r"[^\s", f"[^{WHITE_SPACE}") + "| ").findall
         self._young, self._old = _Chunks(), _Chunks()
-        self._pieces, self._old_pieces = self._no_pieces(), {}
-
-    @staticmethod
-    def _no_pieces() -> dict[str, bytes]:
-        return {" ": array("I", [BORDER]).tobytes()}
+        self._pieces = _Pieces(self._library.model)
 
     def _asked(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _of_pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, and how many each has, from those of their pre-tokens."""
-        pieces = self._pretokens(unicodedata.normalize("NFC", " ".join(chunks)).lower())
-        wanted = set(pieces)
-        missing = wanted - self._pieces.keys()
-        if len(self._pieces) + len(missing) > MAX_PIECES:
-            self._old_pieces, self._pieces = self._pieces, self._no_pieces()
-            missing = wanted - self._pieces.keys()
-        for piece in missing & self._old_pieces.keys():
-            self._pieces[piece] = self._old_pieces[piece]
-        new = list(missing - self._old_pieces.keys())
-        self._pieces.update(zip(new, self._asked(new), strict=True))
+    def _of_pieces(self, chunks: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks (with a space between), and how many each has, from those of their pre-tokens."""
+        pieces = self._pretokens(unicodedata.normalize("NFC", chunks).lower())
         packed = np.frombuffer(b"".join(map(self._pieces.__getitem__, pieces)), "<u4")
         borders = packed == BORDER
         at = np.concatenate([[-1], np.flatnonzero(borders), [len(packed)]])
-        for piece in new:
-            if len(piece) > LONGEST_CACHED:
-                del self._pieces[piece]
         return packed[~borders], np.diff(at) - 1
 
     def _learned(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,16 +143,17 @@ class WordIds:
         odd = []
         if "<|" in joined or _BEYOND_LATIN(joined):
             odd = [i for i, c in enumerate(chunks) if "<|" in c or _BEYOND_LATIN(c)]
+        if not odd:
+            return np.arange(len(chunks)), *self._of_pieces(joined)
         plain = np.setdiff1d(np.arange(len(chunks)), odd)
         ids, sizes = [], []
         if len(plain):
-            found, counts = self._of_pieces([chunks[i] for i in plain.tolist()])
+            found, counts = self._of_pieces(" ".join([chunks[i] for i in plain.tolist()]))
             ids.append(found)
             sizes.append(counts)
-        if odd:
-            whole = self._asked([chunks[i] for i in odd])
-            ids.append(np.frombuffer(b"".join(whole), "<u4"))
-            sizes.append(np.array([len(w) // 4 for w in whole], np.int64))
+        whole = self._asked([chunks[i] for i in odd])
+        ids.append(np.frombuffer(b"".join(whole), "<u4"))
+        sizes.append(np.array([len(w) // 4 for w in whole], np.int64))
         return np.concatenate([plain, odd]).astype(np.int64), np.concatenate(ids), np.concatenate(sizes)
 
     def _chunks_of(self, words: Words, at: np.ndarray) -> list[str]:
