@@ -8,8 +8,10 @@ what all lanes held in earlier steps, which the decoder knows as well.
 The model predicts an id from the two before it (order 2), one from the one before (order 1),
 and a frequency for every id (order 0). Whether the first prediction holds is coded with a
 probability mixed in the logistic domain from the confidence of all three orders; then
-whether the order-1 prediction holds; what is left is coded by the order-0 frequencies. All
-arithmetic is on integers, so every machine decodes alike.
+whether another order-1 prediction holds that did so before; what is left is coded by the order-0
+frequencies, or an escape, behind which an id not seen before stands in a list of its own. Predictions
+learn at every step, chances and frequencies every few. All arithmetic is on integers, so every
+machine decodes alike.
 
 Blocks are rows of a Parquet table, which gives the files Spark's commit protocol and works
 on any store that Spark can write.
@@ -35,7 +37,7 @@ from eventlift.llm import word_ids
 from eventlift.llm.tasks import Batches, arrow_map, batch_of, texts_of
 
 MAGIC = b"IDCM2\n"
-STEPS = 256
+STEPS = 128
 BLOCK_IDS = 1 << 19
 WORD = 24  # bits moved at once between a lane's range and its stream
 FLOOR = np.uint64(1 << WORD)
@@ -44,11 +46,16 @@ LOW = np.uint64((1 << WORD) - 1)
 BITS, HALF = np.uint64(WORD), np.uint64(16)
 CONTEXT_BITS = 20
 FIRST, SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-CONFIDENT = 15
-MIXED = (16, 32, 16)  # confidences of orders 0, 1 (and whether it predicts the same id) and 2
-REBUILT_EVERY = 12
-FORGOTTEN_AT = 1 << 16
-LARGEST = 1 << 24
+SURE_BITS = 3
+CONFIDENT = (1 << SURE_BITS) - 1
+MIXED = (16, 16, 8)  # confidences of orders 0, 1 (and whether it predicts the same id) and 2
+ODDS = np.int32(1 << 2 * SURE_BITS)
+# How often in a row a prediction held changes by how often it had: halved if it is wrong, one more if right.
+RIGHT = np.int32(1 << SURE_BITS)
+CHANGES = np.array([*(-(n + 1 >> 1) for n in range(CONFIDENT + 1)), *[1] * CONFIDENT, 0], np.int32)
+REBUILT_EVERY = 8
+FORGOTTEN_AT = 1 << 17  # symbols coded by frequency, whose counts are then halved
+LARGEST = 1 << 24  # all ids are below
 BLOCK_SCHEMA = (
     "part int, number int, start long, n_docs int, n_tokens long, cut boolean, block binary"
 )
@@ -71,6 +78,7 @@ class LaneEncoder:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, FULL, np.uint64)
         self.sent: list[tuple[np.ndarray, np.ndarray]] = []  # lanes, a word for each
+        self.escaped = [np.zeros(0, np.int32)]
 
     def _narrow(self, lanes: slice | np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
         small = (width < FLOOR).nonzero()[0]
@@ -95,13 +103,12 @@ class LaneEncoder:
         self._narrow(lanes, self.low[lanes] + unit * below, unit * wide)
         return ids, (below == 0).nonzero()[0]
 
-    def uniform(self, lanes: np.ndarray, size: int, ids: np.ndarray) -> np.ndarray:
-        unit = self.range[lanes] // np.uint64(size)
-        self._narrow(lanes, self.low[lanes] + unit * ids.astype(np.uint64), unit)
-        return ids
+    def new(self, ids: np.ndarray) -> None:
+        """Note ids for which an escape stands."""
+        self.escaped.append(ids)
 
-    def streams(self) -> tuple[np.ndarray, bytes]:
-        """Words in each lane, and all words as three bytes each."""
+    def streams(self) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Ids behind escapes, words in each lane, and all words as three bytes each."""
         every = np.arange(len(self.low))
         self.sent += [(every, self.low >> BITS), (every, self.low & LOW)]
         lanes, words = (np.concatenate(column) for column in zip(*self.sent, strict=True))
@@ -111,11 +118,12 @@ class LaneEncoder:
             words &= np.uint32(LOW)
             words[:-1] += over[1:]
         packed = np.ascontiguousarray(words.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
-        return np.bincount(lanes, minlength=len(every)), packed
+        return np.concatenate(self.escaped), np.bincount(lanes, minlength=len(every)), packed
 
 
 class LaneDecoder:
-    def __init__(self, used: np.ndarray, data: bytes):
+    def __init__(self, escaped: np.ndarray, used: np.ndarray, data: bytes):
+        self.escaped, self.known = escaped, 0
         wide = np.zeros((len(data) // 3, 4), np.uint8)
         wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
         self.words = np.append(wide.view(">u4").ravel().astype(np.uint32), np.zeros(3, np.uint32))
@@ -143,16 +151,15 @@ class LaneDecoder:
 
     def symbols(self, lanes: np.ndarray, order0: _Frequencies, _: None) -> tuple[np.ndarray, np.ndarray]:
         unit, code = self.range[lanes] >> order0.bits, self.code[lanes]
-        ids = order0.ids_at(np.minimum(code // unit, order0.last))
+        ids = order0.ids_at(code // unit)
         below, wide = order0.shares_of(ids)
         self._narrow(lanes, code - unit * below, unit * wide)
         return ids, (below == 0).nonzero()[0]
 
-    def uniform(self, lanes: np.ndarray, size: int, _: None) -> np.ndarray:
-        unit, code = self.range[lanes] // np.uint64(size), self.code[lanes]
-        ids = np.minimum(code // unit, np.uint64(size - 1))
-        self._narrow(lanes, code - unit * ids, unit)
-        return ids.astype(np.int32)
+    def new(self, n: int) -> np.ndarray:
+        """The next ``n`` ids for which an escape stands."""
+        self.known += n
+        return self.escaped[self.known - n : self.known]
 
 
 # -- model ----------------------------------------------------------------------------------
@@ -210,53 +217,50 @@ class _Frequencies:
         self.size = size
         self.counts, self.total = np.zeros(size, np.int64), 0
         self.level = np.zeros(size, np.int32)
-        self.shares = np.zeros(size + 1, np.int64)  # start and width; those not seen have the escape's
+        self.shares = np.zeros(size + 1, np.int64)  # start and width; ids not seen have the escape's
         self._share(1, 0)
 
     def _share(self, escapes: int, symbols: int) -> None:
         self.seen = (self.counts > 0).nonzero()[0]
         counts = self.counts[self.seen]
-        bits = max(16, (4 * len(counts)).bit_length())
-        escape = min((1 << bits) * (escapes + 1) // (symbols + 2), 1 << bits - 1)
+        bits = min(max(16, (4 * len(counts)).bit_length()), WORD)
+        escape = min((1 << bits) * (escapes + 1) // (symbols + 2) + 1, 1 << bits - 1)
         scale = ((1 << bits) - escape - len(counts) << 32) // max(self.total, 1)
         self.freq = (counts * scale >> 32) + 1
         ends = np.cumsum(self.freq)
         self.escape = (1 << bits) - int(self.freq.sum())
         self.shares.fill(self.escape)
         self.shares[self.seen] = self.escape + ends - self.freq << 32 | self.freq
-        self.level[self.seen] = np.minimum(np.frexp(counts.astype(np.float64))[1], MIXED[0] - 1)
-        self.bits, self.last = np.uint64(bits), np.uint64((1 << bits) - 1)
+        self.level[self.seen] = np.minimum(np.frexp(counts.astype(np.float64))[1], MIXED[0] - 1) << 2 * SURE_BITS + 1
+        self.bits = np.uint64(bits)
         self._table = None
 
     def ids_at(self, places: np.ndarray) -> np.ndarray:
         if self._table is None:
             shares = np.concatenate([[self.escape], self.freq])
             self._table = np.repeat(np.concatenate([[self.size], self.seen]).astype(np.int32), shares)
-        return self._table.take(places.astype(np.int64))
+        return self._table.take(places.view(np.int64), mode="clip")
 
     def shares_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the share of each id begins, 0 for the escape, and how wide it is."""
         shares = self.shares.take(ids).view(np.uint64)
         return shares >> np.uint64(32), shares & np.uint64(0xFFFFFFFF)
 
-    def learn(self, ids: np.ndarray, escapes: int, symbols: int) -> None:
-        """``ids`` of some steps; of the ``symbols`` coded by frequency so many were escapes."""
+    def learn(self, ids: np.ndarray, escapes: int) -> None:
+        """``ids`` coded by frequency, and how many of them were escapes."""
         self.counts += np.bincount(ids, minlength=self.size)
         self.total += len(ids)
         if self.total > FORGOTTEN_AT:
             self.counts = self.counts + 1 >> 1
             self.total = int(self.counts.sum())
-        self._share(escapes, symbols)
-
-
-def _followed(held: np.ndarray, sure: np.ndarray, right: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Predictions (id times 16, plus how often in a row it held) once it is known whether they were right."""
-    kept = np.where(sure > 1, held - (sure + 1 >> 1), new)
-    return np.where(right, held + (sure < CONFIDENT), kept)
+        self._share(escapes, len(ids))
 
 
 def _code(coder: LaneEncoder | LaneDecoder, n: int, size: int, ids: np.ndarray | None) -> np.ndarray:
-    """Run the model over a block of ``n`` ids below ``size``; encodes ``ids`` or decodes."""
+    """Run the model over a block of ``n`` ids below ``size``; encodes ``ids`` or decodes.
+
+    Lanes go on by one id in each step; those whose prediction fails are coded as a subset.
+    """
     lanes = -(-n // STEPS)
     out = np.zeros((STEPS, lanes), np.int32)
     if ids is not None:
@@ -266,30 +270,34 @@ def _code(coder: LaneEncoder | LaneDecoder, n: int, size: int, ids: np.ndarray |
     mixed, order0 = _Mixed(), _Frequencies(size)
     second = np.full(CONFIDENT + 1, 32768, np.int64)
     second_edges = second.astype(np.uint64)
-    one, two = np.zeros(size, np.int32), np.zeros(1 << CONTEXT_BITS, np.int32)
+    predictions = np.zeros(size + (1 << CONTEXT_BITS), np.int32)  # of order 1, then of order 2
     last = last_two = np.zeros(lanes, np.int32)
-    kinds, held, tried, since, escapes, symbols = [], [], [], 0, 0, 0
+    kinds, held, tried, shared, since, escapes = [], [], [], [], 0, 0
     for step in range(STEPS):
         k = lanes if (lanes - 1) * STEPS + step < n else lanes - 1
         if not k:
             break
         if step - since > min(step // 3, REBUILT_EVERY - 1):
             mixed.learn(np.concatenate(kinds) << 1 | np.concatenate(held), step - since)
-            order0.learn(out[since:step, :k].ravel(), escapes, symbols)
+            if shared:
+                order0.learn(np.concatenate(shared), escapes)
             if tried:
                 counted = np.bincount(np.concatenate(tried), minlength=2 * len(second)).reshape(-1, 2)
                 second = _learnt(second, counted.sum(1), counted[:, 1])
                 second_edges = np.clip(second, 48, 65536 - 48).astype(np.uint64)
-            kinds, held, tried, since, escapes, symbols = [], [], [], step, 0, 0
+            kinds, held, tried, shared, since, escapes = [], [], [], [], step, 0
         real = out[step, :k] if ids is not None else None
         last, last_two = last[:k], last_two[:k]
         context = last.view(np.uint32) * FIRST + last_two.view(np.uint32) * SECOND >> np.uint32(32 - CONTEXT_BITS)
-        context, last_at = context.astype(np.int64), last.astype(np.int64)
-        held1, held2 = one.take(last_at), two.take(context)
-        id1, sure1, id2, sure2 = held1 >> 4, held1 & CONFIDENT, held2 >> 4, held2 & CONFIDENT
+        at = np.empty((2, k), np.int64)
+        at[0] = last
+        np.add(context, size, out=at[1])
+        predicted = predictions.take(at)
+        ids_of, sure_of = predicted >> SURE_BITS, predicted & CONFIDENT
+        id1, id2, sure1, sure2 = ids_of[0], ids_of[1], sure_of[0], sure_of[1]
         guess = np.where(sure2 > 0, id2, id1)
         differ = id1 != guess
-        kind = (order0.level.take(guess) << 1 | differ) << 8 | sure1 << 4 | sure2
+        kind = order0.level.take(guess) | differ * ODDS | sure1 << SURE_BITS | sure2
         hits = coder.bits(slice(0, k), mixed.edges.take(kind), None if real is None else real == guess)
         kinds.append(kind)
         held.append(hits)
@@ -307,29 +315,41 @@ def _code(coder: LaneEncoder | LaneDecoder, n: int, size: int, ids: np.ndarray |
         rest = missed.nonzero()[0]
         if len(rest):
             symbol, new = coder.symbols(rest, order0, None if real is None else real[rest])
-            if len(new):
-                symbol[new] = coder.uniform(rest[new], size, None if real is None else real[rest[new]])
-            symbols, escapes = symbols + len(rest), escapes + len(new)
+            escapes += len(new)
             if real is None:
+                symbol[new] = coder.new(len(new))
                 found[rest] = symbol
+            else:
+                coder.new(symbol[new])
+            shared.append(symbol)
         if real is None:
             out[step, :k] = found
-        new = found << 4 | 1
-        two[context] = _followed(held2, sure2, id2 == found, new)
-        one[last_at] = _followed(held1, sure1, id1 == found, new)
+        right = ids_of == found
+        after = predicted + CHANGES.take(right * RIGHT | sure_of)
+        np.copyto(after, found << SURE_BITS | 1, where=~right & (sure_of <= 1))
+        predictions[at] = after
         last, last_two = found, last
     return out.T.reshape(-1)[:n]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones, and so on, which compress better."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_block(ids: np.ndarray) -> bytes:
-    """One block: magic, counts, checksums, words of each lane, streams."""
+    """One block: magic, counts, checksums, words of each lane, ids behind escapes, streams."""
     size = int(ids.max()) + 1 if len(ids) else 1
     if size > LARGEST:
         raise ValueError(f"ids have to be below {LARGEST}")
     coder = LaneEncoder(-(-len(ids) // STEPS))
     _code(coder, len(ids), size, ids)
-    used, streams = coder.streams()
-    body = zlib.compress(used.astype("<u4").tobytes(), 6)
+    escaped, used, streams = coder.streams()
+    body = zlib.compress(_planes(np.concatenate([used, escaped])), 6)
     head = struct.pack("<QIII", len(ids), size, zlib.crc32(ids.astype("<u4").tobytes()), len(body))
     sealed = head + body + streams
     return MAGIC + struct.pack("<I", zlib.crc32(sealed)) + sealed
@@ -342,8 +362,9 @@ def unpack_block(block: bytes) -> np.ndarray:
         raise DamagedBlock("the block's checksum does not hold")
     n, size, wanted, long = struct.unpack_from("<QIII", sealed)
     at = struct.calcsize("<QIII")
-    used = np.frombuffer(zlib.decompress(sealed[at : at + long]), "<u4").astype(np.int64)
-    ids = _code(LaneDecoder(used, sealed[at + long :]), n, size, None) if n else np.zeros(0, np.int64)
+    used, escaped = np.split(_of_planes(zlib.decompress(sealed[at : at + long])), [-(-n // STEPS)])
+    coder = LaneDecoder(escaped.astype(np.int32), used.astype(np.int64), sealed[at + long :])
+    ids = _code(coder, n, size, None)
     if zlib.crc32(ids.astype("<u4").tobytes()) != wanted:
         raise DamagedBlock("the ids' checksum does not hold")
     return ids

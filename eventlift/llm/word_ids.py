@@ -35,7 +35,8 @@ if TYPE_CHECKING:
 MAX_CHUNKS, MAX_PIECES = 800_000, 80_000
 LONGEST_CACHED = 64
 BORDER = 0xFFFFFFFF
-_BEYOND_LATIN = re.compile(f"[{BEYOND_LATIN}-{chr(0x10FFFF)}]").search
+#: What the library has to see as it is.
+_ODD = re.compile(rf"<\||[{BEYOND_LATIN}-{chr(0x10FFFF)}]")
 #: White space beyond ASCII, which parts chunks as a space does.
 _OTHER_SPACE = re.compile("[" + WHITE_SPACE.replace("\t-\r ", "") + "]")
 
@@ -95,7 +96,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self._old.get(piece)
         if ids is None:
-            symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._bytes)
+            plain = piece.isascii() and piece.isprintable()
+            symbols = piece if plain else piece.encode().decode("latin-1").translate(self._bytes)
             ids = array("I", [t.id for t in self._tokenize(symbols)]).tobytes()
         if len(piece) <= LONGEST_CACHED:
             if len(self) >= MAX_PIECES:
@@ -140,21 +142,22 @@ class WordIds:
         where Unicode tables differ between libraries, goes to the library as it is.
         """
         joined = " ".join(chunks)
-        odd = []
-        if "<|" in joined or _BEYOND_LATIN(joined):
-            odd = [i for i, c in enumerate(chunks) if "<|" in c or _BEYOND_LATIN(c)]
-        if not odd:
+        found = [m.start() for m in _ODD.finditer(joined)]
+        if not found:
             return np.arange(len(chunks)), *self._of_pieces(joined)
-        plain = np.setdiff1d(np.arange(len(chunks)), odd)
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        is_odd = np.zeros(len(chunks), bool)
+        is_odd[np.searchsorted(ends, found, "right")] = True
+        plain, odd = (~is_odd).nonzero()[0], is_odd.nonzero()[0]
         ids, sizes = [], []
         if len(plain):
             found, counts = self._of_pieces(" ".join([chunks[i] for i in plain.tolist()]))
             ids.append(found)
             sizes.append(counts)
-        whole = self._asked([chunks[i] for i in odd])
+        whole = self._asked([chunks[i] for i in odd.tolist()])
         ids.append(np.frombuffer(b"".join(whole), "<u4"))
         sizes.append(np.array([len(w) // 4 for w in whole], np.int64))
-        return np.concatenate([plain, odd]).astype(np.int64), np.concatenate(ids), np.concatenate(sizes)
+        return np.concatenate([plain, odd]), np.concatenate(ids), np.concatenate(sizes)
 
     def _chunks_of(self, words: Words, at: np.ndarray) -> list[str]:
         raw, starts, ends = words.bytes.data, words.start[at].tolist(), words.end[at].tolist()

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +120,36 @@ def test_model_learns_and_damage_is_found():
             id_codec.unpack_block(bytes(broken))
 
 
+def test_ids_seen_late_come_back():
+    ids = np.random.default_rng(3).integers(0, 300, 1 << 20).astype("<u4")
+    ids[[999_999, (1 << 20) - 1]] = 5000, 70_000
+    assert (id_codec.unpack_block(id_codec.pack_block(ids)) == ids).all()
+
+
+def test_blocks_are_coded_in_bounded_time():
+    r = np.random.default_rng(5)
+    ids = np.minimum(r.zipf(1.2, id_codec.BLOCK_IDS), 49407).astype("<u4")
+    keys = r.integers(0, 1 << 62, id_codec.BLOCK_IDS)
+
+    def least(task):
+        taken = []
+        for _ in range(4):
+            start = time.process_time()
+            task()
+            taken.append(time.process_time() - start)
+        return min(taken)
+
+    # As long as 3.6 sorts of as many keys; 9.8 when every lane mixed its own chances.
+    assert least(lambda: id_codec.unpack_block(id_codec.pack_block(ids))) < 6 * least(lambda: np.argsort(keys, kind="mergesort"))
+
+
+def test_library_is_not_asked_for_plain_words_by_text(monkeypatch):
+    ids, library = word_ids.WordIds(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    text = "plain words, don't ask 12 \x01 élan " * 3
+    monkeypatch.setattr(ids, "_asked", lambda texts: pytest.fail(f"asked for {texts}"))
+    assert np.frombuffer(ids.texts([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_id_files_in_order_of_ids(spark, docs, texts):
     library = Tokenizer.from_file(WORD_BPE)
     files = Workspace(spark).new_path("ids")
